@@ -30,3 +30,26 @@ def build_session(app: str = "lumenary", cores: str | int = "*", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be in any store that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, unless their path has it already.
+
+    A local session's workers get the package's folder; a cluster's executors get a copy of the
+    package as a zip file, once for each application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in map(os.path.abspath, os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    context = spark.sparkContext
+    if context.master.startswith("local") and "cluster" not in context.master:
+        held = context.environment.get("PYTHONPATH", "")
+        if root not in held.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
+    elif not getattr(context, "_lumenary_shipped", False):
+        import shutil
+        import tempfile
+
+        copy = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lumenary"), "zip", root, "lumenary")
+        context.addPyFile(copy)
+        context._lumenary_shipped = True
