@@ -9,12 +9,37 @@ from lumenary.llm import common
 from lumenary.llm.common import vocabulary
 from lumenary.session import ship
 
+# Fixed value: the pattern that cuts text before the merges of the rank files.
+GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return common.documents(spark, sf_dir)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.sharding import shard
+
+    placed, _ = shard(common.documents(spark, sf_dir), n_shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+    )
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.bpe import decode, encode
+
+    own = vocabulary("byte_bpe_multi_50k.tiktoken"), GPT2_PATTERN
+    return decode(encode(documents(spark, sf_dir), *own), *own).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.packing import pack
 
@@ -25,6 +50,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
 }
 
