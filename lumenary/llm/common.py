@@ -26,15 +26,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor loses nothing.
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a local
-    temporary one is taken.
+    Only where none is set (tests) a local temporary folder is taken.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    context = spark.sparkContext
+    held = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not held:
+        held = tempfile.mkdtemp(prefix="checkpoints-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(held)
+    return held.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that a lost executor loses nothing."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

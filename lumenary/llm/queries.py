@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenary.llm import common
 from lumenary.llm.common import vocabulary
+from lumenary.llm.pieces import BYTE_PATTERN
 from lumenary.session import ship
 
-# Fixed value: the pattern that cuts text before the merges of the rank files.
-GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return common.documents(spark, sf_dir)
@@ -31,7 +28,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.bpe import decode, encode
 
-    own = vocabulary("byte_bpe_multi_50k.tiktoken"), GPT2_PATTERN
+    own = vocabulary("byte_bpe_multi_50k.tiktoken"), BYTE_PATTERN
     return decode(encode(documents(spark, sf_dir), *own), *own).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -49,10 +46,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.token_files import round_trip
+
+    held = round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), spaced=False, end_id=0)
+    return held.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
