@@ -46,6 +46,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.fingerprint import likeness
+
+    return likeness(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.token_files import round_trip
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op10_token_files": op10_token_files,
 }
 
