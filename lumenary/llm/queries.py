@@ -46,6 +46,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.secrets import KINDS, scan
+
+    found = scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[-1])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, KINDS[:3]), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.fingerprint import likeness
 
@@ -65,6 +77,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op8_fingerprints": op8_fingerprints,
     "op10_token_files": op10_token_files,
 }
