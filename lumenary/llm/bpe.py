@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm.common import text_batches
+from lumenary.llm.pieces import piece_cutter
 
 #: Above every key of the tree.
 _NONE = 1 << 62
@@ -87,13 +88,11 @@ class Codec:
     """Encoder and decoder of one vocabulary; ids of known pieces are kept, ``most`` at a time."""
 
     def __init__(self, path: str, pattern: str, most: int = 600_000):
-        import regex
-
         self.ranks, self.most = read_ranks(path), most
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.cut = regex.compile(pattern).findall
+        self.cut = piece_cutter(pattern)
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -20,11 +20,9 @@ from functools import lru_cache
 
 import numpy as np
 
-# The piece patterns of the two vocabularies.
-_PIECES = {
-    True: r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
-    False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-}
+from lumenary.llm.pieces import BYTE_PATTERN, WORD_PATTERN, piece_cutter
+
+_PATTERN = {True: WORD_PATTERN, False: BYTE_PATTERN}
 #: What stands between pieces in one call, by kind, and which pieces may stand beside it.
 _BETWEEN = {True: "0", False: "\n"}
 _PLAIN = {True: r"\p{L}+", False: r" ?[^\s]+"}
@@ -33,7 +31,7 @@ _PLAIN = {True: r"\p{L}+", False: r" ?[^\s]+"}
 class PieceTokenizer:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 700_000):
+    def __init__(self, path: str, spaced: bool, most: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -42,7 +40,7 @@ class PieceTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.spaced, self.most = spaced, most
-        self.cut = regex.compile(_PIECES[spaced]).findall
+        self.cut = piece_cutter(_PATTERN[spaced])
         self.plain = regex.compile(_PLAIN[spaced]).fullmatch
         self.between = _BETWEEN[spaced]
         self.mark = self._alone(self.between)
