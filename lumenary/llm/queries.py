@@ -58,6 +58,23 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The chain over low quality and toxicity, fitted on the labelled documents of ``docs``."""
+    from lumenary.llm.toxicity import train
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return train(docs, labels, ["low_quality", "toxic"])
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.toxicity import score
+
+    docs = documents(spark, sf_dir)
+    scored = score(docs, toxicity_chain(spark, docs, sf_dir))
+    return scored.select("doc_id", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"), "p_toxic", "p_low_quality")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.fingerprint import likeness
 
@@ -78,6 +95,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
     "op10_token_files": op10_token_files,
 }
