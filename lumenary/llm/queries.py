@@ -15,6 +15,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.documents(spark, sf_dir)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.sharding import shard
 
@@ -91,6 +99,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
