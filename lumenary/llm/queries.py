@@ -95,6 +95,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likeness(documents(spark, sf_dir))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.vector_dedup import near_duplicates
+
+    ship(spark)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.token_files import round_trip
 
@@ -113,6 +120,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_token_files": op10_token_files,
 }
 
