@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +53,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def without_collector(function: Callable) -> Callable:
+    """Run ``function`` without Python's cycle collector, for work on millions of plain strings."""
+
+    @functools.wraps(function)
+    def run(*args, **options):
+        gc.disable()
+        try:
+            return function(*args, **options)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def text_batches(
     batches: Iterable[pa.RecordBatch], text: str, bytes_at_once: int = 8 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -60,3 +77,9 @@ def text_batches(
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield part, [x or "" for x in column.slice(at, step).to_pylist()]
+
+
+def binaries(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array over one buffer, cut at ``ends``."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import partitions, scratch, text_batches
+from lumenary.llm.common import binaries, partitions, scratch, text_batches
 from lumenary.llm.elias_fano import EliasFano
 from lumenary.llm.ranges import range_bounds, range_of
 from lumenary.llm.tokenizing import piece_tokenizer
@@ -34,16 +34,15 @@ _HEAD = struct.Struct("<8sIQQQq")
 
 
 def write_segment(doc_ids: list[int | None], ids: list[bytes], width: int, before: int) -> bytes:
-    """One segment; ``ids`` are little-endian unsigned 32-bit, documents in ascending order."""
-    lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    """One segment; ``ids`` are little-endian, ``width`` bytes each, documents in ascending order."""
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // width)
     nulls = sum(x is None for x in doc_ids)
     known = np.array(doc_ids[nulls:], np.int64)
     least = int(known[0]) if len(known) else 0
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    n_ids = int(ends[-1])
     names = EliasFano.of(known - least, int(known[-1]) - least + 1 if len(known) else 1)
-    ends = EliasFano.of(np.cumsum(lengths), len(flat) + 1)
-    head = _HEAD.pack(MAGIC, width, before, len(flat), nulls, least)
-    return head + names.to_bytes() + ends.to_bytes() + flat.astype(f"<u{width}").tobytes()
+    head = _HEAD.pack(MAGIC, width, before, n_ids, nulls, least)
+    return b"".join((head, names.to_bytes(), EliasFano.of(ends, n_ids + 1).to_bytes(), *ids))
 
 
 class Segment:
@@ -77,7 +76,7 @@ class Segment:
 
 def write(
     docs: DataFrame, path: str, target: str, *, spaced: bool, end_id: int, width: int = 2,
-    segment_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text",
+    segment_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
     """Tokenize ``docs`` and write its segments to ``target``.
 
@@ -89,19 +88,21 @@ def write(
     bounds = range_bounds(docs, id_col, partitions(spark))
 
     def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = piece_tokenizer(path, spaced), np.array([end_id], "<u4")
+        tokenizer, end = piece_tokenizer(path, spaced), np.array([end_id], "<u4").tobytes()
         for part, texts in text_batches(batches, "text", 4 << 20):
-            ids = [np.concatenate((np.frombuffer(x, "<u4"), end)).astype(f"<u{width}").tobytes() for x in tokenizer.ids(texts)]
+            found = tokenizer.ids(texts)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1)
+            flat = np.frombuffer(end.join(found) + end, "<u4").astype(f"<u{width}")
             where = range_of(part.column(0), bounds)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), part.column(0), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"]
+                [pa.array(where, pa.int32()), part.column(0), binaries(flat, ends * width)], names=["part", "doc_id", "ids"]
             )
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before, size, names, ids = None, 0, 0, [], []
 
         def out() -> pa.RecordBatch:
-            n = sum(len(x) for x in ids) // 4
+            n = size // width
             data = write_segment(names, ids, width, before)
             return pa.RecordBatch.from_arrays(
                 [pa.array([now], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["part", "n_ids", "segment"]
@@ -111,14 +112,14 @@ def write(
             for where, name, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if names and (where != now or size >= segment_bytes):
                     yield out()
-                    before = before + size // 4 if where == now else 0
+                    before = before + size // width if where == now else 0
                     size, names, ids = 0, [], []
                 elif where != now:
                     before = 0
                 now = where
                 names.append(name)
-                ids.append(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
-                size += len(ids[-1])
+                ids.append(data)
+                size += len(data)
         if names:
             yield out()
 
@@ -126,7 +127,9 @@ def write(
         tokenize, "part int, doc_id long, ids binary"
     )
     rows = tokens.repartition(partitions(spark), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    rows.mapInArrow(segments, "part int, n_ids long, segment binary").write.parquet(target)
+    rows.mapInArrow(segments, "part int, n_ids long, segment binary").write.option("compression", "none").parquet(
+        target
+    )
 
 
 def read(stored: DataFrame) -> DataFrame:
@@ -146,9 +149,8 @@ def read(stored: DataFrame) -> DataFrame:
                 held = Segment(data.as_buffer().to_pybytes())
                 ends = held.ends.all()
                 starts = np.concatenate(([0], ends[:-1]))
-                ids = [held.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(held.doc_ids(), pa.int64()), pa.array(starts + held.before + bases[part], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(held.doc_ids(), pa.int64()), pa.array(starts + held.before + bases[part], pa.int64()), binaries(held.ids.astype("<u4"), 4 * ends)],
                     names=["doc_id", "start", "ids"],
                 )
 

@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from lumenary.llm.common import without_collector
 from lumenary.llm.pieces import BYTE_PATTERN, WORD_PATTERN, piece_cutter
 
 _PATTERN = {True: WORD_PATTERN, False: BYTE_PATTERN}
@@ -45,6 +46,7 @@ class PieceTokenizer:
         self.between = _BETWEEN[spaced]
         self.mark = self._alone(self.between)
         self.pieces: dict[str, bytes] = {}
+        self.again: set[str] = set()  # pieces that several batches had
 
     def _alone(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,12 +76,17 @@ class PieceTokenizer:
             starts = [0, *(x + 4 for x in ends)]
             self.pieces.update((piece, data[a:b]) for piece, a, b in zip(some, starts, [*ends, len(data)]))
 
+    @without_collector
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         rows = [self._cut(text) for text in texts]
         used = set().union(*(row for row in rows if row))
-        if len(self.pieces) + len(used) > self.most:
-            self.pieces = {k: self.pieces[k] for k in used if k in self.pieces}
-        self._learn(sorted(used.difference(self.pieces)))
+        new = used.difference(self.pieces)
+        self.again |= used - new
+        if len(self.pieces) + len(new) > self.most:
+            if len(self.again) > self.most // 2:
+                self.again = used - new
+            self.pieces = {k: self.pieces[k] for k in self.again}
+        self._learn(sorted(new))
         piece = self.pieces.__getitem__
         return [self._alone(text) if row is None else b"".join(map(piece, row)) for text, row in zip(texts, rows)]
 
