@@ -34,8 +34,8 @@ from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers
 from lumenary.llm.common import checkpointed, partitions
 from lumenary.llm.hashing import Rolling
 
-#: String starts that are worked on at once.
-SLICE = 2 << 20
+#: String starts that are worked on at once: few enough for arrays of them to stay in a core's cache.
+SLICE = 1 << 16
 #: Triggers of one bucket, at most, about.
 BUCKET = 1_500_000
 
@@ -67,14 +67,15 @@ class Parse:
         if span < width:
             rest = width - span
             least = np.minimum(least[:-rest], least[rest:])
-        starts = np.arange(len(least))
-        doc = np.searchsorted(ends, starts + a, side="right")
-        inside = starts + a + length <= ends[np.minimum(doc, len(ends) - 1)]
-        starts, doc = starts[inside], doc[inside]
-        at = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(starts, prepend=-2) - 1 | np.diff(doc, prepend=-1))
+        inside = np.ones(len(least), bool)
+        for end in ends[np.searchsorted(ends, a) : np.searchsorted(ends, a + len(data), side="right")].tolist():
+            inside[max(0, end - a - length + 1) : max(0, end - a)] = False
+        starts = np.flatnonzero(inside)
+        at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
         last = np.concatenate((new[1:], [len(at)])) - 1 if len(at) else new
-        at, first, last, doc = at[new], starts[new], starts[last], doc[new]
+        at, first, last = at[new], starts[new], starts[last]
+        doc = np.searchsorted(ends, first + a, side="right")
         whole = rolling.spans(first, last + length) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return at + a, first + a, last + a, doc, windows[at], whole
 
