@@ -22,7 +22,7 @@ from lumenary.llm.common import partitions, text_batches
 #: Bytes of text in a chunk, but for a longer document, which is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
-SCHEMA = "chunk long, n_bytes long, doc_ids binary, ends binary, texts binary"
+SCHEMA = "chunk long, n_bytes long, doc_ids binary, ends binary, texts binary, rest binary"
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
@@ -38,26 +38,53 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of ``docs``; a null text is empty, a null id the least 64-bit number."""
+def pack_rows(rows: pa.Table) -> bytes:
+    """Rows of any columns, as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 1)
+
+
+def unpack_rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
+def chunked(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_BYTES, whole: bool = False
+) -> DataFrame:
+    """The chunk table of ``docs``; a null text is empty, a null id the least 64-bit number.
+
+    ``rest`` holds, with ``whole``, the documents' other columns and whether the text is null.
+    """
+    names = [c for c in docs.columns if c != text_col] if whole else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, made = [], [], 0, 0
+        more: list[pa.Table] = []
 
         def out() -> pa.RecordBatch:
             name = (TaskContext.get().partitionId() << 32) + made
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
             body = zstandard.compress(b"".join(texts), 3)
-            row = name, int(ends[-1]), pack_numbers(np.array(ids, np.int64)), pack_numbers(ends), body
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "n_bytes", "doc_ids", "ends", "texts"])
+            rest = pack_rows(pa.concat_tables(more)) if whole else None
+            row = name, int(ends[-1]), pack_numbers(np.array(ids, np.int64)), pack_numbers(ends), body, rest
+            kinds = pa.int64(), pa.int64(), *[pa.binary()] * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "n_bytes", "doc_ids", "ends", "texts", "rest"]
+            )
 
         least = np.iinfo(np.int64).min
-        for part, some in text_batches(batches, "text", size):
-            for doc, text in zip(part.column(0).to_pylist(), some):
+        for part, some in text_batches(batches, "__text", size):
+            own = pa.Table.from_batches([part.select(part.schema.names[2:])]).append_column("__known", part.column(1).is_valid()) if whole else None
+            for k, (doc, text) in enumerate(zip(part.column(0).to_pylist(), some)):
                 data = text.encode("utf-8", "surrogatepass")
                 if texts and held + len(data) > size:
                     yield out()
                     ids, texts, held, made = [], [], 0, made + 1
+                    more.clear()
+                if whole:
+                    more.append(own.slice(k, 1))
                 ids.append(least if doc is None else doc)
                 texts.append(data)
                 held += len(data)
@@ -65,7 +92,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             yield out()
 
     spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *names).mapInArrow(run, SCHEMA)
     n = partitions(spark)
     (
         rows.repartition(n, "chunk").write.format("parquet").option("compression", "none")
@@ -85,3 +112,14 @@ class Chunk:
     @classmethod
     def of(cls, table: pa.Table) -> Chunk:
         return cls(*(table.column(name)[0].as_py() for name in ("doc_ids", "ends", "texts")))
+
+    def text(self, k: int) -> bytes:
+        return self.data[self.ends[k - 1] if k else 0 : self.ends[k]].tobytes()
+
+
+def whole_rows(table: pa.Table, schema: pa.Schema, text_col: str, keep: np.ndarray, texts: list[str]) -> pa.Table:
+    """Rows ``keep`` (numbers) of a whole chunk as they were, with ``texts`` as their texts."""
+    rest = unpack_rows(table.column("rest")[0].as_py()).take(pa.array(keep, pa.int64()))
+    known = rest.column("__known").to_pylist()
+    own = pa.array([text if there else None for text, there in zip(texts, known)], schema.field(text_col).type)
+    return pa.table([own if f.name == text_col else rest.column(f.name).cast(f.type) for f in schema], schema=schema)

@@ -29,9 +29,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm import hashing
-from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers
+from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers, whole_rows
 from lumenary.llm.common import checkpointed, partitions
 from lumenary.llm.components import components
 from lumenary.llm.hashing import mix
@@ -157,11 +158,10 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u8")
 
 
-def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows of every document (``kind`` 0) and of every set that may have a partner (1)."""
-    chunks = chunked(docs, id_col, text_col)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = partitions(docs.sparkSession)
+    buckets = partitions(chunks.sparkSession)
     bits = min(56, max(24, (total // 5).bit_length() + 10))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket int, names binary, counts binary")
     classes = asked.groupBy("bucket").applyInArrow(_frequency, "chunk long, bucket int, classes binary")
     kinds = {
-        "kind": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "digest": pa.string(), "grams": pa.binary(), "first": pa.binary(), "mins": pa.list_(pa.int64()),
+        "kind": pa.int32(), "chunk": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "digest": pa.string(), "grams": pa.binary(), "first": pa.binary(), "mins": pa.list_(pa.int64()),
     }
 
     def look(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -193,8 +193,9 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
             answers = dict(zip(told.column("bucket").to_pylist(), told.column("classes").to_pylist()))
             rank = Asked(sets.grams, buckets, bits).classes(answers)
             least: dict[int, int] = {}
-            for doc, size, own in zip(chunk.doc_ids.tolist(), sets.sizes.tolist(), sets.of.tolist()):
-                rows.append((0, doc, size, sets.digests[own] if own >= 0 else None, None, None, None))
+            name = texts.column("chunk")[0].as_py()
+            for row, (doc, size, own) in enumerate(zip(chunk.doc_ids.tolist(), sets.sizes.tolist(), sets.of.tolist())):
+                rows.append((0, name, row, doc, size, sets.digests[own] if own >= 0 else None, None, None, None))
                 if own >= 0:
                     least[own] = min(doc, least.get(own, doc))
             shared = np.bincount(sets.set, rank > 1, len(sets.lengths))
@@ -208,11 +209,11 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
                 grams, order = grams[keep], order[keep]
                 first = grams[np.lexsort((grams, order))[: max(left, 0)]]
                 mins = [int((mix(grams + np.uint64(k * 0x51ED2701)).min() if len(grams) else np.uint64(0)).astype(np.int64)) for k in range(STARS)]
-                rows.append((1, least[own], size, sets.digests[own], grams.tobytes(), first.tobytes(), mins))
+                rows.append((1, name, -1, least[own], size, sets.digests[own], grams.tobytes(), first.tobytes(), mins))
         columns = list(zip(*rows)) if rows else [[]] * len(kinds)
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)})
 
-    shape = "kind int, doc_id long, size long, digest string, grams binary, first binary, mins array<long>"
+    shape = "kind int, chunk long, row int, doc_id long, size long, digest string, grams binary, first binary, mins array<long>"
     return checkpointed(chunks.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(look, shape))
 
 
@@ -342,17 +343,9 @@ def _across(nodes: DataFrame, known: DataFrame, loose: DataFrame, percent: int)
     return side("a").groupBy("pair").cogroup(side("b").groupBy("pair")).applyInArrow(compare, "a long, b long")
 
 
-def jaccard_components(
-    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
-
-    A component's id is the least document id that links reach. A null text, or one without
-    words, has no n-grams and is alone; a row without an id counts as of the least 64-bit number
-    and gets a null id back. Repeated rows and equal sets are of one component. An empty table
-    gives no rows. Other columns are not read.
-    """
-    rows = _sets(docs, n, percent, id_col, text_col)
+def _joined(chunks: DataFrame, n: int, percent: int) -> DataFrame:
+    """``chunk, row, doc_id, size, digest, component`` of every document."""
+    rows = _sets(chunks, n, percent)
     nodes = rows.filter("kind = 1").groupBy("digest").agg(
         F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "grams", "first", "mins")]
     )
@@ -369,9 +362,43 @@ def jaccard_components(
     # documents come to their set's node, and with it to its component
     sets = rows.filter("kind = 0 and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     named = checkpointed(sets.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
+    held = rows.filter("kind = 0").select("chunk", "row", "doc_id", "size", "digest")
+    return held.join(named, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    A component's id is the least document id that links reach. A null text, or one without
+    words, has no n-grams and is alone; a row without an id counts as of the least 64-bit number
+    and gets a null id back. Repeated rows and equal sets are of one component. An empty table
+    gives no rows. Other columns are not read.
+    """
     least = -(1 << 63)
-    return rows.filter("kind = 0").join(named, "digest", "left").select(
+    return _joined(chunked(docs, id_col, text_col), n, percent).select(
         F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"),
         F.col("size").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
+        F.col("component").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of least id in their component, one each, as they were.
+
+    Of rows with one id, the first in its chunk stays; documents without words all stay.
+    """
+    chunks = chunked(docs, id_col, text_col, whole=True)
+    rows = _joined(chunks, n, percent)
+    alone = rows.filter("digest is null").select("chunk", "row")
+    first = rows.filter("digest is not null").groupBy("component").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("f")).select("f.chunk", "f.row")
+    arrow = to_arrow_schema(docs.schema)
+
+    def keep(texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts.num_rows or not told.num_rows:
+            return arrow.empty_table()
+        chunk, rows = Chunk.of(texts), np.sort(told.column("row").to_numpy())
+        return whole_rows(texts, arrow, text_col, rows, [chunk.text(k).decode("utf-8", "surrogatepass") for k in rows.tolist()])
+
+    return chunks.groupBy("chunk").cogroup(first.union(alone).groupBy("chunk")).applyInArrow(keep, docs.schema)

@@ -22,15 +22,16 @@ Texts move once, when chunks are formed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers
+from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers, whole_rows
 from lumenary.llm.common import checkpointed, partitions
 from lumenary.llm.hashing import Rolling
 
@@ -239,11 +240,65 @@ def remove_repeats(
     than ``length`` keeps all. Rows of one id do not remove each other's strings; a row without an
     id comes before all others. An empty table gives no rows. Other columns are not read.
     """
+    shape = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
+
+    def rows(texts: pa.Table, chunk: Chunk | None, gone: np.ndarray) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        if chunk is not None:
+            starts = np.concatenate(([0], chunk.ends[:-1]))
+            for doc, a, b in zip(chunk.doc_ids.tolist(), starts.tolist(), chunk.ends.tolist()):
+                mask = gone[a:b]
+                n = int(np.count_nonzero(mask))
+                edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)) if n else np.zeros(0, np.int64)
+                out[0].append(None if doc == np.iinfo(np.int64).min else doc)
+                out[1].append(b - a)
+                out[2].append(n)
+                out[3].append([{"start": x, "stop": y} for x, y in edges.reshape(-1, 2).tolist()])
+                out[4].append((chunk.data[a:b][~mask] if n else chunk.data[a:b]).tobytes())
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary()}
+        return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), out)})
+
+    return _pass(chunked(docs, id_col, text_col), length, trigger, rows, shape)
+
+
+def without_repeats(
+    docs: DataFrame, length: int, trigger: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with those strings taken out of the texts, all columns kept.
+
+    A character that a removed string cuts goes, too. A document of which nothing visible is left
+    goes; one that lost nothing stays as it was, null texts included.
+    """
+    schema = docs.schema
+    arrow = to_arrow_schema(schema)
+
+    def rows(texts: pa.Table, chunk: Chunk | None, gone: np.ndarray) -> pa.Table:
+        if chunk is None:
+            return arrow.empty_table()
+        keep, left = [], []
+        for k, (a, b) in enumerate(zip(np.concatenate(([0], chunk.ends[:-1])).tolist(), chunk.ends.tolist())):
+            mask = gone[a:b]
+            if mask.any():
+                text = chunk.data[a:b][~mask].tobytes().decode("utf-8", "ignore")
+                if not text.strip():
+                    continue
+            else:
+                text = chunk.text(k).decode("utf-8", "surrogatepass")
+            keep.append(k)
+            left.append(text)
+        return whole_rows(texts, arrow, text_col, np.array(keep, np.int64), left)
+
+    return _pass(chunked(docs, id_col, text_col, whole=True), length, trigger, rows, schema)
+
+
+def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, shape) -> DataFrame:
+    """``rows(chunk row, chunk, removed bytes)`` of every chunk."""
     trigger = trigger or min(32, max(1, length * 2 // 3))
-    spark = docs.sparkSession
-    chunks = chunked(docs, id_col, text_col)
+    if not 0 < trigger < length:
+        raise ValueError("a trigger must be shorter than the strings that are removed")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(partitions(spark), int(2 * total / (length - trigger + 2) / BUCKET))
+    buckets = max(partitions(chunks.sparkSession), int(2 * total / (length - trigger + 2) / BUCKET))
     reach = length - trigger
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,33 +351,14 @@ def remove_repeats(
         contexts.groupBy("bucket").applyInArrow(lambda t: _earlier(t, length, trigger), "chunk long, bucket int, bits binary")
     )
     both = several.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
-    shape = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
     def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _results([], [], [], [], [])
+            return rows(texts, None, np.zeros(0, bool))
         kind = told.column("kind").to_numpy()
         chunk, parse, held = parsed(texts, told.filter(pa.array(kind == 0)))
         own = told.filter(pa.array(kind == 1))
         answers = dict(zip(own.column("bucket").to_pylist(), own.column("bits").to_pylist()))
-        gone = _removed(chunk, parse, held, answers, length, trigger)
-        starts = np.concatenate(([0], chunk.ends[:-1]))
-        out: list[list] = [[], [], [], [], []]
-        for doc, a, b in zip(chunk.doc_ids.tolist(), starts.tolist(), chunk.ends.tolist()):
-            mask = gone[a:b]
-            n = int(np.count_nonzero(mask))
-            edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)) if n else np.zeros(0, np.int64)
-            out[0].append(None if doc == np.iinfo(np.int64).min else doc)
-            out[1].append(b - a)
-            out[2].append(n)
-            out[3].append([{"start": x, "stop": y} for x, y in edges.reshape(-1, 2).tolist()])
-            out[4].append((chunk.data[a:b][~mask] if n else chunk.data[a:b]).tobytes())
-        return _results(*out)
+        return rows(texts, chunk, _removed(chunk, parse, held, answers, length, trigger))
 
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, shape)
-
-
-def _results(*columns: list) -> pa.Table:
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary()}
-    return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns)})

@@ -218,3 +218,16 @@ def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = (), id_col: str =
             )
 
     return docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def screen(docs: DataFrame, chain: Chain, category: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose probability of ``category`` is below ``least``, as they were."""
+    held = docs.sparkSession.sparkContext.broadcast(chain)
+    place = list(chain.categories).index(category)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_batches(batches, text_col, 2 << 20):
+            p = held.value.probabilities(Rows(*features(texts)))[:, place]
+            yield part.filter(pa.array(p < least))
+
+    return docs.mapInArrow(run, docs.schema)
