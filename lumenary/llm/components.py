@@ -19,18 +19,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b")
     links = checkpointed(links.distinct())
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = checkpointed(ends.withColumn("component", F.col("node")))
+    steps = []
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         step = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
         step = checkpointed(step)
-        for _ in range(2):
-            onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
-            step = checkpointed(step.join(onward, "to").select("node", F.col("root").alias("to")))
-        named = step.select(F.col("node").alias("component"), "to")
-        labels = labels.join(named, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = checkpointed(labels)
+        onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        once = step.join(onward, "to").select("node", F.col("root").alias("to"))
+        onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        step = checkpointed(once.join(onward, "to").select("node", F.col("root").alias("to")))
+        steps.append(step)
         left, right = (step.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to")) for x in "ab")
         moved = links.join(left, "a").join(right, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         links = checkpointed(moved.filter("a < b").distinct())
-    return labels
+    labels = ends.withColumn("component", F.col("node"))
+    for step in steps:
+        named = step.select(F.col("node").alias("component"), "to")
+        labels = labels.join(named, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return checkpointed(labels)

@@ -293,10 +293,10 @@ def _open(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]
 
 def _across(nodes: DataFrame, known: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between nodes of different components, by the token-group matrix."""
-    at = lambda labels, name: labels.select("node", F.col("component").alias(name))
+    at = lambda labels, name: labels.select(F.col("node").alias("node"), F.col("component").alias(name))
     placed = (
         nodes.join(at(known, "component"), "node", "left").join(at(loose, "looser"), "node", "left")
-        .select("*", F.coalesce("component", "node").alias("c"), F.coalesce("looser", "component", "node").alias("g"))
+        .select("*", F.coalesce("component", "node").alias("c"), F.coalesce("looser", "node").alias("g"))
         .drop("component", "looser", "mins")
     )
     placed = checkpointed(placed.select("node", "size", "grams", "first", F.col("c").alias("component"), F.col("g").alias("looser")))
@@ -356,7 +356,11 @@ def _joined(chunks: DataFrame, n: int, percent: int) -> DataFrame:
     alike = checkpointed(_likeness(pairs, nodes))
     sure = alike.filter(linked(F.col("both"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
     known = components(sure)
-    loose = components(alike.filter(linked(F.col("both"), F.col("size_a"), F.col("size_b"), LOOSE)).select("a", "b"))
+    # the looser group: the least like node of one star, and that node's own
+    near = alike.filter(linked(F.col("both"), F.col("size_a"), F.col("size_b"), LOOSE))
+    near = checkpointed(near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")))
+    onward = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    loose = near.join(onward, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     more = checkpointed(_across(nodes, known, loose, percent))
     final = known if more.isEmpty() else components(sure.union(more))
     # documents come to their set's node, and with it to its component

@@ -166,7 +166,7 @@ class Chain:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, most_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> Chain:
     """A chain from labelled documents; ``labels``: ``doc_id`` and a 0/1 column for each category.
 
