@@ -11,9 +11,9 @@ from lumenary.llm.common import checkpointed
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (long) of every linked node; a component's name is its least node.
 
-    Each round points every node to its least neighbour, follows pointers twice over, and
-    replaces linked nodes by what they point to, so a star collapses in one round and a path to
-    a quarter or less. Links and labels stay distributed; every round is written to the shared
+    Each round points every node to its least neighbour (or itself), follows the pointers to their
+    ends by doubling, and replaces linked nodes by what they point to. A star and a rising path
+    collapse in one round, and in any other only local minima are left. Links and labels stay distributed; every round is written to the shared
     checkpoint folder. An empty table has no components.
     """
     links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b")
@@ -24,14 +24,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = links.union(links.select("b", "a"))
         step = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
         step = checkpointed(step)
-        onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        once = step.join(onward, "to").select("node", F.col("root").alias("to"))
-        onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        step = checkpointed(once.join(onward, "to").select("node", F.col("root").alias("to")))
+        while True:  # every node to its root, twice as far each time
+            onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
+            moved = step.join(onward, "to").select("node", F.col("root").alias("to"), (F.col("to") != F.col("root")).alias("moved"))
+            moved = checkpointed(moved)
+            step = moved.select("node", "to")
+            if moved.filter("moved").isEmpty():
+                break
         steps.append(step)
         left, right = (step.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to")) for x in "ab")
-        moved = links.join(left, "a").join(right, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-        links = checkpointed(moved.filter("a < b").distinct())
+        ends_of = links.join(left, "a").join(right, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+        links = checkpointed(ends_of.filter("a < b").distinct())
     labels = ends.withColumn("component", F.col("node"))
     for step in steps:
         named = step.select(F.col("node").alias("component"), "to")
