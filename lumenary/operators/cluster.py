@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -108,3 +110,44 @@ def top_terms(weights: DataFrame, clusters: DataFrame, cluster: str, sizes: Data
     return ranked.groupBy(cluster).agg(held.alias("t")).select(
         cluster, F.array_join("t", "; ").alias("terms"), F.array_join(F.slice("t", 1, 3), " / ").alias("name")
     )
+
+
+def similar_pairs(df: DataFrame, vector: str, id_col: str, least: float, blocks: int = 8) -> DataFrame:
+    """``a, b, cosine`` of all pairs (a < b) from ``least`` up.
+
+    Every pair is looked at, block against block as matrix products, so the work is that of the
+    square by definition; what moves is each block once for every other, and only pairs from
+    ``least`` up come out. For near duplicates in large tables use an index instead.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v")).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    up = rows.withColumn("o", F.explode(F.sequence("k", F.lit(blocks - 1)))).select(F.concat_ws(":", "k", "o").alias("pair"), "id", "v")
+    down = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k")))).select(F.concat_ws(":", "o", "k").alias("pair"), F.col("id").alias("id2"), F.col("v").alias("v2"))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            i = j = np.zeros(0, np.int64)
+            value = np.zeros(0)
+        else:
+            like = unit(left.column("v")) @ unit(right.column("v2")).T
+            at, to = left.column("id").to_numpy(), right.column("id2").to_numpy()
+            same = left.column("pair")[0].as_py().split(":")
+            hit = (like >= least) & ((at[:, None] < to[None, :]) if same[0] == same[1] else (at[:, None] != to[None, :]))
+            r, c = np.nonzero(hit)
+            i, j, value = np.minimum(at[r], to[c]), np.maximum(at[r], to[c]), like[r, c]
+        return pa.table({"a": pa.array(i, pa.int64()), "b": pa.array(j, pa.int64()), "cosine": pa.array(value, pa.float64())})
+
+    return up.groupBy("pair").cogroup(down.groupBy("pair")).applyInArrow(compare, "a long, b long, cosine double")
+
+
+def compare_k(df: DataFrame, vector: str, category: str, size: int, ks: tuple[int, ...] = (9, 12, 13), seeds: int = 3) -> DataFrame:
+    """Silhouette and purity of k-means for several k, best silhouette first."""
+    out = None
+    for k in ks:
+        _, found = best_kmeans(df, vector, k, seeds)
+        one = silhouette(found, "cluster", vector, size).join(purity(majority(found, "cluster", category))).withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("silhouette"), F.desc("purity"))

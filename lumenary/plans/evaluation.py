@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import text, vectors
 from lumenary.operators import classify, cluster, extract, represent, search, sentiment
-from lumenary.plans.corpus import ARTICLES, TERMS
+from lumenary.plans.corpus import ARTICLES
 from lumenary.plans.retrieval import TFIDF
 from lumenary.session import table
 from lumenary.sources import html
@@ -67,17 +67,13 @@ def block_mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.select("label", "blocks", F.posexplode("mean").alias("dimension", "mean"))
 
 
-def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine of documents that share rare terms: pairs from postings of terms that few documents have."""
-    docs = from_documents(spark, sf)
-    tf = search.counts(docs, text.terms("content"))
-    rare = tf.groupBy("term").agg(F.count("*").alias("df")).filter("df between 2 and 6").select("term")
-    own = tf.join(rare, "term")
-    norms = own.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l"))
-    a, b = (own.select("term", F.col("doc_id").alias(x), F.col("tf").alias(f"tf_{x}")) for x in "ab")
-    dots = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"))
-    la, lb = (norms.select(F.col("doc_id").alias(x), F.col("l").alias(f"l_{x}")) for x in "ab")
-    return dots.join(la, "a").join(lb, "b").select("a", "b", F.round(F.col("dot") / (F.col("l_a") * F.col("l_b")), 6).alias("cosine")).filter("cosine >= 0.5")
+def similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = cluster.similar_pairs(table(spark, sf, "embeddings"), "embedding", "vec_id", 0.35)
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def cluster_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.compare_k(_labelled(spark, sf), "embedding", "category", DIMENSIONS)
 
 
 LEXICON = sentiment.Lexicon(
@@ -202,7 +198,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cluster_category_crosstab, cluster_majority, cluster_purity, cluster_confusion, cluster_cohesion, centroid_distances,
-        centroid_distance_summary, silhouette_cosine, cluster_top_terms, block_mean_pooling, similar_documents, sentiment_scores,
+        centroid_distance_summary, silhouette_cosine, cluster_top_terms, block_mean_pooling, similarity_pairs, cluster_comparison, sentiment_scores,
         sentiment_rollup, sentiment_overall, classification_report, training_set_filter, stratified_split, train_classifier,
         train_dense_classifier, kmeans_clusters, pca_coordinates, word2vec_search, enriched_articles, html_extract, link_extract,
         event_daily_counts, relation_triples, relation_rollup, entity_rollup,
@@ -282,10 +278,8 @@ r AS (SELECT category, term, row_number() OVER (PARTITION BY category ORDER BY r
 SELECT category, string_agg(term, '; ' ORDER BY k) FILTER (k <= 8) AS terms, string_agg(term, ' / ' ORDER BY k) FILTER (k <= 3) AS name FROM r GROUP BY category""",
     "block_mean_pooling": LABELLED + f""", m AS (SELECT label, count(*) AS blocks, [{", ".join(f"round(avg(v[{k + 1}]), 6)" for k in range(DIMENSIONS))}] AS mean FROM e GROUP BY label)
 SELECT label, blocks, CAST(d AS INTEGER) AS dimension, mean[d + 1] AS mean FROM m, (SELECT unnest(range({DIMENSIONS})) AS d)""",
-    "similar_documents": ARTICLES + f""", {TERMS}, rare AS (SELECT term FROM tf GROUP BY term HAVING count(*) BETWEEN 2 AND 6), o AS (SELECT * FROM tf SEMI JOIN rare USING (term)),
-l AS (SELECT doc_id, sqrt(sum(tf * tf)) AS l FROM o GROUP BY doc_id)
-SELECT a, b, round(dot / (x.l * y.l), 6) AS cosine FROM (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.tf * q.tf) AS dot FROM o p JOIN o q ON p.term = q.term AND p.doc_id < q.doc_id GROUP BY ALL)
-JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b WHERE round(dot / (x.l * y.l), 6) >= 0.5""",
+    "similarity_pairs": UNIT + """ SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id
+WHERE list_dot_product(a.u, b.u) >= 0.35""",
     "sentiment_scores": _sentiment_sql() + " SELECT doc_id, positive_score, negative_score, sentiment_terms, sentiment_score, sentiment_label FROM scored",
     "sentiment_rollup": _sentiment_sql() + f" SELECT category, {ROLLUP} GROUP BY category",
     "sentiment_overall": _sentiment_sql() + f" SELECT {ROLLUP}",
