@@ -28,4 +28,12 @@ def piece_cutter(pattern: str) -> Callable[[str], list[str]]:
     if pattern not in _LATIN:
         return full
     latin = re.compile(_LATIN[pattern]).findall
-    return lambda text: (full if _OTHER(text) else latin)(text)
+
+    def cut(text: str) -> list[str]:
+        if text.isascii():  # then a few searches for single characters do
+            odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        else:
+            odd = _OTHER(text)
+        return full(text) if odd else latin(text)
+
+    return cut
