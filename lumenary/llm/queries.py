@@ -124,4 +124,22 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Components by reachability over links ``l(a, b)`` (both ways) of rows ``r(id)``.
+_REACH = """reach AS (SELECT id, id AS other FROM r UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, least(len(w), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT id AS doc_id, n AS n_shingles, component_id FROM c JOIN n ON n.doc_id = c.id""",
+    "op9_vector_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS s FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.s > 0 AND b.s > 0 AND list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.9),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), r AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN k ON k.a = id""",
+}
