@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenary.llm.chunks import drop_chunks
 from lumenary.llm.common import scratch, vocabulary
 from lumenary.llm.ngram_join import one_of_each
 from lumenary.llm.packing import pack
@@ -82,5 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        drop_chunks(spark)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

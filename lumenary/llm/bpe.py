@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenary.llm.common import text_batches
+from lumenary.llm.common import kept_in_worker, text_batches
 from lumenary.llm.pieces import piece_cutter
 
 #: Above every key of the tree.
@@ -111,6 +111,7 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@kept_in_worker
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -136,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for part, texts in text_batches(batches, "text", 4 << 20):
+        for part, texts in text_batches(batches, "text", 4 << 20, keep=True):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(coder.encode(texts)).cast(arrow[1].type)], schema=arrow)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import partitions, text_batches
+from lumenary.llm.common import partitions, release, text_batches
 
 #: Bytes of text in a chunk, but for a longer document, which is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -98,13 +98,25 @@ def chunked(
         rows.repartition(n, "chunk").write.format("parquet").option("compression", "none")
         .bucketBy(n, "chunk").saveAsTable(name)
     )
+    _made.append(name)
     return spark.table(name)
 
 
+#: Chunk tables of this process that are still there.
+_made: list[str] = []
+
+
+def drop_chunks(spark: SparkSession) -> None:
+    """Drop the chunk tables made so far; to be called when results read from them are written."""
+    while _made:
+        spark.sql(f"DROP TABLE IF EXISTS {_made.pop()}")
+
+
 class Chunk:
     """One row of the table, unpacked."""
 
     def __init__(self, doc_ids: bytes, ends: bytes, texts: bytes):
+        release()  # the chunk before
         self.doc_ids = unpack_numbers(doc_ids).astype(np.int64)
         self.ends = unpack_numbers(ends).astype(np.int64)
         self.data = np.frombuffer(zstandard.decompress(texts), np.uint8) if self.ends[-1] else np.zeros(0, np.uint8)

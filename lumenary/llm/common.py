@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import os
@@ -67,16 +68,69 @@ def without_collector(function: Callable) -> Callable:
     return run
 
 
+_kept: list[Callable[[], None]] = []
+
+
+def kept_in_worker(cached: Callable) -> Callable:
+    """Mark an ``lru_cache`` that tasks of one operator share; another operator's task empties it."""
+    _kept.append(cached.cache_clear)
+    return cached
+
+
+def release(keep: bool = False) -> None:
+    """Give memory back to the system: what is freed and, unless ``keep``, what workers keep.
+
+    Workers live as long as their executor, so what one task leaves behind counts for all.
+    """
+    if not keep:
+        for clear in _kept:
+            clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(function: Callable) -> Callable:
+    """``function`` of one group's table, after which a worker holds no memory of the group."""
+
+    def run(table):
+        try:
+            return function(table)
+        finally:
+            release()
+
+    return run
+
+
+def tidy_pair(function: Callable) -> Callable:
+    """As ``tidy``, of a cogroup's two tables."""
+
+    def run(left, right):
+        try:
+            return function(left, right)
+        finally:
+            release()
+
+    return run
+
+
 def text_batches(
-    batches: Iterable[pa.RecordBatch], text: str, bytes_at_once: int = 8 << 20
+    batches: Iterable[pa.RecordBatch], text: str, bytes_at_once: int = 8 << 20, keep: bool = False
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (null: empty), each of about ``bytes_at_once``."""
+    """Slices of the batches with their texts (null: empty), each of about ``bytes_at_once``.
+
+    ``keep``: the caller uses what workers keep between tasks.
+    """
+    release(keep)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         step = max(1, int(batch.num_rows * bytes_at_once / max(1, column.nbytes)))
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield part, [x or "" for x in column.slice(at, step).to_pylist()]
+    release(keep)
 
 
 def binaries(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:

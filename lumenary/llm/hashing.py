@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -66,6 +67,19 @@ def join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), ends
 
 
+def strips(ends: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Numbers of the first and past the last text of runs of about ``size`` bytes.
+
+    Arrays over so many bytes stay in a core's cache; a longer text is a run of its own.
+    """
+    a, n = 0, len(ends)
+    while a < n:
+        start = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, start + size, side="right")))
+        yield a, min(b, n)
+        a = b
+
+
 def words(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of runs of bytes that ``inside`` marks, and the number of each one's text.
 

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm import hashing
 from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers, whole_rows
-from lumenary.llm.common import checkpointed, partitions
+from lumenary.llm.common import checkpointed, partitions, release, tidy, tidy_pair
 from lumenary.llm.components import components
 from lumenary.llm.hashing import mix
 
@@ -90,7 +90,13 @@ class Sets:
     def __init__(self, chunk: Chunk, n: int):
         import xxhash
 
-        grams, ends = shingles(chunk.data, chunk.ends, n)
+        parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in hashing.strips(chunk.ends):
+            start = chunk.ends[a - 1] if a else 0
+            found, own = shingles(chunk.data[start : chunk.ends[b - 1]], chunk.ends[a:b] - start, n)
+            parts.append(found)
+            sizes.append(np.diff(own, prepend=0))
+        grams, ends = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
         self.sizes = np.diff(ends, prepend=0)
         self.digests: list[str] = []
         self.of = np.full(len(ends), -1)
@@ -178,9 +184,10 @@ def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
                     ],
                     names=["chunk", "bucket", "names", "counts"],
                 )
+        release()
 
     asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket int, names binary, counts binary")
-    classes = asked.groupBy("bucket").applyInArrow(_frequency, "chunk long, bucket int, classes binary")
+    classes = asked.groupBy("bucket").applyInArrow(tidy(_frequency), "chunk long, bucket int, classes binary")
     kinds = {
         "kind": pa.int32(), "chunk": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "digest": pa.string(), "grams": pa.binary(), "first": pa.binary(), "mins": pa.list_(pa.int64()),
     }
@@ -214,7 +221,7 @@ def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)})
 
     shape = "kind int, chunk long, row int, doc_id long, size long, digest string, grams binary, first binary, mins array<long>"
-    return checkpointed(chunks.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(look, shape))
+    return checkpointed(chunks.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(tidy_pair(look), shape))
 
 
 def _likeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -228,6 +235,7 @@ def _likeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], names=["a", "b", "size_a", "size_b", "both"])
+        release()
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "grams_a", "grams_b")
     return joined.mapInArrow(count, "a long, b long, size_a long, size_b long, both long")
@@ -340,7 +348,7 @@ def _across(nodes: DataFrame, known: DataFrame, loose: DataFrame, percent: int)
         found = _open(a, b, percent)
         return pa.table({k: pa.array([pair[i] for pair in found], pa.int64()) for i, k in enumerate("ab")})
 
-    return side("a").groupBy("pair").cogroup(side("b").groupBy("pair")).applyInArrow(compare, "a long, b long")
+    return side("a").groupBy("pair").cogroup(side("b").groupBy("pair")).applyInArrow(tidy_pair(compare), "a long, b long")
 
 
 def _joined(chunks: DataFrame, n: int, percent: int) -> DataFrame:
@@ -405,4 +413,4 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
         chunk, rows = Chunk.of(texts), np.sort(told.column("row").to_numpy())
         return whole_rows(texts, arrow, text_col, rows, [chunk.text(k).decode("utf-8", "surrogatepass") for k in rows.tolist()])
 
-    return chunks.groupBy("chunk").cogroup(first.union(alone).groupBy("chunk")).applyInArrow(keep, docs.schema)
+    return chunks.groupBy("chunk").cogroup(first.union(alone).groupBy("chunk")).applyInArrow(tidy_pair(keep), docs.schema)

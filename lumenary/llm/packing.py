@@ -97,7 +97,7 @@ class SumOfSquares:
 
 def _packer(path: str, spaced: bool, end_id: int, window: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = piece_tokenizer(path, spaced), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = piece_tokenizer(path, spaced, 350_000), np.array([end_id], "<u4").tobytes()
         packer, held, done = SumOfSquares(window), [], 0
         first = TaskContext.get().partitionId() << SEQUENCE_BITS
 
@@ -119,7 +119,7 @@ def _packer(path: str, spaced: bool, end_id: int, window: int, schema: pa.Schema
             return batch
 
         size = 0
-        for part, texts in text_batches(batches, "text"):
+        for part, texts in text_batches(batches, "text", keep=True):
             for doc, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts)):
                 size += rows(packer.add(doc, ids + end))
                 if size > 8 << 20:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers, whole_rows
-from lumenary.llm.common import checkpointed, partitions
+from lumenary.llm.common import checkpointed, partitions, release, tidy, tidy_pair
 from lumenary.llm.hashing import Rolling
 
 #: String starts that are worked on at once: few enough for arrays of them to stay in a core's cache.
@@ -316,9 +316,10 @@ def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, s
                     ],
                     names=["chunk", "bucket", "names", "flags"],
                 )
+        release()
 
     asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket int, names binary, flags binary")
-    several = checkpointed(asked.groupBy("bucket").applyInArrow(_several, "chunk long, bucket int, bits binary"))
+    several = checkpointed(asked.groupBy("bucket").applyInArrow(tidy(_several), "chunk long, bucket int, bits binary"))
 
     def parsed(texts: pa.Table, told: pa.Table) -> tuple[Chunk, Parse, Contexts]:
         chunk = Chunk.of(texts)
@@ -345,10 +346,10 @@ def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, s
 
     contexts = (
         chunks.groupBy("chunk").cogroup(several.groupBy("chunk"))
-        .applyInArrow(look, "chunk long, bucket int, contexts binary, lefts binary, rights binary, docs binary")
+        .applyInArrow(tidy_pair(look), "chunk long, bucket int, contexts binary, lefts binary, rights binary, docs binary")
     )
     earlier = checkpointed(
-        contexts.groupBy("bucket").applyInArrow(lambda t: _earlier(t, length, trigger), "chunk long, bucket int, bits binary")
+        contexts.groupBy("bucket").applyInArrow(tidy(lambda t: _earlier(t, length, trigger)), "chunk long, bucket int, bits binary")
     )
     both = several.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
 
@@ -361,4 +362,4 @@ def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, s
         answers = dict(zip(own.column("bucket").to_pylist(), own.column("bits").to_pylist()))
         return rows(texts, chunk, _removed(chunk, parse, held, answers, length, trigger))
 
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, shape)
+    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidy_pair(finish), shape)

@@ -89,7 +89,7 @@ def write(
 
     def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = piece_tokenizer(path, spaced), np.array([end_id], "<u4").tobytes()
-        for part, texts in text_batches(batches, "text", 4 << 20):
+        for part, texts in text_batches(batches, "text", 4 << 20, keep=True):
             found = tokenizer.ids(texts)
             ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1)
             flat = np.frombuffer(end.join(found) + end, "<u4").astype(f"<u{width}")

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from lumenary.llm.common import without_collector
+from lumenary.llm.common import kept_in_worker, without_collector
 from lumenary.llm.pieces import BYTE_PATTERN, WORD_PATTERN, piece_cutter
 
 _PATTERN = {True: WORD_PATTERN, False: BYTE_PATTERN}
@@ -92,7 +92,8 @@ class PieceTokenizer:
         return [self._alone(text) if row is None else b"".join(map(piece, row)) for text, row in zip(texts, rows)]
 
 
+@kept_in_worker
 @lru_cache(maxsize=2)
-def piece_tokenizer(path: str, spaced: bool) -> PieceTokenizer:
-    """One tokenizer for each worker process and file."""
-    return PieceTokenizer(path, spaced)
+def piece_tokenizer(path: str, spaced: bool, most: int = 600_000) -> PieceTokenizer:
+    """One tokenizer for each worker process and file; ``most`` pieces are remembered."""
+    return PieceTokenizer(path, spaced, most)

@@ -184,7 +184,7 @@ def train(
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_batches(batches, "text"):
+        for part, texts in text_batches(batches, "text", 1 << 18):
             columns, ends = features(texts)
             cut = [c.astype("<u4").tobytes() for c in np.split(columns, ends[:-1])]
             yield pa.RecordBatch.from_arrays(
@@ -211,7 +211,7 @@ def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = (), id_col: str =
     schema = T.StructType(fields + [T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_batches(batches, "__text", 2 << 20):
+        for part, texts in text_batches(batches, "__text", 1 << 18):
             p = held.value.probabilities(Rows(*features(texts)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=schema.names
@@ -226,7 +226,7 @@ def screen(docs: DataFrame, chain: Chain, category: str, least: float = 0.5, tex
     place = list(chain.categories).index(category)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_batches(batches, text_col, 2 << 20):
+        for part, texts in text_batches(batches, text_col, 1 << 18):
             p = held.value.probabilities(Rows(*features(texts)))[:, place]
             yield part.filter(pa.array(p < least))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenary.llm import suffix_dedup
-from lumenary.llm.chunks import Chunk, chunked
+from lumenary.llm.chunks import Chunk, chunked, drop_chunks
 
 
 def brute(rows, length):
@@ -77,3 +77,5 @@ def test_chunks_hold_every_document(spark, corpus):
     table = chunked(corpus(rows), size=3000, whole=True)
     chunks = [Chunk(r["doc_ids"], r["ends"], r["texts"]) for r in table.collect()]
     assert sorted((int(d), c.text(k).decode()) for c in chunks for k, d in enumerate(c.doc_ids)) == rows
+    drop_chunks(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
