@@ -57,7 +57,10 @@ def fold(c: Column | str) -> Column:
     for char, plain in longer:
         expanded = F.replace(expanded, F.lit(char), F.lit(plain))
     some = "[" + "".join(char for char, _ in longer) + "]"
-    return F.lower(F.regexp_replace(F.when(text.rlike(some), expanded).otherwise(text), r"[^\x00-\x7F]", ""))
+    plain_text = F.coalesce(_col(c), F.lit(""))
+    folded = F.regexp_replace(F.when(text.rlike(some), expanded).otherwise(text), r"[^\x00-\x7F]+", "")
+    # ``translate`` looks every character up, so text that is ASCII already goes without it
+    return F.lower(F.when(plain_text.rlike(r"[^\x00-\x7F]"), folded).otherwise(plain_text))
 
 
 def hash_form(c: Column | str) -> Column:

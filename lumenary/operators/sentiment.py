@@ -51,7 +51,7 @@ def hits(held: Column, lexicon: Lexicon) -> Column:
         for words, window, factor in ((lexicon.negations, near, -0.8), (lexicon.intensifiers, nearer, 1.4), (lexicon.diminishers, nearer, 0.7)):
             if words:
                 weight = weight * F.when(F.arrays_overlap(window, F.array(*map(F.lit, words))), factor).otherwise(1.0)
-        return F.when(F.array_contains(F.map_keys(known), token), F.struct(token.alias("term"), weight.alias("weight")))
+        return F.when(token.isin(*lexicon.words), F.struct(token.alias("term"), weight.alias("weight")))
 
     return F.filter(F.transform(held, one), lambda h: h.isNotNull())
 
