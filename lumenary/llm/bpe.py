@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenary.llm.common import kept_in_worker, text_batches
+from lumenary.llm.common import kept_in_worker, text_batches, without_collector
 from lumenary.llm.pieces import piece_cutter
 
 #: Above every key of the tree.
@@ -87,22 +87,28 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoder and decoder of one vocabulary; ids of known pieces are kept, ``most`` at a time."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 350_000):
         self.ranks, self.most = read_ranks(path), most
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.cut = piece_cutter(pattern)
         self.pieces: dict[str, bytes] = {}
+        self.again: set[str] = set()  # pieces that several batches had
 
+    @without_collector
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         rows = [self.cut(text) for text in texts]
         used = set().union(*rows)
-        if len(self.pieces) + len(used) > self.most:
-            self.pieces = {k: self.pieces[k] for k in used if k in self.pieces}
+        new = used.difference(self.pieces)
+        self.again |= used - new
+        if len(self.pieces) + len(new) > self.most:
+            if len(self.again) > self.most // 2:
+                self.again = used - new
+            self.pieces = {k: self.pieces[k] for k in self.again}
         known, ranks = self.pieces, self.ranks
-        for piece in used.difference(known):
+        for piece in new:
             ids = merge(piece.encode("utf-8", "surrogatepass"), ranks)
             known[piece] = b"".join(id.to_bytes(4, "little") for id in ids)
         return [b"".join(map(known.__getitem__, row)) for row in rows]
