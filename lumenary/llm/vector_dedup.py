@@ -1,16 +1,18 @@
 """Near-duplicate vectors by product quantisation over inverted lists, reranked exactly.
 
 Vectors are assigned to the coarse centroid that is most alike (inverted lists), and what the
-centroid leaves is coded subspace by subspace. A query looks in the lists of its ``probes`` most
-alike centroids: its similarity to a coded vector is one table look-up for each subspace
-(asymmetric distance), and with the length of the coding error, which the index keeps, that
-bounds the true cosine from above. Only vectors whose bound reaches the threshold are compared,
-in double precision. So coding loses no pair; a pair is lost only where neither vector probes the
-other's list.
-
-Equal vectors are one entry with a count. Lists and the queries for them are cut into blocks, and
-a task compares one block of either; it gives counts and a spanning forest of its links, so
-pairs inside a large group never leave it.
+centroid leaves is coded subspace by subspace. A query looks in every list that can hold a partner:
+not in one whose members' angles to its centroid are all too far from the query's own, nor in one
+whose side of the plane between its centroid and the query's is too far away. In a list the
+query's similarity to a coded vector is one table look-up for each subspace (asymmetric distance),
+and with the length of the coding error, which the index keeps, that bounds the true cosine from
+above. Only vectors whose bound reaches the threshold are compared, in double precision. So
+neither lists nor coding lose a pair. Where vectors have no groups, no list can be left out, and
+look-ups grow with the square of the table.
+
+Equal vectors are one entry with a count. Lists that lie together are a region of bounded size.
+Regions and the queries for them are cut into blocks, and a task compares one block of either; it
+gives counts and a spanning forest of its links, so pairs inside a large group never leave it.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from lumenary.llm.common import checkpointed
 from lumenary.llm.components import components
 
-#: Vectors and queries of a block.
-BLOCK_VECTORS, BLOCK_QUERIES = 1024, 4096
+#: Vectors and queries of a block; a region has no more vectors, but for a longer list.
+BLOCK_VECTORS, BLOCK_QUERIES = 4096, 4096
+#: Queries looked up at once, and room for rounding in bounds.
+STRIP, ROOM = 1024, 1e-5
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -64,12 +68,11 @@ class Quantiser:
         codes = [_centres(parts[:, j], min(256, len(x)), rounds, seed + 1 + j) for j in range(subspaces)]
         return cls(coarse, np.stack(codes))
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n most alike lists of each vector, the most alike first."""
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most alike list of each vector, and the cosine to its centroid."""
         like = x @ self.coarse.T
-        n = min(n, like.shape[1])
-        some = np.argpartition(-like, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(some, np.argsort(-np.take_along_axis(like, some, 1), axis=1, kind="stable"), 1)
+        most = np.argmax(like, axis=1)
+        return most, like[np.arange(len(x)), most]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each vector in its list, and the length of the error they leave."""
@@ -78,15 +81,75 @@ class Quantiser:
         left = rest - np.stack([book[codes[:, j]] for j, book in enumerate(self.codes)], axis=1)
         return codes.astype(np.uint8), np.sqrt((left * left).sum((1, 2)))
 
-    def lookup(self, queries: np.ndarray, list_of: int, codes: np.ndarray) -> np.ndarray:
-        """Similarity of every query to every coded vector of a list, from tables."""
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """Similarity of every code of every subspace to every query, in single precision."""
         parts = queries.reshape(len(queries), len(self.codes), -1)
-        out = np.repeat((queries @ self.coarse[list_of])[:, None], len(codes), axis=1)
-        for j, book in enumerate(self.codes):
-            out += (parts[:, j] @ book.T)[:, codes[:, j]]
+        return np.stack([book @ parts[:, j].T for j, book in enumerate(self.codes)]).astype(np.float32)
+
+    def lookup(self, tables: np.ndarray, to_list: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Similarity of every coded vector of a list to every query, from the queries' tables.
+
+        ``to_list``: the queries' similarity to the list's centroid.
+        """
+        out = np.repeat(to_list.astype(np.float32)[None, :], len(codes), axis=0)
+        for j, table in enumerate(tables):
+            out += table[codes[:, j]]
         return out
 
 
+@dataclass
+class Reach:
+    """Which lists can hold a vector whose cosine to a query is at least ``least``.
+
+    ``low`` and ``high``: least and greatest angle of each list's members to its centroid;
+    a list without members has ``high`` below any angle. ``region``: the region of each list.
+    """
+
+    coarse: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    region: np.ndarray
+    least: float
+
+    def lists(self, x: np.ndarray, own: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query, of list ``own``, and each list of ``some``: whether, and the similarity to the centroid."""
+        like = x @ self.coarse[some].T
+        far = np.arccos(np.clip(self.least, -1, 1))
+        angle = np.arccos(np.clip(like, -1, 1))
+        on = (angle <= self.high[some] + far + ROOM) & (angle >= self.low[some] - far - ROOM)
+        # members are at least as like their centroid as the query's; the plane between cuts the sphere
+        between = np.sqrt(np.maximum(2 - 2 * self.coarse[own] @ self.coarse[some].T, 0))
+        lead = np.einsum("nd,nd->n", x, self.coarse[own])[:, None] - like
+        return on & (lead <= np.sin(min(far, np.pi / 2)) * between + ROOM), like
+
+    def regions(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each query and region: whether one of its lists can."""
+        order = np.argsort(self.region, kind="stable")
+        starts = np.searchsorted(self.region[order], np.arange(self.region.max() + 1))
+        step = max(1, (1 << 20) // len(order))
+        return np.concatenate(
+            [np.logical_or.reduceat(self.lists(x[k : k + step], own[k : k + step], order)[0], starts, axis=1) for k in range(0, len(x), step)]
+        )
+
+
+def _regions(coarse: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """Lists halved between two far ones until a part has ``most`` members or is one list."""
+    out, parts, n = np.zeros(len(coarse), np.int64), [np.arange(len(coarse))], 0
+    while parts:
+        some = parts.pop()
+        total = sizes[some].sum()
+        if len(some) == 1 or total <= most:
+            out[some], n = n, n + 1
+            continue
+        here = coarse[some]
+        one = here[np.argmin(here @ here[0])]
+        other = here[np.argmin(here @ one)]
+        some = some[np.argsort(here @ (one - other), kind="stable")]
+        cut = int(np.clip(np.searchsorted(np.cumsum(sizes[some]), total / 2), 1, len(some) - 1))
+        parts += [some[:cut], some[cut:]]
+    return out
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector has only finite components and is not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -102,23 +165,46 @@ def _unit(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _forest(pairs: np.ndarray, n: int) -> list[int]:
-    """Which pairs of numbers below n join components that those before have not."""
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    keep = []
-    for k, (i, j) in enumerate(pairs.tolist()):
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(k)
-    return keep
+class Forest:
+    """Components of numbers below n, and which of the links given joined them."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.label[i], self.label[j]
+            on = a != b
+            if not on.any():
+                return
+            i, j = i[on], j[on]
+            low, high = np.minimum(a, b)[on], np.maximum(a, b)[on]
+            # every label to its first neighbour of a lower one, so that no circle arises
+            high, first = np.unique(high, return_index=True)
+            self.kept.append((i[first], j[first]))
+            to = np.arange(len(self.label))
+            to[high] = low[first]
+            while (to[to] != to).any():
+                to = to[to]
+            self.label = to[self.label]
+
+
+def _at_least(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs ``x[i], y[j]`` whose cosine is at least ``least``."""
+    if not len(i):
+        return i, j
+    a, b, c, d = i.min(), i.max() + 1, j.min(), j.max() + 1
+    sure = np.zeros(len(i), bool)
+    open_ = np.ones(len(i), bool)
+    if len(i) * 64 > (b - a) * (d - c):  # enough of a rectangle: one product tells all but the closest
+        like = (x[a:b].astype(np.float32) @ y[c:d].T.astype(np.float32))[i - a, j - c]
+        open_ = np.abs(like - least) < ROOM
+        sure = (like >= least) & ~open_
+    # the same sum in either direction, so that both ends of a link agree
+    for k in np.array_split(np.flatnonzero(open_), len(i) // (1 << 16) + 1):
+        sure[k] = np.einsum("nd,nd->n", x[i[k]], y[j[k]]) >= least
+    return i[sure], j[sure]
 
 
 def fit_quantiser(
@@ -143,7 +229,8 @@ def near_duplicates(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
-    Two rows link when their cosine is at least ``least`` and one probes the other's list.
+    Two rows link when their cosine is at least ``least``. Lists are chosen by a bound, so
+    ``probes``, once their fixed number, changes nothing; it is taken from callers that give it.
     ``n_links`` counts other rows, copies each for itself. Rows whose vector is null, zero, or
     has a null or non-finite component link with nothing. All usable vectors must be of one
     length. An empty table gives no rows. Other columns are not read.
@@ -154,88 +241,106 @@ def near_duplicates(
     model = fit_quantiser(entries, **fitting)
     if model is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    held = rows.sparkSession.sparkContext.broadcast(model)  # lists and codes: a fixed number of vectors
+    context = rows.sparkSession.sparkContext
+    held = context.broadcast(model)  # lists and codes: a fixed number of vectors
 
     def index(batches):
         model = held.value
         for batch in batches:
             _, x = _unit(batch.column(0))
-            near = model.probes(x, probes)
-            codes, error = model.encode(x, near[:, 0])
-            size = near.shape[1]
+            own, like = model.own(x)
+            codes, error = model.encode(x, own)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array(near[:, 0].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * size), pa.array(near.ravel().astype(np.int32))),
-                    pa.array([row.tobytes() for row in codes], pa.binary()),
-                    pa.array(error),
-                ],
-                names=["vector", "node", "copies", "list", "near", "codes", "error"],
+                [*batch.columns, pa.array(own.astype(np.int32)), pa.array(like), pa.array([row.tobytes() for row in codes], pa.binary()), pa.array(error)],
+                names=["vector", "node", "copies", "list", "like", "codes", "error"],
             )
 
     kind = entries.schema["vector"].dataType.simpleString()
-    shape = f"vector {kind}, node long, copies long, list int, near array<int>, codes binary, error double"
+    shape = f"vector {kind}, node long, copies long, list int, like double, codes binary, error double"
     indexed = checkpointed(entries.mapInArrow(index, shape))
 
-    # lists are as many as centroids, so the driver may hold their sizes
+    # lists are as many as centroids, so the driver may hold what is known of them
     n_lists = len(model.coarse)
-    members = dict(indexed.groupBy("list").count().collect())
-    asking = dict(indexed.select(F.explode("near").alias("list")).groupBy("list").count().collect())
-    cuts = lambda sizes, block: F.split(F.lit(",".join(str(-(-sizes.get(k, 0) // block)) for k in range(n_lists))), ",").cast("array<int>")
-    m, q = cuts(members, BLOCK_VECTORS), cuts(asking, BLOCK_QUERIES)
+    members, low, high = np.zeros(n_lists, np.int64), np.zeros(n_lists), np.full(n_lists, -10.0)
+    for k, n, a, b in indexed.groupBy("list").agg(F.count("*"), F.max("like"), F.min("like")).collect():
+        members[k], low[k], high[k] = n, np.arccos(np.clip(a, -1, 1)), np.arccos(np.clip(b, -1, 1))
+    region = _regions(model.coarse, members, BLOCK_VECTORS)
+    bound = context.broadcast(Reach(model.coarse, low, high, region, least))
+
+    def reached(batches):
+        for batch in batches:
+            if batch.num_rows:
+                _, x = _unit(batch.column(0))
+                query, at = np.nonzero(bound.value.regions(x, batch.column(3).to_numpy()))
+                ends = np.searchsorted(query, np.arange(len(x) + 1)).astype(np.int32)
+                regions = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, regions], names=["vector", "node", "copies", "own", "regions"])
+
+    queries = indexed.select("vector", "node", "copies", F.col("list").alias("own"))
+    queries = checkpointed(queries.mapInArrow(reached, f"vector {kind}, node long, copies long, own int, regions array<int>"))
+    asking = dict(queries.select(F.explode("regions").alias("region")).groupBy("region").count().collect())
+    n_regions = int(region.max()) + 1
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    m = constant(-(-np.bincount(region, members, n_regions).astype(int) // BLOCK_VECTORS))
+    q = constant(-(-asking.get(k, 0) // BLOCK_QUERIES) for k in range(n_regions))
     hashed = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = (
-        indexed.withColumn("mb", F.pmod(hashed, m[F.col("list")]).cast("int")).withColumn("qb", every(q[F.col("list")]))
-        .select("list", "mb", "qb", "node", "copies", "vector", "near", "codes", "error")
+        indexed.withColumn("region", constant(region)[F.col("list")])
+        .withColumn("mb", F.pmod(hashed, m[F.col("region")]).cast("int")).withColumn("qb", every(q[F.col("region")]))
+        .select("region", "mb", "qb", "list", "node", "copies", "vector", "codes", "error")
     )
     asks = (
-        indexed.select("node", "copies", "vector", F.col("list").alias("own"), F.explode("near").alias("at"))
-        .filter(m[F.col("at")] > 0)
-        .withColumn("qb", F.pmod(hashed, q[F.col("at")]).cast("int")).withColumn("mb", every(m[F.col("at")]))
-        .select(F.col("at").alias("list"), "mb", "qb", F.col("node").alias("q_node"), F.col("copies").alias("q_copies"), F.col("vector").alias("q_vector"), "own")
+        queries.select("node", "copies", "vector", "own", F.explode("regions").alias("region"))
+        .withColumn("qb", F.pmod(hashed, q[F.col("region")]).cast("int")).withColumn("mb", every(m[F.col("region")]))
+        .select("region", "mb", "qb", F.col("node").alias("q_node"), F.col("vector").alias("q_vector"), "own")
     )
 
     def compare(block: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        columns = [np.zeros(0, np.int64)] * 3
         if block.num_rows and queries.num_rows:
-            model = held.value
+            model, reach = held.value, bound.value
+            block = block.sort_by("list")
             one = lambda table, name: table.column(name).combine_chunks()
-            here = one(block, "list")[0].as_py()
-            x, ux = _unit(one(block, "vector"))
-            y, uy = _unit(one(queries, "q_vector"))
-            codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            error = block.column("error").to_numpy()
-            node, copies = block.column("node").to_numpy(), block.column("copies").to_numpy()
-            q_node, q_copies, own = (queries.column(c).to_numpy() for c in ("q_node", "q_copies", "own"))
-            near = one(block, "near").flatten().to_numpy().reshape(len(x), -1)
-            # what may be linked: the bound, with room for rounding
-            step = max(1, (4 << 20) // len(x))
-            found = [np.zeros((0, 2), np.int64)]
-            for a in range(0, len(y), step):
-                bound = model.lookup(uy[a : a + step], here, codes) + error
-                i, j = np.nonzero((bound >= least - 1e-6) & (q_node[a : a + step, None] != node[None, :]))
-                for k in range(0, len(i), 1 << 16):
-                    some, others = i[k : k + (1 << 16)] + a, j[k : k + (1 << 16)]
-                    exact = np.einsum("nd,nd->n", uy[some], ux[others])
-                    on = exact >= least
-                    found.append(np.column_stack((some[on], others[on])))
-            hit = np.concatenate(found)
-            qi, xj = hit[:, 0], hit[:, 1]
-            links = np.bincount(qi, copies[xj], len(y)).astype(np.int64)
-            # a vector that does not probe the query's list is not going to find it
-            alone = ~(near[xj] == own[qi][:, None]).any(1)
-            back = np.bincount(xj[alone], q_copies[qi[alone]], len(x)).astype(np.int64)
-            out += [(int(q_node[k]), None, int(links[k])) for k in np.flatnonzero(links)]
-            out += [(int(node[k]), None, int(back[k])) for k in np.flatnonzero(back)]
-            names, at = np.unique(np.concatenate((q_node[qi], node[xj])), return_inverse=True)
-            both = at.reshape(2, -1).T
-            out += [(int(names[both[k, 0]]), int(names[both[k, 1]]), 0) for k in _forest(both, len(names))]
-        columns = list(zip(*out)) if out else [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "links"), columns)})
-
-    blocks = ["list", "mb", "qb"]
+            _, ux = _unit(one(block, "vector"))
+            _, uy = _unit(one(queries, "q_vector"))
+            codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(ux), -1)
+            node, copies, lists = (block.column(c).to_numpy() for c in ("node", "copies", "list"))
+            error = block.column("error").to_numpy().astype(np.float32)[:, None]
+            q_node, own = queries.column("q_node").to_numpy(), queries.column("own").to_numpy()
+            names, at = np.unique(np.concatenate((q_node, node)), return_inverse=True)
+            q_at, x_at = at[: len(q_node)], at[len(q_node) :]
+            here, starts = np.unique(lists, return_index=True)
+            forest, links = Forest(len(names)), np.zeros(len(uy), np.int64)
+            for k in range(0, len(uy), STRIP):
+                on, like = reach.lists(uy[k : k + STRIP], own[k : k + STRIP], here)
+                tables = model.tables(uy[k : k + STRIP])
+                for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(ux)])):
+                    asked = np.flatnonzero(on[:, n])
+                    if not len(asked):
+                        continue
+                    # where many ask, all look: to copy the tables of some takes longer
+                    few = 4 * len(asked) < len(on)
+                    asked = asked if few else np.arange(len(on))
+                    told, near = (tables[:, :, asked], like[asked, n]) if few else (tables, like[:, n])
+                    for c in range(a, b, STRIP):
+                        e = min(b, c + STRIP)
+                        # what may be linked: the bound, with room for rounding
+                        may = model.lookup(told, near, codes[c:e]) + error[c:e] >= least - ROOM
+                        i, j = np.nonzero(may)
+                        i, j = i + c, asked[j] + k
+                        i, j = _at_least(ux, uy, i, j, least)
+                        other = node[i] != q_node[j]
+                        i, j = i[other], j[other]
+                        links += np.bincount(j, copies[i], len(uy)).astype(np.int64)
+                        forest.add(x_at[i], q_at[j])
+            some = np.flatnonzero(links)
+            left, right = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*forest.kept) if forest.kept else ((), ())))
+            columns = [np.concatenate((q_node[some], names[left])), np.concatenate((np.full(len(some), -1), names[right])), np.concatenate((links[some], np.zeros(len(left), np.int64)))]
+        a, b, links = columns
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64(), mask=links > 0), "links": pa.array(links, pa.int64())})
+
+    blocks = ["region", "mb", "qb"]
     found = checkpointed(mine.groupBy(*blocks).cogroup(asks.groupBy(*blocks)).applyInArrow(compare, "a long, b long, links long"))
     labels = components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

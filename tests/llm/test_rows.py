@@ -128,3 +128,14 @@ def test_vectors_against_brute_force(spark):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(900, 905))
     assert vector_dedup.near_duplicates(df.filter("vec_id < 0")).count() == 0
     assert vector_dedup.near_duplicates(df.filter("vec_id >= 900")).count() == 5
+
+
+def test_every_list_that_can_hold_a_partner_is_looked_in(spark):
+    """A group of near copies, a third of all rows, that fills far more lists than a fixed number of probes."""
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(1, 32)) + rng.normal(size=(700, 32)) * 0.3
+    x = np.concatenate([near, rng.normal(size=(1400, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(df, lists=300).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
