@@ -8,7 +8,8 @@ union. What comes out is connected components, so no pair inside a known one is
    ``percent`` of either set is shared, so a document with more n-grams of its own than that
    allows is done. The others keep their shared n-grams in order: rarest class first, then by
    hash. Linked sets have one of the first ``size - need + 1`` of that order in common.
-2. Documents with equal sets are one node. A node is compared with the least node of the same
+2. Documents with equal sets are one node, named by where the set first stands, as ids may be
+   absent or repeated. A node is compared with the least node of the same
    least hash, for a few hash functions. Links found so far give first components, and pairs that
    are alike only half as much give looser groups.
 3. Groups: a large component, or components of one looser group together, in blocks of bounded
@@ -39,6 +40,8 @@ from lumenary.llm.hashing import mix
 
 #: Hash functions of the first comparison, and the likeness in percent that makes a looser group.
 STARS, LOOSE = 2, 50
+#: What chunks have for a null id.
+NO_ID = -(1 << 63)
 #: Documents of a block, and of a component that is a group of its own.
 BLOCK, LARGE = 256, 64
 
@@ -115,6 +118,14 @@ class Sets:
         self.set = np.repeat(np.arange(len(keep)), self.lengths)
 
 
+def _node(chunk: int, own: int) -> int:
+    """A number of its own for each set of each chunk, from the chunk's partition and place in it."""
+    part, made = chunk >> 32, chunk & 0xFFFFFFFF
+    if part >> 21 or made >> 20 or own >> 22:
+        raise ValueError("too many partitions, chunks or sets for 63 bits")
+    return part << 42 | made << 22 | own
+
+
 class Asked:
     """A chunk's n-grams by bucket and shortened hash, each once, with the number of its sets."""
 
@@ -189,7 +200,7 @@ def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
     asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket int, names binary, counts binary")
     classes = asked.groupBy("bucket").applyInArrow(tidy(_frequency), "chunk long, bucket int, classes binary")
     kinds = {
-        "kind": pa.int32(), "chunk": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "digest": pa.string(), "grams": pa.binary(), "first": pa.binary(), "mins": pa.list_(pa.int64()),
+        "kind": pa.int32(), "chunk": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "digest": pa.string(), "node": pa.int64(), "grams": pa.binary(), "first": pa.binary(), "mins": pa.list_(pa.int64()),
     }
 
     def look(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -199,12 +210,10 @@ def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
             sets = Sets(chunk, n)
             answers = dict(zip(told.column("bucket").to_pylist(), told.column("classes").to_pylist()))
             rank = Asked(sets.grams, buckets, bits).classes(answers)
-            least: dict[int, int] = {}
             name = texts.column("chunk")[0].as_py()
             for row, (doc, size, own) in enumerate(zip(chunk.doc_ids.tolist(), sets.sizes.tolist(), sets.of.tolist())):
-                rows.append((0, name, row, doc, size, sets.digests[own] if own >= 0 else None, None, None, None))
-                if own >= 0:
-                    least[own] = min(doc, least.get(own, doc))
+                known = (sets.digests[own], _node(name, own)) if own >= 0 else (None, None)
+                rows.append((0, name, row, doc, size, *known, None, None, None))
             shared = np.bincount(sets.set, rank > 1, len(sets.lengths))
             starts = np.cumsum(sets.lengths) - sets.lengths
             for own in np.flatnonzero(shared >= _need(sets.lengths, percent)).tolist():
@@ -216,11 +225,11 @@ def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
                 grams, order = grams[keep], order[keep]
                 first = grams[np.lexsort((grams, order))[: max(left, 0)]]
                 mins = [int((mix(grams + np.uint64(k * 0x51ED2701)).min() if len(grams) else np.uint64(0)).astype(np.int64)) for k in range(STARS)]
-                rows.append((1, name, -1, least[own], size, sets.digests[own], grams.tobytes(), first.tobytes(), mins))
+                rows.append((1, name, -1, None, size, sets.digests[own], _node(name, own), grams.tobytes(), first.tobytes(), mins))
         columns = list(zip(*rows)) if rows else [[]] * len(kinds)
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)})
 
-    shape = "kind int, chunk long, row int, doc_id long, size long, digest string, grams binary, first binary, mins array<long>"
+    shape = "kind int, chunk long, row int, doc_id long, size long, digest string, node long, grams binary, first binary, mins array<long>"
     return checkpointed(chunks.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(tidy_pair(look), shape))
 
 
@@ -351,11 +360,14 @@ def _across(nodes: DataFrame, known: DataFrame, loose: DataFrame, percent: int)
     return side("a").groupBy("pair").cogroup(side("b").groupBy("pair")).applyInArrow(tidy_pair(compare), "a long, b long")
 
 
-def _joined(chunks: DataFrame, n: int, percent: int) -> DataFrame:
-    """``chunk, row, doc_id, size, digest, component`` of every document."""
+def _joined(chunks: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``chunk, row, doc_id, size, digest`` of every document, and ``digest, component, least_id`` of every set.
+
+    A component is named by a node; ``least_id`` is the least id of the set's documents, null where none has one.
+    """
     rows = _sets(chunks, n, percent)
     nodes = rows.filter("kind = 1").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "grams", "first", "mins")]
+        F.min("node").alias("node"), *[F.first(c).alias(c) for c in ("size", "grams", "first", "mins")]
     )
     nodes = checkpointed(nodes)
     keyed = nodes.select("node", F.posexplode("mins").alias("k", "key"))
@@ -372,10 +384,11 @@ def _joined(chunks: DataFrame, n: int, percent: int) -> DataFrame:
     more = checkpointed(_across(nodes, known, loose, percent))
     final = known if more.isEmpty() else components(sure.union(more))
     # documents come to their set's node, and with it to its component
-    sets = rows.filter("kind = 0 and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named = checkpointed(sets.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
-    held = rows.filter("kind = 0").select("chunk", "row", "doc_id", "size", "digest")
-    return held.join(named, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sets = rows.filter("kind = 0 and digest is not null").groupBy("digest").agg(
+        F.min("node").alias("node"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("least_id")
+    )
+    named = sets.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "least_id")
+    return rows.filter("kind = 0").select("chunk", "row", "doc_id", "size", "digest"), checkpointed(named)
 
 
 def jaccard_components(
@@ -383,26 +396,32 @@ def jaccard_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
-    A component's id is the least document id that links reach. A null text, or one without
-    words, has no n-grams and is alone; a row without an id counts as of the least 64-bit number
-    and gets a null id back. Repeated rows and equal sets are of one component. An empty table
-    gives no rows. Other columns are not read.
+    A component's id is the least document id that links reach, rows without an id aside; where
+    no row has one it is null. A null text, or one without words, has no n-grams and is alone.
+    Ids that are null or repeated join nothing by themselves. Repeated rows and equal sets are of
+    one component. An empty table gives no rows. Other columns are not read.
     """
-    least = -(1 << 63)
-    return _joined(chunked(docs, id_col, text_col), n, percent).select(
-        F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"),
+    rows, sets = _joined(chunked(docs, id_col, text_col), n, percent)
+    names = checkpointed(sets.groupBy("component").agg(F.min("least_id").alias("component_id")))
+    told = checkpointed(sets.join(names, "component").select("digest", "component_id"))
+    own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    return rows.join(told, "digest", "left").select(
+        own.alias("doc_id"),
         F.col("size").alias("n_shingles"),
-        F.col("component").alias("component_id"),
+        F.when(F.col("digest").isNull(), own).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of least id in their component, one each, as they were.
 
-    Of rows with one id, the first in its chunk stays; documents without words all stay.
+    Of a component's rows with one id the first in its chunk stays, and a row without an id comes
+    before all others; rows of different components stay whatever their ids. Documents without
+    words all stay.
     """
     chunks = chunked(docs, id_col, text_col, whole=True)
-    rows = _joined(chunks, n, percent)
+    rows, sets = _joined(chunks, n, percent)
+    rows = rows.join(sets.select("digest", "component"), "digest", "left")
     alone = rows.filter("digest is null").select("chunk", "row")
     first = rows.filter("digest is not null").groupBy("component").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("f")).select("f.chunk", "f.row")
     arrow = to_arrow_schema(docs.schema)

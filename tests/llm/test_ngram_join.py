@@ -77,6 +77,19 @@ def test_one_of_each_keeps_rows_as_they_were(spark, corpus):
     assert got == [(3, text + " more", 3), (7, "", 7), (9, "other words here and there", 9)]
 
 
+def test_ids_that_are_null_or_repeated_join_nothing(spark, corpus):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    ids = [None] * 20 + [4] * 20 + list(range(100, 120))
+    rows = [(i, text(k)) for k, i in enumerate(ids)]
+    rows += [(None, text(0) + " more"), (4, text(20)), (7, text(1) + " more"), (6, text(21) + " more"), (200, text(40))]
+    df = corpus(rows).repartition(3)
+    kept = sorted(r["text"].removesuffix(" more") for r in one_of_each(df, 4, 85).collect())
+    assert kept == sorted(text(k) for k in range(60))
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_components(df, 4, 85).collect()), key=str)
+    want = [(None, None)] * 20 + [(None, 7), (7, 7)] + [(4, 4)] * 21 + [(6, 4)] + [(i, i) for i in ids[40:]] + [(200, 100)]
+    assert got == sorted(want, key=str)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aB \t\nc", max_size=20), max_size=6), st.integers(1, 5))
 def test_set_sizes(texts, n):
