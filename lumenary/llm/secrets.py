@@ -1,8 +1,7 @@
 """Secret scans: patterns, and strings that a primed zstandard coder finds new.
 
 Three kinds of span come from patterns. A fourth comes from compression: a long run of key
-characters, with letters and digits, that stands near a sensitive word and in no pattern's span
-is a candidate. The text around it is compressed with and without it by a coder primed with a
+characters that stands near a sensitive word and not wholly in a pattern's span is a candidate. The text around it is compressed with and without it by a coder primed with a
 dictionary of identifiers and key words of code; what the candidate adds, for each of its bytes,
 says how new it is. A random key cannot be compressed below the entropy of its alphabet, while a
 path, a word list or a repeated identifier nearly vanishes.
@@ -83,7 +82,7 @@ class Scanner:
         for m in _RUN.finditer(text):
             a, b = m.span()
             word = m[0]
-            if word.isalpha() or word.isdigit() or any(x < b and a < y for x, _, y in found):
+            if any(x <= a and b <= y for x, _, y in found):
                 continue
             if not _SENSITIVE.search(text, max(0, a - self.near), a):
                 continue
