@@ -10,6 +10,7 @@ O(n log n), whatever it holds. A piece that is itself in the vocabulary is that
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm.common import kept_in_worker, text_batches, without_collector
-from lumenary.llm.pieces import piece_cutter
+from lumenary.llm.piece_table import TextCoder, gather
 
 #: Above every key of the tree.
 _NONE = 1 << 62
@@ -85,36 +86,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; ids of known pieces are kept, ``most`` at a time."""
+    """Encoder and decoder of one vocabulary; ids of short pieces are kept, ``most`` at a time."""
 
-    def __init__(self, path: str, pattern: str, most: int = 350_000):
-        self.ranks, self.most = read_ranks(path), most
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+    def __init__(self, path: str, pattern: str, most: int = 400_000):
+        self.ranks = read_ranks(path)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.cut = piece_cutter(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.again: set[str] = set()  # pieces that several batches had
-
-    @without_collector
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
-        rows = [self.cut(text) for text in texts]
-        used = set().union(*rows)
-        new = used.difference(self.pieces)
-        self.again |= used - new
-        if len(self.pieces) + len(new) > self.most:
-            if len(self.again) > self.most // 2:
-                self.again = used - new
-            self.pieces = {k: self.pieces[k] for k in self.again}
-        known, ranks = self.pieces, self.ranks
-        for piece in new:
-            ids = merge(piece.encode("utf-8", "surrogatepass"), ranks)
-            known[piece] = b"".join(id.to_bytes(4, "little") for id in ids)
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+            tokens[rank] = token
+        self.bytes, self.ends = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])
+        self.names = list(map(str, range(len(tokens))))
+        self.coder = TextCoder(pattern, self._learn, most)
+        self.encode = without_collector(self.coder.ids)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [merge(data[a : a + n].tobytes(), self.ranks) for a, n in zip(starts.tolist(), lengths.tolist())]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.array([id for ids in found for id in ids], np.uint32), counts
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return gather(self.bytes, self.ends[ids], self.ends[ids + 1])[0].tobytes()
+
+    def listed(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids.tolist())).encode()
 
 
 @kept_in_worker
@@ -123,18 +117,17 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: each whole text's ids as an array of int.
 
-    A null or empty text has the empty array; repeated rows are encoded each for itself; an
-    empty table gives no rows. Strings of special tokens are ordinary text. Other columns are
-    not read.
+    A null or empty text has the empty array; a null id stays null; repeated rows are encoded each
+    for itself; an empty table gives no rows. Of pairs of one rank the leftmost merges first.
+    Strings of special tokens are ordinary text. Other columns are not read.
     """
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -150,7 +143,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, ids, decoded``: the bytes that the ids of ``encode`` stand for."""
+    """``doc_id, ids, decoded``: the bytes that the ids of ``encode`` stand for.
+
+    An empty array gives no bytes, a null one null; repeated rows are decoded each for itself; an
+    empty table gives no rows. Other columns are not read. An id beyond the vocabulary is an error.
+    """
     schema = T.StructType([*encoded.select("doc_id", "ids").schema, T.StructField("decoded", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -159,7 +156,32 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             ids = batch.column(1)
             values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            found = [coder.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
+            found = [coder.decode(values[a:b]) if known else None for a, b, known in zip(ends, ends[1:], ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(found, pa.binary())], schema=arrow)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: whole texts encoded, and their ids decoded.
+
+    The digests are of the decimal ids, joined by commas, and of the decoded bytes. One pass of one
+    worker, so neither ids nor bytes leave it. Rows, nulls and special strings as in ``encode``.
+    """
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(path, pattern)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        for part, texts in text_batches(batches, "text", 4 << 20, keep=True):
+            found = coder.encode(texts)
+            columns = [len(ids) for ids in found], [sha(coder.listed(ids)) for ids in found], [sha(coder.decode(ids)) for ids in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, [*arrow][1:]))], schema=arrow)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -40,15 +40,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenary.llm.bpe import decode, encode
-
-    own = vocabulary("byte_bpe_multi_50k.tiktoken"), BYTE_PATTERN
-    return decode(encode(documents(spark, sf_dir), *own), *own).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    from lumenary.llm.bpe import round_trip
+
+    return round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), BYTE_PATTERN)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
