@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ones between two sampled positions of the upper bits.
-SAMPLE = 256
+SAMPLE = 64
 
 
 class EliasFano:
@@ -13,13 +13,11 @@ class EliasFano:
 
     ``low`` bits of every number stand packed one after the other; the rest is a row of bits in
     which number i with upper part h is the one at place h + i. ``samples`` hold the places of
-    every SAMPLE-th one, so ``select`` scans a few bytes only.
+    every SAMPLE-th one, are stored with the numbers, and let ``select`` scan a few bytes only.
     """
 
-    def __init__(self, n: int, low: int, lower: bytes, upper: bytes):
-        self.n, self.low, self.lower, self.upper = n, low, lower, upper
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(upper, np.uint8), bitorder="little"))
-        self.samples = ones[::SAMPLE].astype(np.uint32)
+    def __init__(self, n: int, low: int, lower: bytes, upper: bytes, samples: np.ndarray):
+        self.n, self.low, self.lower, self.upper, self.samples = n, low, lower, upper, samples
 
     @classmethod
     def of(cls, values: np.ndarray, bound: int) -> EliasFano:
@@ -30,10 +28,11 @@ class EliasFano:
         lower = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
         upper = np.zeros((max(bound, 1) >> low) + n + 1, np.uint8)
         upper[(values >> low) + np.arange(n)] = 1
-        return cls(n, low, lower, np.packbits(upper, bitorder="little").tobytes())
+        samples = np.flatnonzero(upper)[::SAMPLE].astype("<u8")
+        return cls(n, low, lower, np.packbits(upper, bitorder="little").tobytes(), samples)
 
     def __getitem__(self, i: int) -> int:
-        """Number i: the place of the (i+1)-th one, less i, with its lower bits."""
+        """Number i by select: the place of the (i+1)-th one, less i, with its lower bits."""
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = at // 8
         word = self.upper[byte] >> (at % 8)
@@ -58,10 +57,11 @@ class EliasFano:
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low, len(self.lower), len(self.upper)], "<u8").tobytes()
-        return head + self.lower + self.upper
+        return head + self.lower + self.upper + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, data: memoryview) -> tuple[EliasFano, int]:
         """The numbers at the start of ``data`` and how many bytes they took."""
         n, low, a, b = np.frombuffer(data[:32], "<u8").tolist()
-        return cls(n, low, bytes(data[32 : 32 + a]), bytes(data[32 + a : 32 + a + b])), 32 + a + b
+        c, d = 32 + a + b, 32 + a + b + 8 * -(-n // SAMPLE)
+        return cls(n, low, bytes(data[32 : 32 + a]), bytes(data[32 + a : c]), np.frombuffer(data[c:d], "<u8")), d

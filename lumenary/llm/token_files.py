@@ -4,7 +4,7 @@ A segment holds consecutive documents in ascending id order:
 
     magic, width of an id (2 or 4 bytes), ids before it in its range, number of its ids
     document ids (rising, Elias-Fano over their distance from the least; nulls first, counted)
-    ends of the documents in the array of ids (Elias-Fano)
+    ends of the documents in the array of ids (Elias-Fano, with the places that select starts from)
     the ids, little-endian
 
 Documents are dealt to ranges of their id (about equal in rows), a range is written by one task,
@@ -76,23 +76,27 @@ class Segment:
 
 def write(
     docs: DataFrame, path: str, target: str, *, spaced: bool, end_id: int, width: int = 2,
-    segment_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
+    segment_bytes: int = 4 << 20, plain: bool = False, id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
     """Tokenize ``docs`` and write its segments to ``target``.
 
     Documents ascend by id, nulls first, repeated ids by their ids' bytes. ``end_id`` ends every
     document, so a null or empty text is that one id. An empty table writes no segment. ``width``
-    2 is for vocabularies of 65,536 ids at most.
+    2 is for vocabularies of 65,536 ids at most; a greater id is an error. The string of an added
+    token is that token, or with ``plain`` ordinary text where it is a special one.
     """
     spark = docs.sparkSession
     bounds = range_bounds(docs, id_col, partitions(spark))
 
     def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = piece_tokenizer(path, spaced), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = piece_tokenizer(path, spaced, plain=plain), np.array([end_id], np.uint32)
         for part, texts in text_batches(batches, "text", 4 << 20, keep=True):
             found = tokenizer.ids(texts)
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1)
-            flat = np.frombuffer(end.join(found) + end, "<u4").astype(f"<u{width}")
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+            flat = np.concatenate([x for ids in found for x in (ids, end)])
+            if int(flat.max()) >> 8 * width:
+                raise ValueError(f"an id of {flat.max()} does not fit {width} bytes")
+            flat = flat.astype(f"<u{width}")
             where = range_of(part.column(0), bounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where, pa.int32()), part.column(0), binaries(flat, ends * width)], names=["part", "doc_id", "ids"]
@@ -126,16 +130,17 @@ def write(
     tokens = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         tokenize, "part int, doc_id long, ids binary"
     )
-    rows = tokens.repartition(partitions(spark), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    rows = tokens.repartitionById(partitions(spark), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     rows.mapInArrow(segments, "part int, n_ids long, segment binary").write.option("compression", "none").parquet(
         target
     )
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """``doc_id, start, ids`` of every document in stored segments.
+    """``doc_id, start, ids`` of every document in stored segments, its borders by select.
 
-    ``start`` counts the ids of all documents before it. The driver gets one number for each
+    ``start`` counts the ids of all documents before it; ids that repeat or are null are so read
+    back; no segment gives no rows. The driver gets one number for each
     range of document ids (the writer's number of partitions), no more.
     """
     totals = dict(stored.groupBy("part").agg(F.sum("n_ids")).collect())
@@ -147,8 +152,8 @@ def read(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held = Segment(data.as_buffer().to_pybytes())
-                ends = held.ends.all()
-                starts = np.concatenate(([0], ends[:-1]))
+                ends = np.fromiter(map(held.end, range(len(held))), np.int64, len(held))
+                starts = np.fromiter(map(held.start, range(len(held))), np.int64, len(held))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(held.doc_ids(), pa.int64()), pa.array(starts + held.before + bases[part], pa.int64()), binaries(held.ids.astype("<u4"), 4 * ends)],
                     names=["doc_id", "start", "ids"],
@@ -158,7 +163,10 @@ def read(stored: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Write ``docs`` to a new folder beside the session's checkpoints and read it back."""
+    """Write ``docs`` to a new folder beside the session's checkpoints and read it back.
+
+    ``options`` are those of ``write``, and so are nulls, empty texts, ties and empty tables.
+    """
     target = f"{scratch(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, target, **options)
     return read(docs.sparkSession.read.schema("part int, n_ids long, segment binary").parquet(target))
