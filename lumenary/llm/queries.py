@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.sharding import shard
 
-    placed, _ = shard(common.documents(spark, sf_dir), n_shards=40)
+    maps = f"{common.scratch(spark)}/shard-maps-{uuid.uuid4().hex}"
+    placed, _ = shard(common.documents(spark, sf_dir), n_shards=40, maps=maps)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
