@@ -6,10 +6,14 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, SQLTransformer, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Hexadecimal digits of the hash that ``stratified`` counts rows by.
+PLACES = 3
+
+
 def training_set(rows: DataFrame, text: str, category: str, order: str, least: int = 30) -> DataFrame:
     """Rows with text and category, repeats of both dropped (first kept), categories of ``least`` rows or more."""
     fine = rows.filter(F.col(text).isNotNull() & F.col(category).isNotNull() & (F.trim(text) != ""))
@@ -21,11 +25,26 @@ def training_set(rows: DataFrame, text: str, category: str, order: str, least: i
 
 
 def stratified(rows: DataFrame, category: str, id_col: str, share: float = 0.2) -> DataFrame:
-    """``part`` of every row: in each category, ``share`` of the rows (by a hash of the id) are ``test``."""
-    key = F.sha2(F.col(id_col).cast("string"), 256)
-    place = F.row_number().over(Window.partitionBy(category).orderBy(key, id_col))
-    size = F.count("*").over(Window.partitionBy(category))
-    return rows.withColumn("part", F.when(place <= F.round(size * share), "test").otherwise("train"))
+    """``part`` of every row: in each category, ``share`` of the rows (by a hash of the id) are ``test``.
+
+    No category is sorted as a whole: rows are counted by the first ``PLACES`` bits of the hash,
+    a small table says in which of these places a category's test rows end, and only rows of that
+    one place are ranked.
+    """
+    key = F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 256)
+    held = rows.withColumns({"__key": key, "__place": F.substring(key, 1, PLACES)})
+    counted = held.groupBy(category, "__place").agg(F.count("*").alias("n"))
+    by_place = Window.partitionBy(category).orderBy("__place")
+    cut = counted.withColumn("before", F.sum("n").over(by_place) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(category)))
+    cut = cut.withColumn("wanted", F.round(F.col("all") * share).cast("long")).select(
+        F.col(category).alias("__c"), F.col("__place").alias("__p"), (F.col("wanted") - F.col("before")).alias("__room"), F.col("n").alias("__n")
+    )
+    told = held.join(cut, F.col(category).eqNullSafe(F.col("__c")) & (F.col("__place") == F.col("__p")))
+    sure = F.when(F.col("__room") >= F.col("__n"), "test").when(F.col("__room") <= 0, "train")
+    # in all places but a category's one the rank changes nothing, and a place is a small share of the rows
+    rank = F.row_number().over(Window.partitionBy(category, "__place").orderBy("__key", id_col))
+    ranked = told.withColumn("part", F.coalesce(sure, F.when(rank <= F.col("__room"), "test").otherwise("train")))
+    return ranked.select(*rows.columns, "part")
 
 
 def report(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -92,3 +111,33 @@ def fit_and_report(rows: DataFrame, pipeline: Pipeline, category: str) -> DataFr
     label = F.array(*map(F.lit, names))
     called = model.transform(rows.filter("part = 'test'"))
     return report(called.withColumn("called", label[F.col("prediction").cast("int")]), category, "called")
+
+
+def compare_representations(spaces: dict[str, tuple[DataFrame | None, str]], category: str, id_col: str = "doc_id", c: float = 1.0) -> DataFrame:
+    """Held-out accuracy and F1 of a classifier on each representation, best weighted F1 first.
+
+    ``spaces``: rows with ``category`` and ``value``, and whether that is a text (``"lexical"``) or
+    a vector (``"dense"``). Where the rows are None, or of one category only, the representation
+    has nulls and a ``note``.
+    """
+    out = None
+    for name, (rows, kind) in spaces.items():
+        note, found = "no vectors are stored", None
+        if rows is not None:
+            parts = stratified(rows, category, id_col).persist()
+            try:
+                classes = parts.select(category).distinct().limit(2).count()
+                note = None if classes == 2 else "fewer than two categories"
+                if classes == 2:
+                    n = parts.filter("part = 'train'").count()
+                    model = lexical_model("value", category, n, c) if kind == "lexical" else dense_model(category, n, c)
+                    held = parts if kind == "lexical" else as_vector(parts, "value").drop("value")
+                    each = {r["label"]: r for r in fit_and_report(held, model, category).filter(F.col("label").isin("accuracy", "macro avg", "weighted avg")).collect()}
+                    found = (each["accuracy"]["f1"], each["macro avg"]["f1"], each["weighted avg"]["f1"], int(each["accuracy"]["support"]))
+            finally:
+                parts.unpersist()
+        one = (name, *(found or (None,) * 4), note)
+        out = [one] if out is None else [*out, one]
+    spark = next((rows.sparkSession for rows, _ in spaces.values() if rows is not None), None) or SparkSession.active()
+    shape = "representation string, accuracy double, macro_f1 double, weighted_f1 double, test_rows long, note string"
+    return spark.createDataFrame(out or [], shape).orderBy(F.desc_nulls_last("weighted_f1"), F.desc_nulls_last("accuracy"), "representation")

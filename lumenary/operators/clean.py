@@ -37,18 +37,32 @@ def removal_causes(articles: DataFrame, least_words: int = 20) -> DataFrame:
 
 
 def profile(articles: DataFrame) -> DataFrame:
-    """One row: sizes, duplicates, missing fields, dates and word statistics."""
+    """One row: sizes, duplicates, missing fields, dates and word statistics.
+
+    Distinct values are counted apart from the rest, each over its own column only, and the median
+    from the number of rows of each word count, so no row is expanded for every aggregate.
+    """
     empty = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
-    return articles.agg(
-        F.count("*").alias("total"),
-        F.count_distinct("url").alias("distinct_urls"),
-        (F.count("*") - F.count_distinct("url")).alias("duplicate_urls"),
-        (F.count("*") - F.count_distinct("content_hash")).alias("duplicate_hashes"),
-        F.count_if(F.col("word_count") < 20).alias("short"),
+    by_words = articles.groupBy("word_count").agg(F.count("*").alias("n"))
+    word = F.col("word_count")
+    words = by_words.agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(word < 20, F.col("n"))), F.lit(0)).alias("short"),
+        F.min(word).alias("min_words"), F.max(word).alias("max_words"),
+        F.round(F.try_divide(F.sum(word * F.col("n")), F.sum(F.when(word.isNotNull(), F.col("n")))), 2).alias("mean_words"),
+        F.percentile(word, 0.5, F.col("n")).alias("median_words"),
+    )
+    fields = articles.agg(
         *[empty(c).alias(f"missing_{c}") for c in ("title", "published_at", "category", "content", "url")],
         F.min("published_at").alias("first_day"), F.max("published_at").alias("last_day"),
-        F.min("word_count").alias("min_words"), F.max("word_count").alias("max_words"),
-        F.round(F.avg("word_count"), 2).alias("mean_words"), F.median("word_count").alias("median_words"),
+    )
+    distinct = lambda c: articles.select(c).distinct().agg(F.count(c).alias(f"distinct_{c}"))
+    row = words.join(fields).join(distinct("url")).join(distinct("content_hash"))
+    total = F.coalesce("total", F.lit(0))
+    return row.select(
+        total.alias("total"), F.col("distinct_url").alias("distinct_urls"), (total - F.col("distinct_url")).alias("duplicate_urls"),
+        (total - F.col("distinct_content_hash")).alias("duplicate_hashes"), "short",
+        *[f"missing_{c}" for c in ("title", "published_at", "category", "content", "url")],
+        "first_day", "last_day", "min_words", "max_words", "mean_words", "median_words",
     )
 
 
@@ -106,18 +120,19 @@ def periods(df: DataFrame, instant: Column, days: int = 7) -> DataFrame:
 def crawl_plan(pages: DataFrame, since: Column, stop_after: int = 2) -> DataFrame:
     """Which listing pages a crawl since a day reads, in order of ``page``.
 
-    ``pages``: ``page, last_day, signature``. A page is old when its last day is not after
-    ``since``. Reading ends with the second old page in a row (complete), or at a page without
-    links or with an earlier page's signature (not complete).
+    ``pages``: ``page, last_day, signature``; pages are numbered without gaps. A page is old when
+    its last day is not after ``since``. Reading ends with the second old page in a row (complete),
+    or at a page without links or with an earlier page's signature (not complete). Each page meets
+    the ``stop_after`` - 1 before it, and where reading ends is one least number.
     """
-    order = Window.orderBy("page")
     old = F.coalesce(F.col("last_day") <= since, F.lit(True))
-    seen = F.row_number().over(Window.partitionBy("signature").orderBy("page")) > 1
-    marked = pages.withColumn("old", old).withColumn("broken", seen | F.col("signature").isNull())
-    run = F.min(F.col("old").cast("int")).over(order.rowsBetween(-(stop_after - 1), 0)) == 1
-    enough = F.row_number().over(order) >= stop_after
-    marked = marked.withColumn("ends", (run & enough) | F.col("broken"))
-    before = F.coalesce(F.max(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("__before", before).filter("__before = 0").select(
-        "page", "old", (F.col("ends") & ~F.col("broken")).alias("complete")
-    )
+    first = pages.groupBy("signature").agg(F.min("page").alias("__first"))
+    marked = pages.withColumn("old", old).join(first, "signature", "left")
+    broken = F.col("signature").isNull() | (F.coalesce("__first", "page") < F.col("page"))
+    marked = marked.select("page", "old", broken.alias("__broken"))
+    near = marked.filter("old").select(F.explode(F.sequence(F.col("page"), F.col("page") + stop_after - 1)).alias("page"))
+    run = near.groupBy("page").agg(F.count("*").alias("__run"))
+    ends = marked.join(run, "page", "left").withColumn("__enough", F.coalesce(F.col("__run") >= stop_after, F.lit(False)))
+    last = ends.filter(F.col("__enough") | F.col("__broken")).agg(F.min("page").alias("__last"))
+    held = ends.join(F.broadcast(last)).filter(F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
+    return held.select("page", "old", (F.col("__enough") & ~F.col("__broken")).alias("complete"))

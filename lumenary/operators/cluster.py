@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -84,11 +87,21 @@ def silhouette(df: DataFrame, cluster: str, vector: str, size: int) -> DataFrame
 
 
 def best_kmeans(df: DataFrame, vector: str, k: int, seeds: int = 10, seed: int = 42):
-    """k-means of the least cost over several seeds: the model and its assignments."""
-    rows = df.withColumn("__features", array_to_vector(vectors.doubles(F.col(vector)))).cache()
-    models = [KMeans(k=k, seed=seed + i, featuresCol="__features", predictionCol="cluster", maxIter=20).fit(rows) for i in range(seeds)]
+    """k-means of the least cost over several seeds: the model and its assignments.
+
+    The seeds are fitted side by side on one cached input, as each alone is many short jobs.
+    """
+    held = df.withColumn("__features", array_to_vector(vectors.doubles(F.col(vector))))
+    rows = held.select("__features").persist()
+    try:
+        rows.count()
+        with ThreadPoolExecutor(min(seeds, 8)) as pool:
+            fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__features", predictionCol="cluster", maxIter=20).fit(rows)
+            models = list(pool.map(fit, range(seeds)))
+    finally:
+        rows.unpersist()
     model = min(models, key=lambda m: m.summary.trainingCost)
-    return model, model.transform(rows).drop("__features")
+    return model, model.transform(held).drop("__features")
 
 
 def principal(df: DataFrame, vector: str, id_col: str, k: int = 3) -> tuple[DataFrame, list[float]]:
@@ -112,19 +125,20 @@ def top_terms(weights: DataFrame, clusters: DataFrame, cluster: str, sizes: Data
     )
 
 
-def similar_pairs(df: DataFrame, vector: str, id_col: str, least: float, blocks: int = 8) -> DataFrame:
+def similar_pairs(df: DataFrame, vector: str, id_col: str, least: float, block_rows: int = 2000) -> DataFrame:
     """``a, b, cosine`` of all pairs (a < b) from ``least`` up.
 
     Every pair is looked at, block against block as matrix products, so the work is that of the
     square by definition; what moves is each block once for every other, and only pairs from
     ``least`` up come out. For near duplicates in large tables use an index instead.
     """
+    blocks = max(1, -(-df.count() // block_rows))  # of bounded size, so a task's matrix is, too
     rows = df.select(F.col(id_col).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v")).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     up = rows.withColumn("o", F.explode(F.sequence("k", F.lit(blocks - 1)))).select(F.concat_ws(":", "k", "o").alias("pair"), "id", "v")
     down = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k")))).select(F.concat_ws(":", "o", "k").alias("pair"), F.col("id").alias("id2"), F.col("v").alias("v2"))
 
     def unit(column: pa.ChunkedArray) -> np.ndarray:
-        x = np.array(column.to_pylist(), np.float64)
+        x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -145,9 +159,83 @@ def similar_pairs(df: DataFrame, vector: str, id_col: str, least: float, blocks:
 
 def compare_k(df: DataFrame, vector: str, category: str, size: int, ks: tuple[int, ...] = (9, 12, 13), seeds: int = 3) -> DataFrame:
     """Silhouette and purity of k-means for several k, best silhouette first."""
+    return compare_representations({"vectors": (df, vector, size)}, category, ks, seeds).drop("representation")
+
+
+def compare_representations(
+    spaces: dict[str, tuple[DataFrame, str, int]], category: str, ks: tuple[int, ...] = (9, 12, 13), seeds: int = 3
+) -> DataFrame:
+    """``representation, k, silhouette, purity, ...`` of k-means, best silhouette and then purity first.
+
+    ``spaces``: for each representation its rows, vector column and number of dimensions.
+    """
     out = None
-    for k in ks:
-        _, found = best_kmeans(df, vector, k, seeds)
-        one = silhouette(found, "cluster", vector, size).join(purity(majority(found, "cluster", category))).withColumn("k", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("silhouette"), F.desc("purity"))
+    for name, (df, vector, size) in spaces.items():
+        for k in ks:
+            _, found = best_kmeans(df, vector, k, seeds)
+            one = silhouette(found, "cluster", vector, size).join(purity(majority(found, "cluster", category)))
+            one = one.withColumn("k", F.lit(k)).withColumn("representation", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("silhouette"), F.desc("purity"), "representation", "k")
+
+
+def check_matrix(df: DataFrame, vector: str, k: int) -> int:
+    """Number of dimensions of vectors that can be clustered and drawn: three or more, finite, more rows than k."""
+    v = F.col(vector)
+    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    row = df.agg(F.count("*").alias("n"), F.count_if(~fine).alias("odd"), F.min(F.size(v)).alias("least"), F.max(F.size(v)).alias("most")).first()
+    if row["odd"] or row["least"] != row["most"] or (row["most"] or 0) < 3:
+        raise ValueError("vectors must be finite, of one length and of three numbers at least")
+    if not 2 <= k < row["n"]:
+        raise ValueError(f"k must be at least 2 and below the {row['n']} rows")
+    return row["most"]
+
+
+@dataclass(frozen=True)
+class Drawing:
+    """A clustering with what a picture and its legend need.
+
+    ``points``: id, cluster, category and x, y, z; ``legend``: a row for each cluster with size,
+    majority category, purity, cohesion and, where weights were given, terms and a name;
+    ``measures``: one row with silhouette, purity, k and the three axes' shares of variance.
+    """
+
+    points: DataFrame
+    legend: DataFrame
+    measures: DataFrame
+    model: KMeansModel
+
+
+def drawing(
+    df: DataFrame, vector: str, category: str, k: int, *, id_col: str = "doc_id", weights: DataFrame | None = None, seeds: int = 10, digits: int = 5
+) -> Drawing:
+    """Clusters of a representation, their legend and principal coordinates; an empty cluster is an error.
+
+    ``weights``: ``doc_id, term, weight`` that clusters are named by.
+    """
+    size = check_matrix(df, vector, k)
+    model, found = best_kmeans(df, vector, k, seeds)
+    by = majority(found, "cluster", category)
+    if by.count() != k:
+        raise ValueError("a cluster is empty")
+    legend = by.join(cohesion(found, "cluster", vector, size).drop("size"), "cluster")
+    if weights is not None:
+        sizes = by.select("cluster", F.col("size").alias("n"))
+        legend = legend.join(top_terms(weights, found.select(F.col(id_col).alias("doc_id"), "cluster"), "cluster", sizes), "cluster", "left")
+    at, shares = principal(df, vector, id_col)
+    axes = [F.round(c, digits).alias(c) for c in "xyz"]
+    points = found.select(id_col, "cluster", category).join(at, id_col).select(id_col, "cluster", category, *axes)
+    measures = silhouette(found, "cluster", vector, size).join(purity(by)).select(
+        "silhouette", "purity", "rows", F.lit(k).alias("k"), *[F.lit(round(float(share), 6)).alias(f"share_{c}") for c, share in zip("xyz", shares)]
+    )
+    return Drawing(points, legend, measures, model)
+
+
+def check_drawing(drawn: Drawing, compared: DataFrame, representation: str, room: float = 1e-6) -> None:
+    """Refuse a drawing whose measures are not those of a comparison, or whose points are not its rows."""
+    one = drawn.measures.first()
+    row = compared.filter((F.col("representation") == representation) & (F.col("k") == one["k"])).first()
+    if row is None or abs(row["silhouette"] - one["silhouette"]) > room or abs(row["purity"] - one["purity"]) > room:
+        raise ValueError("the drawing and the comparison are not of the same clustering")
+    if drawn.points.count() != one["rows"]:
+        raise ValueError("the drawing has not a point for each row")

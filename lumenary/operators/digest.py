@@ -60,11 +60,15 @@ def recent(articles: DataFrame, category: str | None = None, page: int = 0, size
 def alerts(articles: DataFrame, rules: DataFrame, seen: DataFrame, first: int = 3) -> DataFrame:
     """New matches of each rule: ``term, new, latest`` (ids of the latest few, joined by commas).
 
-    ``rules``: ``term``, a small table of users' words; ``seen``: ``term, url``. A term matches
-    inside title and category, case aside.
+    ``rules``: ``term``, the users' distinct words, which meet in one row; ``seen``: ``term, url``.
+    A term matches inside title and category, case aside.
     """
     where = F.lower(F.concat_ws(" ", "title", "category"))
-    found = articles.join(F.broadcast(rules), where.contains(F.lower("term"))).join(seen, ["term", "url"], "left_anti")
+    # one pass over the articles with all users' words at hand; an article makes a row for each that it has
+    held = rules.agg(F.collect_set("term").alias("__terms"))
+    hit = F.filter("__terms", lambda term: F.col("__where").contains(F.lower(term)))
+    marked = articles.withColumn("__where", where).join(held)
+    found = marked.withColumn("term", F.explode(hit)).drop("__terms", "__where").join(seen, ["term", "url"], "left_anti")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("published_at"), F.desc("doc_id")))
     counts = found.groupBy("term").agg(F.count("*").alias("new"))
     top = found.withColumn("k", place).filter(F.col("k") <= first)
@@ -120,6 +124,50 @@ def as_html(report: dict) -> str:
 
 
 def snippets(articles: DataFrame, urls: DataFrame, size: int = 1800) -> DataFrame:
-    """``url, snippet`` of selected URLs (a digest's few): the text's beginning, else the title."""
+    """``url, snippet`` of selected URLs: the text's beginning, else the title."""
     body = F.substring(text.clean("content"), 1, size)
-    return articles.join(F.broadcast(urls), "url", "left_semi").select("url", F.coalesce(F.nullif(body, F.lit("")), F.col("title")).alias("snippet"))
+    return articles.join(urls, "url", "left_semi").select("url", F.coalesce(F.nullif(body, F.lit("")), F.col("title")).alias("snippet"))
+
+
+def delivered(state: DataFrame, new: DataFrame, most: int = HISTORY) -> DataFrame:
+    """Delivery state after a delivery: ``user, seen`` with the last ``most`` URLs of each user.
+
+    ``state``: ``user, seen`` (array of URLs, oldest first); ``new``: ``user, url, position``.
+    Users without a delivery keep their state, new users get one.
+    """
+    held = F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"])
+    added = new.groupBy("user").agg(held.alias("__new"))
+    none = F.array().cast("array<string>")
+    both = state.join(added, "user", "full")
+    return both.select("user", remembered(F.coalesce("seen", none), F.coalesce("__new", none), most).alias("seen"))
+
+
+def unseen(articles: DataFrame, state: DataFrame, user: str) -> DataFrame:
+    """Articles whose URL is not in a user's delivery state."""
+    return articles.join(state.filter(F.col("user") == user).select(F.explode("seen").alias("url")), "url", "left_anti")
+
+
+_EMAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+")
+
+
+def check_email(address: str) -> str:
+    """The address without blanks around it; an error where it cannot be one."""
+    address = (address or "").strip()
+    if not _EMAIL.fullmatch(address):
+        raise ValueError("the e-mail address is not valid")
+    return address
+
+
+def check_form(form: dict, areas: list[str]) -> dict:
+    """A subscription's fields: known area, daily or weekly, ``HH:MM``, a weekday from 0 to 6, an address."""
+    area, frequency, hour = (str(form.get(k, "")).strip() for k in ("area", "frequency", "hour"))
+    if area not in areas:
+        raise ValueError(f"the area is none of {', '.join(areas)}")
+    if frequency not in ("daily", "weekly"):
+        raise ValueError("the frequency is daily or weekly")
+    if not re.fullmatch(r"([01]\d|2[0-3]):[0-5]\d", hour):
+        raise ValueError("the hour is HH:MM")
+    weekday = int(form.get("weekday", 0))
+    if not 0 <= weekday <= 6:
+        raise ValueError("the weekday is 0 to 6")
+    return {"area": area, "frequency": frequency, "hour": hour, "weekday": weekday, "email": check_email(form.get("email", ""))}

@@ -7,8 +7,13 @@ rules are joins on (document, head), so a corpus is one plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Dependency labels, pronouns that are no argument, contracted prepositions.
 SUBJECTS, COMPLEMENTS, LEADING = ("nsubj", "nsubj:pass"), ("obj", "iobj", "obl"), ("case", "det")
@@ -24,24 +29,46 @@ def preposition(word: Column, lemma: Column) -> Column:
     return F.coalesce(known[F.lower(word)], F.lower(lemma))
 
 
-def subtrees(tokens: DataFrame, depth: int = 12) -> DataFrame:
-    """``doc_id, root, i`` for every token below (or at) every other, to ``depth`` edges."""
-    edges = tokens.filter("i <> head").select("doc_id", F.col("head").alias("parent"), F.col("i").alias("child"))
-    level = tokens.select("doc_id", F.col("i").alias("root"), "i")
-    reached = level
-    for _ in range(depth):
-        level = level.join(edges.withColumnRenamed("parent", "i"), ["doc_id", "i"]).select("doc_id", "root", F.col("child").alias("i"))
-        reached = reached.unionByName(level)
+def subtrees(tokens: DataFrame) -> DataFrame:
+    """``doc_id, root, i`` for every token at or below every other, however deep.
+
+    Paths of doubled length are joined until none is new, so a tree of depth d takes log d rounds;
+    each is written to the checkpoint folder where there is one. A token that is its own head, or
+    whose head is missing, ends a path; heads in a circle are an error.
+    """
+    edges = tokens.filter("i <> head").select("doc_id", F.col("head").alias("root"), "i")
+    reached = tokens.select("doc_id", F.col("i").alias("root"), "i")
+    step = edges  # pairs that are exactly one edge apart, then two, four and so on
+    while not step.isEmpty():
+        # what is less than that below the end of such a pair is less than twice as far below its start
+        far = step.withColumnRenamed("i", "mid").join(reached.withColumnRenamed("root", "mid"), ["doc_id", "mid"]).select("doc_id", "root", "i")
+        far = _written(far)
+        if not far.filter("root = i").isEmpty():
+            raise ValueError("tokens' heads form a circle")
+        reached = reached.unionByName(far)
+        next_step = step.withColumnRenamed("i", "mid").join(step.withColumnRenamed("root", "mid"), ["doc_id", "mid"]).select("doc_id", "root", "i")
+        step = _written(next_step)
     return reached
 
 
-def arguments(tokens: DataFrame, entities: DataFrame, depth: int = 12) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut where the session has a checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def arguments(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """``doc_id, i, argument, label``: of each token the entity that holds it, else its phrase.
 
     The phrase is the token's subtree in order without punctuation and leading case marks and
     determiners; where nothing is left, the whole span of the subtree.
     """
-    held = subtrees(tokens, depth).join(tokens.select("doc_id", "i", "dep", "pos", "text"), ["doc_id", "i"])
+    held = subtrees(tokens).join(tokens.select("doc_id", "i", "dep", "pos", "text"), ["doc_id", "i"])
     fine = ~F.col("pos").isin("PUNCT", "SPACE")
     first = F.min(F.when(fine & ~F.col("dep").isin(*LEADING), F.col("i")))
     listed = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("i", "text")))), lambda x: x["text"]), " ")
@@ -49,15 +76,16 @@ def arguments(tokens: DataFrame, entities: DataFrame, depth: int = 12) -> DataFr
     phrase = held.join(start, ["doc_id", "root"]).groupBy("doc_id", "root").agg(
         listed(fine & (F.col("i") >= F.col("first"))).alias("clean"), listed(F.lit(True)).alias("span")
     )
-    # the first entity that covers the token
-    covering = tokens.select("doc_id", "i").join(entities, "doc_id").filter("start <= i AND i < stop")
+    # the first entity that covers the token; an entity is a row for each of its places
+    places = entities.select("doc_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"), "start", "label", "entity")
+    covering = tokens.select("doc_id", "i").join(places, ["doc_id", "i"])
     entity = covering.groupBy("doc_id", "i").agg(F.min_by(F.struct("entity", "label"), "start").alias("e"))
     return phrase.select("doc_id", F.col("root").alias("i"), "clean", "span").join(entity, ["doc_id", "i"], "left").select(
         "doc_id", "i", F.coalesce("e.entity", F.nullif("clean", F.lit("")), "span").alias("argument"), F.coalesce("e.label", F.lit("")).alias("label")
     )
 
 
-def triples(tokens: DataFrame, entities: DataFrame, depth: int = 12) -> DataFrame:
+def triples(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """``doc_id, sent, subject, subject_label, relation, object, object_label, verb, dependency``.
 
     A verb's subjects are its own; a coordinated verb without any takes those of the verb it is
@@ -75,7 +103,7 @@ def triples(tokens: DataFrame, entities: DataFrame, depth: int = 12) -> DataFram
     case = t.filter("dep = 'case'").groupBy("doc_id", F.col("head").alias("o")).agg(F.min_by(preposition(F.col("text"), F.col("lemma")), "i").alias("prep"))
     joined = with_subject.join(complement, ["doc_id", "v"]).join(case, ["doc_id", "o"], "left")
     relation = F.when((F.col("dependency") == "obl") & F.col("prep").isNotNull(), F.concat_ws("_", "verb", "prep")).otherwise(F.col("verb"))
-    named = arguments(tokens, entities, depth)
+    named = arguments(tokens, entities)
     side = lambda i, name: named.select("doc_id", F.col("i").alias(i), F.col("argument").alias(name), F.col("label").alias(f"{name}_label"))
     out = joined.withColumn("relation", relation).join(side("s", "subject"), ["doc_id", "s"]).join(side("o", "object"), ["doc_id", "o"])
     valid = lambda c: (F.col(c) != "") & ~F.lower(c).isin(*PRONOUNS)
@@ -84,6 +112,64 @@ def triples(tokens: DataFrame, entities: DataFrame, depth: int = 12) -> DataFram
     )
 
 
+#: Schema of parsed tokens and of entities.
+TOKENS = "doc_id long, sent int, i int, head int, dep string, pos string, lemma string, text string"
+ENTITIES = "doc_id long, start int, stop int, label string, entity string"
+
+Parser = Callable[[list[str]], list[tuple[list[tuple], list[tuple]]]]
+
+
+def parsed(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text", batch: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Token and entity tables of documents, by a parser from outside.
+
+    ``make`` is called once in each task and gives a function from a few texts to, for each,
+    tokens ``(sent, i, head, dep, pos, lemma, text)`` and entities ``(start, stop, label, entity)``.
+    A null text is empty. Both tables come from one parse, which is written to the checkpoint
+    folder where there is one.
+    """
+
+    shape = T.StructType.fromDDL(_PARSED)
+    arrow = to_arrow_schema(shape)
+    names = [[f.name for f in shape[k].dataType.elementType] for k in ("tokens", "entities")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = make()
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                found = parse([x or "" for x in part.column(1).to_pylist()])
+                lists = [[[dict(zip(names[k], item)) for item in both[k]] for both in found] for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, arrow.field(k + 1).type) for k, x in enumerate(lists))], schema=arrow)
+
+    both = _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, _PARSED))
+    return both.select("doc_id", F.inline("tokens")), both.select("doc_id", F.inline("entities"))
+
+
+_PARSED = (
+    "doc_id long, tokens array<struct<sent:int,i:int,head:int,dep:string,pos:string,lemma:string,text:string>>, "
+    "entities array<struct<start:int,stop:int,label:string,entity:string>>"
+)
+
+
+def sentences(tokens: DataFrame) -> DataFrame:
+    """``doc_id, sent, start, stop, sentence``: places and text of each sentence."""
+    held = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ")
+    return tokens.groupBy("doc_id", "sent").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"), held.alias("sentence"))
+
+
+def mentions(tokens: DataFrame, entities: DataFrame, shortest: int = 2) -> DataFrame:
+    """``doc_id, sent, label, entity, start``: entities with the sentence that they begin in, short ones left out."""
+    clean = F.trim(F.regexp_replace("entity", r"\s+", " "))
+    at = tokens.select("doc_id", F.col("i").alias("start"), "sent")
+    return entities.join(at, ["doc_id", "start"]).select("doc_id", "sent", "label", clean.alias("entity"), "start").filter(F.length("entity") >= shortest)
+
+
+def extracted(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text", batch: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Mentions and triples of documents, from one parse."""
+    tokens, entities = parsed(docs, make, text_col, batch)
+    return mentions(tokens, entities), triples(tokens, entities)
+
+
 def rollup(rows: DataFrame, group: str, item: Column, k: int, order: list[str]) -> DataFrame:
     """Mentions, distinct items and the k most frequent of each group, first seen first on ties."""
     named = rows.select(group, item.alias("item"), F.struct(*order).alias("at"))

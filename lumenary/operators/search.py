@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenary.functions import text, vectors
 
 MIN_DF, VOCABULARY = 2, 15_000
+METHODS = ("bow", "tfidf", "word2vec", "bert")
 
 
 def counts(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
@@ -81,20 +85,128 @@ def top(scores: DataFrame, k: int, positive: bool = False, digits: int = 6) -> D
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("int").alias("position"), "doc_id", "score")
 
 
-def search(spark: SparkSession, docs: DataFrame, query: str, scheme: str = "tfidf", metric: str = "cosine", k: int = 10, positive: bool = True) -> DataFrame:
-    """Ranked documents for a query over bag of words or TF-IDF."""
-    tf = counts(docs, text.terms("content"))
-    terms, n = vocabulary(tf), docs.count()
-    postings = bow(tf, terms) if scheme == "bow" else normalised(tfidf(tf, terms, n))
-    return top(lexical_scores(postings, query_weights(spark, query, terms, n, scheme), metric), k, positive)
+def pooled(docs: DataFrame, tokens: str, vectors_of: DataFrame, size: int) -> DataFrame:
+    """Mean of the known tokens' vectors (``term, v``); a document without any has zeros."""
+    each = docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n")).join(vectors_of, "term")
+    mean = each.groupBy("doc_id").agg(F.array(*[F.sum(F.col("n") * F.col("v")[k]) / F.sum("n") for k in range(size)]).alias("embedding"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    return docs.select("doc_id").join(mean, "doc_id", "left").select("doc_id", F.coalesce("embedding", zero).alias("embedding"))
 
 
-def dense_search(items: DataFrame, query: DataFrame, metric: str, k: int = 10, id_col: str = "vec_id") -> DataFrame:
-    """Vectors nearest to one query vector (``query``: one row, ``q``)."""
-    scored = items.join(F.broadcast(query)).select(
+class Space:
+    """A corpus (``doc_id, content``) in the representations that searches rank it by.
+
+    ``term_vectors``: ``term, v`` of a word model, ``size`` numbers each, for "word2vec";
+    ``embeddings``: ``doc_id, embedding`` and ``encode``, from a query to its vector, for "bert".
+    """
+
+    def __init__(
+        self, docs: DataFrame, *, term_vectors: DataFrame | None = None, size: int = 0,
+        embeddings: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None,
+    ):
+        self.docs, self.spark = docs, docs.sparkSession
+        self.term_vectors, self.size, self.embeddings, self.encode = term_vectors, size, embeddings, encode
+
+    @cached_property
+    def tf(self) -> DataFrame:
+        return counts(self.docs, text.terms("content"))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return vocabulary(self.tf)
+
+    @cached_property
+    def n(self) -> int:
+        return self.docs.count()
+
+    def _among(self, only: DataFrame | None) -> DataFrame:
+        return self.docs if only is None else self.docs.join(only.select("doc_id"), "doc_id", "left_semi")
+
+    def scores(self, query: str, method: str = "tfidf", metric: str = "cosine", only: DataFrame | None = None) -> DataFrame:
+        """``doc_id, score`` of all documents, or of those in ``only``; statistics are the corpus'."""
+        if not query.strip():
+            raise ValueError("the query is empty")
+        if method not in METHODS or metric not in vectors.METRICS:
+            raise ValueError(f"methods are {', '.join(METHODS)}; metrics are {', '.join(vectors.METRICS)}")
+        if method in ("bow", "tfidf"):
+            tf = self.tf if only is None else counts(self._among(only), text.terms("content"))
+            postings = bow(tf, self.terms) if method == "bow" else normalised(tfidf(tf, self.terms, self.n))
+            return lexical_scores(postings, query_weights(self.spark, query, self.terms, self.n, method), metric)
+        if method == "word2vec":
+            if self.term_vectors is None:
+                raise FileNotFoundError("there are no word vectors; train them first")
+            tokens = text.terms("content").alias("tokens")
+            items = pooled(self._among(only).select("doc_id", tokens), "tokens", self.term_vectors, self.size)
+            asked = self.spark.range(1).select(F.col("id").alias("doc_id"), text.terms(F.lit(query)).alias("tokens"))
+            vector = pooled(asked, "tokens", self.term_vectors, self.size).select(F.col("embedding").alias("q"))
+        else:
+            if self.embeddings is None or self.encode is None:
+                raise FileNotFoundError("there are no embeddings; encode the documents first")
+            items = self._among(only).select("doc_id").join(self.embeddings, "doc_id")
+            vector = self.spark.createDataFrame([(list(map(float, self.encode(query))),)], "q array<double>")
+        return dense_scores(items, vector, metric)
+
+    def search(self, query: str, method: str = "tfidf", metric: str = "cosine", k: int = 10, positive: bool = False) -> DataFrame:
+        """``position, doc_id, score`` of the k best; scores of zero count unless ``positive``."""
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        return top(self.scores(query, method, metric), k, positive)
+
+    def hybrid(self, query: str, k: int = 10, depth: int = 100) -> DataFrame:
+        """Fused ranks of TF-IDF and word vectors, both by cosine, where they are above zero."""
+        ranks = [top(self.scores(query, method), depth, positive=True, digits=9) for method in ("tfidf", "word2vec")]
+        return top(fuse(ranks, depth), k, digits=9)
+
+    def compared(self, query: str, k: int = 5, methods: tuple[str, ...] = METHODS) -> DataFrame:
+        """The k best by every method side by side, a row for each position and metric."""
+        out = None
+        for metric in vectors.METRICS:
+            row = None
+            for method in methods:
+                best = self.search(query, method, metric, k).select("position", F.col("doc_id").alias(method), F.col("score").alias(f"{method}_score"))
+                row = best if row is None else row.join(best, "position", "full")
+            row = row.withColumn("metric", F.lit(metric))
+            out = row if out is None else out.unionByName(row)
+        return out
+
+
+def search(spark: SparkSession, docs: DataFrame, query: str, method: str = "tfidf", metric: str = "cosine", k: int = 10, positive: bool = True, **space) -> DataFrame:
+    """Ranked documents for a query; ``space``: what ``Space`` needs for dense methods."""
+    return Space(docs, **space).search(query, method, metric, k, positive)
+
+
+def summaries(lists: DataFrame, docs: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """For each ``query`` and k of rankings (``query, position, doc_id, score``): mean score, dominant
+    category with its share, categories by number and titles by position.
+
+    ``docs``: ``doc_id, category, title``. Ties go to the lower category.
+    """
+    rows = lists.join(docs.select("doc_id", "category", "title"), "doc_id").withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("position <= k")
+    counted = rows.groupBy("query", "k", "category").agg(F.count("*").alias("n"))
+    whole = rows.groupBy("query", "k").agg(
+        F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("size"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "title"))), lambda x: x["title"]), " | ").alias("titles"),
+    )
+    listed = F.concat_ws(": ", "category", F.col("n").cast("string"))
+    named = counted.groupBy("query", "k").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("category").alias("c"))))[0].alias("first"),
+        F.array_join(F.array_sort(F.collect_list(listed)), "; ").alias("categories"),
+    )
+    return whole.join(named, ["query", "k"]).select(
+        "query", "k", "mean_score", F.col("first.c").alias("dominant"), F.round(-F.col("first.n") / F.col("size"), 6).alias("share"), "categories", "titles"
+    )
+
+
+def dense_scores(items: DataFrame, query: DataFrame, metric: str, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, score`` of vectors (``embedding``) for one query vector (``query``: one row, ``q``)."""
+    return items.join(F.broadcast(query)).select(
         F.col(id_col).alias("doc_id"), vectors.relevance(vectors.doubles(F.col("embedding")), F.col("q"), metric).alias("score")
     )
-    return top(scored, k)
+
+
+def dense_search(items: DataFrame, query: DataFrame, metric: str, k: int = 10, id_col: str = "vec_id") -> DataFrame:
+    """Vectors nearest to one query vector."""
+    return top(dense_scores(items, query, metric, id_col), k)
 
 
 def fuse(rankings: list[DataFrame], depth: int = 100, constant: int = 60) -> DataFrame:

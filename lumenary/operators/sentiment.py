@@ -33,8 +33,8 @@ def tokens(title: Column, content: Column, stored: Column | None = None) -> Colu
     runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, content)), F.lit(text.LETTERS), F.lit(0))
     held = runs if stored is None else F.when(F.size(stored) > 0, stored).otherwise(runs)
     # folding is done once for the whole list, not for each token
-    folded = F.split(text.fold(F.array_join(held, " ")), " ")
-    return F.filter(F.transform(folded, lambda t: F.regexp_replace(t, "[^a-z]+", "")), lambda t: t != "")
+    folded = F.regexp_replace(text.fold(F.array_join(held, " ")), "[^a-z ]+", "")
+    return F.filter(F.split(folded, " "), lambda t: t != "")
 
 
 def _map(weights: dict[str, float]) -> Column:
@@ -51,9 +51,11 @@ def hits(held: Column, lexicon: Lexicon) -> Column:
         for words, window, factor in ((lexicon.negations, near, -0.8), (lexicon.intensifiers, nearer, 1.4), (lexicon.diminishers, nearer, 0.7)):
             if words:
                 weight = weight * F.when(F.arrays_overlap(window, F.array(*map(F.lit, words))), factor).otherwise(1.0)
-        return F.when(token.isin(*lexicon.words), F.struct(token.alias("term"), weight.alias("weight")))
+        return F.struct(token.alias("term"), weight.alias("weight"))
 
-    return F.filter(F.transform(held, one), lambda h: h.isNotNull())
+    # first the places of the lexicon's words, then what stands before each
+    places = F.filter(F.transform(held, lambda token, at: F.when(token.isin(*lexicon.words), at)), lambda at: at.isNotNull())
+    return F.transform(places, lambda at: one(F.get(held, at), at))
 
 
 def scores(articles: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +86,8 @@ def rollup(scored: DataFrame, key: str | None = None) -> DataFrame:
     grouped = scored.groupBy(key) if key else scored.groupBy()
     kind = lambda name: F.count_if(F.col("sentiment_label") == name).alias(name)
     return grouped.agg(
-        F.count("*").alias("n"), F.round(F.avg("sentiment_score"), 6).alias("mean_score"), F.sum("sentiment_terms").alias("terms"),
+        # scores have six digits: whole millionths add up to one sum in whatever order
+        F.count("*").alias("n"), F.round(F.sum(F.round(F.col("sentiment_score") * 1e6).cast("long")) / (F.count("*") * 1e6), 6).alias("mean_score"), F.sum("sentiment_terms").alias("terms"),
         kind("positive"), kind("neutral"), kind("negative"),
     )
 

@@ -52,9 +52,10 @@ def public_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping versions of the corpus by a key that several documents share."""
-    a = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("-"), F.col("doc_id") % 97).alias("key"), "lang", "n_chars")
-    return a.filter("doc_id % 3 <> 0"), a.filter("doc_id % 2 = 0")
+    """Two versions of the whole corpus by keys that several documents, and in part both versions, share."""
+    a = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    keyed = lambda n: a.select("doc_id", F.concat("source", F.lit("-"), F.col("doc_id") % n).alias("key"), "lang", "n_chars")
+    return keyed(97), keyed(101)
 
 
 def upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +86,7 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def top_terms_per_category(spark: SparkSession, sf: str) -> DataFrame:
     rows = from_documents(spark, sf).select("doc_id", "category", F.posexplode(text.terms("content")).alias("pos", "term"))
     # the first place of a term: documents by id, then the place in the document
-    return sentiment.top_listing(rows.select("category", "term", (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("at")), "category", "term", 10, "terms")
+    return sentiment.top_listing(rows.select("category", "term", F.struct("doc_id", "pos").alias("at")), "category", "term", 10, "terms")
 
 
 def temporal_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +101,9 @@ def period_summary(spark: SparkSession, sf: str) -> DataFrame:
         F.min("published_at").alias("first_day"), F.max("published_at").alias("last_day"), F.count("*").alias("n"), F.round(F.avg("word_count"), 2).alias("mean_words")
     )
     top = sentiment.top_listing(a.select("period", "category", F.col("doc_id").alias("at")), "period", "category", 5, "categories")
-    return whole.join(top, "period")
+    rows = a.select("period", "doc_id", F.posexplode(text.terms("content")).alias("pos", "term"))
+    terms = sentiment.top_listing(rows.select("period", "term", F.struct("doc_id", "pos").alias("at")), "period", "term", 10, "terms")
+    return whole.join(top, "period").join(terms, "period")
 
 
 def date_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +121,8 @@ def interval_count(spark: SparkSession, sf: str) -> DataFrame:
 def url_predicate(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     url = F.col("url")
-    return pages.select("page_id", "url", urls.is_article(url, urls.host(url)).alias("article"))
+    own = pages.orderBy("page_id").limit(1).select(urls.host(url).alias("own"))  # the site that is collected
+    return pages.join(F.broadcast(own)).select("page_id", "url", urls.is_article(url, F.col("own"), ["about", "contact"]).alias("article"))
 
 
 def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,8 +148,8 @@ QUERIES = {
 }
 
 VERSIONS = """WITH v AS (
-  SELECT 0 AS side, doc_id, source || '-' || (doc_id % 97) AS key, lang, n_chars FROM documents WHERE doc_id % 3 <> 0
-  UNION ALL SELECT 1, doc_id, source || '-' || (doc_id % 97), lang, n_chars FROM documents WHERE doc_id % 2 = 0)"""
+  SELECT 0 AS side, doc_id, source || '-' || (doc_id % 97) AS key, lang, n_chars FROM documents
+  UNION ALL SELECT 1, doc_id, source || '-' || (doc_id % 101), lang, n_chars FROM documents)"""
 TERMS = r"""t AS (SELECT doc_id, category, unnest(regexp_extract_all(lower(content), '\p{L}+')) AS term FROM articles),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"""
 
@@ -179,7 +183,7 @@ SELECT sha256(string_agg(v, chr(10) ORDER BY o)) AS fingerprint FROM c""",
     "content_hash": ARTICLES + "SELECT doc_id, content_hash, word_count FROM articles",
     "token_counts": ARTICLES + f", {TERMS} SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf GROUP BY term",
     "top_terms_per_category": ARTICLES + r""", w AS (SELECT doc_id, category, regexp_extract_all(lower(content), '\p{L}+') AS l FROM articles),
-t AS (SELECT category, doc_id * 10000000 + pos AS place, l[pos + 1] AS term FROM (SELECT *, unnest(range(len(l))) AS pos FROM w)),
+t AS (SELECT category, (doc_id, pos) AS place, l[pos + 1] AS term FROM (SELECT *, unnest(range(len(l))) AS pos FROM w)),
 c AS (SELECT category, term, count(*) AS n, min(place) AS first FROM t GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, first, term) AS k FROM c)
 SELECT category, string_agg(term || ': ' || n, '; ' ORDER BY k) AS terms FROM r WHERE k <= 10 GROUP BY category""",
@@ -189,14 +193,20 @@ SELECT CASE WHEN CAST(ts AS DATE) >= cut THEN 'recent' ELSE 'previous' END AS pe
 a AS (SELECT *, CASE WHEN CAST(published_at AS DATE) >= cut THEN 'recent' ELSE 'previous' END AS period FROM articles, m),
 c AS (SELECT period, category, count(*) AS n, min(doc_id) AS first FROM a GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY n DESC, first, category) AS k FROM c),
-g AS (SELECT period, string_agg(category || ': ' || n, '; ' ORDER BY k) AS categories FROM r WHERE k <= 5 GROUP BY period)
-SELECT period, min(published_at) AS first_day, max(published_at) AS last_day, count(*) AS n, round(avg(word_count), 2) AS mean_words, any_value(categories) AS categories
-FROM a JOIN g USING (period) GROUP BY period""",
+g AS (SELECT period, string_agg(category || ': ' || n, '; ' ORDER BY k) AS categories FROM r WHERE k <= 5 GROUP BY period),
+tw AS (SELECT period, doc_id, regexp_extract_all(lower(content), '\\p{L}+') AS l FROM a),
+tt AS (SELECT period, (doc_id, pos) AS place, l[pos + 1] AS term FROM (SELECT *, unnest(range(len(l))) AS pos FROM tw)),
+tc AS (SELECT period, term, count(*) AS n, min(place) AS first FROM tt GROUP BY ALL),
+tr AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY n DESC, first, term) AS k FROM tc),
+tg AS (SELECT period, string_agg(term || ': ' || n, '; ' ORDER BY k) AS terms FROM tr WHERE k <= 10 GROUP BY period)
+SELECT period, min(published_at) AS first_day, max(published_at) AS last_day, count(*) AS n, round(avg(word_count), 2) AS mean_words, any_value(categories) AS categories, any_value(terms) AS terms
+FROM a JOIN g USING (period) JOIN tg USING (period) GROUP BY period""",
     "date_functions": ARTICLES + """SELECT doc_id, CAST(published_at AS DATE) AS day, strftime(CAST(published_at AS DATE), '%d/%m/%Y') AS shown,
   CAST(CAST(published_at AS DATE) - 6 AS DATE) AS week_start FROM articles""",
     "interval_count": ARTICLES + "SELECT count(*) FILTER (published_at > '2024-01-20') AS later, min(published_at) AS first_day, max(published_at) AS last_day FROM articles",
-    "url_predicate": r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/+|/+$', '', 'g') AS p FROM pages)
-SELECT page_id, url, p <> '' AND NOT contains(p, '/') AND NOT regexp_matches(p, '^(category|tag|author|page|wp-)')
+    "url_predicate": r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages),
+o AS (SELECT host AS own FROM h ORDER BY page_id LIMIT 1), p AS (SELECT page_id, url, host = own AS same, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/+|/+$', '', 'g') AS p FROM pages JOIN h USING (page_id), o)
+SELECT page_id, url, same AND p NOT IN ('about', 'contact') AND p <> '' AND NOT contains(p, '/') AND NOT regexp_matches(p, '^(category|tag|author|page|wp-)')
   AND NOT regexp_matches(lower(p), '\.(jpg|jpeg|png|gif|webp|svg|pdf|mp4|mp3|zip)$') AS article FROM p""",
     "url_canonical": r"""SELECT page_id, rtrim(string_split(url || '//#part', '#')[1], '/') || '/' AS canonical,
   regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenary.functions import text, vectors
 from lumenary.operators import classify, cluster, extract, represent, search, sentiment
 from lumenary.plans.corpus import ARTICLES
+from lumenary.plans import retrieval
 from lumenary.plans.retrieval import TFIDF
 from lumenary.session import table
 from lumenary.sources import html
@@ -72,10 +73,6 @@ def similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def cluster_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.compare_k(_labelled(spark, sf), "embedding", "category", DIMENSIONS)
-
-
 LEXICON = sentiment.Lexicon(
     words={
         "idiot": -1.2, "trash": -1.0, "stupid": -1.1, "worthless": -0.9, "pathetic": -0.8, "clown": -0.5, "moron": -1.2,
@@ -116,13 +113,13 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Language by words: report of the held-out fifth."""
     rows = classify.training_set(from_documents(spark, sf).select("doc_id", "content", "lang"), "content", "lang", "doc_id")
-    parts = classify.stratified(rows, "lang", "doc_id").cache()
+    parts = classify.stratified(rows, "lang", "doc_id")
     return classify.fit_and_report(parts, classify.lexical_model("content", "lang", parts.filter("part = 'train'").count()), "lang")
 
 
 def train_dense_classifier(spark: SparkSession, sf: str) -> DataFrame:
     rows = classify.as_vector(table(spark, sf, "embeddings"), "embedding").withColumn("label_name", F.col("label").cast("string"))
-    parts = classify.stratified(rows.drop("label"), "label_name", "vec_id").cache()
+    parts = classify.stratified(rows.drop("label"), "label_name", "vec_id")
     return classify.fit_and_report(parts, classify.dense_model("label_name", parts.count()), "label_name")
 
 
@@ -162,36 +159,101 @@ def event_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return daily_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
 
 
-#: A parsed passage: two verbs joined, one with a contracted preposition, a pronoun, an entity of two tokens.
-TOKENS = [
-    (1, 0, 0, 1, "det", "DET", "o", "O"), (1, 0, 1, 2, "nsubj", "NOUN", "prefeito", "prefeito"), (1, 0, 2, 2, "ROOT", "VERB", "visitar", "visitou"),
-    (1, 0, 3, 4, "det", "DET", "a", "a"), (1, 0, 4, 2, "obj", "NOUN", "escola", "escola"), (1, 0, 5, 6, "cc", "CCONJ", "e", "e"),
-    (1, 0, 6, 2, "conj", "VERB", "falar", "falou"), (1, 0, 7, 8, "case", "ADP", "em", "na"), (1, 0, 8, 6, "obl", "PROPN", "Vila", "Vila"),
-    (1, 0, 9, 8, "flat:name", "PROPN", "Nova", "Nova"), (1, 0, 10, 2, "punct", "PUNCT", ".", "."),
-    (1, 1, 11, 12, "nsubj", "PRON", "quem", "Quem"), (1, 1, 12, 12, "ROOT", "VERB", "ver", "viu"), (1, 1, 13, 12, "obj", "NOUN", "chuva", "chuva"),
-    (2, 0, 0, 2, "nsubj", "PROPN", "Ana", "Ana"), (2, 0, 1, 2, "nsubj", "PROPN", "Rui", "Rui"), (2, 0, 2, 2, "ROOT", "VERB", "comprar", "compram"),
-    (2, 0, 3, 2, "obj", "NOUN", "casa", "casas"), (2, 0, 4, 5, "case", "ADP", "por", "pelo"), (2, 0, 5, 2, "obl", "NOUN", "rio", "rio"),
-]
-ENTITIES = [(1, 8, 10, "LOC", "Vila Nova"), (2, 0, 1, "PER", "Ana"), (2, 1, 2, "PER", "Rui"), (1, 4, 5, "ORG", "escola"), (3, 0, 1, "PER", "Ana")]
-TOKEN_SCHEMA = "doc_id long, sent int, i int, head int, dep string, pos string, lemma string, text string"
-ENTITY_SCHEMA = "doc_id long, start int, stop int, label string, entity string"
-
+def _parsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's words as parsed tokens, by rules that stand in for a parser.
 
-def _parsed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(TOKENS, TOKEN_SCHEMA), spark.createDataFrame(ENTITIES, ENTITY_SCHEMA)
+    Sentences are six words: determiner, subject, verb, preposition, complement and what belongs to
+    it. In every second sentence the verb is joined to the one before and has no subject of its
+    own. Subjects of eight letters or more are entities.
+    """
+    words = from_documents(spark, sf).select("doc_id", text.terms("content").alias("w"))
+    each = words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "text"))
+    r, i, second = F.col("i") % 6, F.col("i"), F.floor(F.col("i") / 6) % 2 == 1
+    length = F.length("text")
+    head = (
+        F.when((r <= 1) | (r == 3), i + 1).when((r == 2) & second, i - 6).when(r == 2, i).when(r == 4, i - 2).otherwise(i - 1)
+    )
+    dep = (
+        F.when(r == 0, "det").when((r == 1) & second, "advmod").when(r == 1, "nsubj").when((r == 2) & second, "conj").when(r == 2, "ROOT")
+        .when(r == 3, "case").when((r == 4) & (length % 2 == 0), "obj").when(r == 4, "obl").otherwise("nmod")
+    )
+    pos = F.element_at(F.array(*map(F.lit, ("DET", "NOUN", "VERB", "ADP", "NOUN", "PROPN"))), (r + 1).cast("int"))
+    tokens = each.select(
+        "doc_id", F.floor(i / 6).cast("int").alias("sent"), "i", F.when(head < F.col("n"), head).otherwise(i).cast("int").alias("head"),
+        dep.alias("dep"), pos.alias("pos"), F.col("text").alias("lemma"), "text",
+    )
+    named = tokens.filter((F.col("i") % 6 == 1) & (F.length("text") >= 8))
+    label = F.when(F.length("text") % 2 == 0, "PER").otherwise("LOC")
+    return tokens, named.select("doc_id", F.col("i").alias("start"), (F.col("i") + 1).alias("stop"), label.alias("label"), F.col("text").alias("entity"))
 
 
 def relation_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.triples(*_parsed(spark))
+    return extract.triples(*_parsed(spark, sf))
 
 
 def relation_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = extract.triples(*_parsed(spark))
+    rows = extract.triples(*_parsed(spark, sf))
     return extract.rollup(rows, "relation", F.concat_ws(" - ", "subject", "object"), 10, ["doc_id", "sent"])
 
 
 def entity_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.rollup(_parsed(spark)[1], "label", F.col("entity"), 15, ["doc_id", "start"])
+    return extract.rollup(extract.mentions(*_parsed(spark, sf)), "label", F.col("entity"), 15, ["doc_id", "start"])
+
+
+def _spaces(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Documents that have stored vectors, in two dense representations: ``doc_id, lang, v``."""
+    space = retrieval._space(spark, sf)
+    docs = space.docs.join(space.embeddings, "doc_id").select("doc_id", "lang", "content", F.col("embedding").alias("v"))
+    means = search.pooled(docs.select("doc_id", text.terms("content").alias("tokens")), "tokens", space.term_vectors, DIMENSIONS)
+    return {"bert": docs, "word2vec": docs.drop("v").join(means.withColumnRenamed("embedding", "v"), "doc_id")}
+
+
+def cluster_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouette and purity of k-means over two representations and three k."""
+    spaces = {name: (rows.select("doc_id", "lang", "v").persist(), "v", DIMENSIONS) for name, rows in _spaces(spark, sf).items()}
+    compared = cluster.compare_representations(spaces, "lang", seeds=3)
+    found = spark.createDataFrame(compared.collect(), compared.schema)  # a row for each representation and k
+    for rows, _, _ in spaces.values():
+        rows.unpersist()
+    return found
+
+
+def cluster_drawing(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the word-vector clustering with twelve clusters, each with its cluster's legend."""
+    docs = from_documents(spark, sf)
+    tf = search.counts(docs, text.terms("content"))
+    weights = search.normalised(search.tfidf(tf, search.vocabulary(tf), docs.count()))
+    drawn = cluster.drawing(_spaces(spark, sf)["word2vec"].select("doc_id", "lang", "v"), "v", "lang", 12, weights=weights)
+    return drawn.points.join(drawn.legend.drop("size", "correct"), "cluster")
+
+
+def classifier_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Language by each of four representations; none is stored for the last."""
+    spaces = _spaces(spark, sf)
+    text_rows = spaces["bert"].select("doc_id", "lang", F.col("content").alias("value"))
+    dense = {name: (rows.select("doc_id", "lang", F.col("v").alias("value")), "dense") for name, rows in spaces.items()}
+    return classify.compare_representations({"tfidf": (text_rows, "lexical"), **dense, "absent": (None, "dense")}, "lang")
+
+
+def embedding_gather(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored vectors of labelled documents, by document id."""
+    held = retrieval._space(spark, sf).embeddings
+    joined = table(spark, sf, "labels").join(held, "doc_id")
+    return joined.select("doc_id", "quality", F.round(vectors.norm(F.col("embedding")), 6).alias("length"))
+
+
+def cluster_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of any k-means: every row is in one of twelve clusters, none is empty."""
+    found = kmeans_clusters(spark, sf)
+    return found.agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("clusters"), F.count_distinct("vec_id").alias("ids"))
+
+
+def principal_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of principal coordinates: their means are 0, and no two go together."""
+    at = pca_coordinates(spark, sf)
+    zero = lambda c: (F.abs(c) < 1e-9).cast("int")
+    pairs = ("xy", "xz", "yz")
+    return at.agg(F.count("*").alias("rows"), *[zero(F.avg(c)).alias(f"{c}_centred") for c in "xyz"], *[zero(F.covar_pop(*p)).alias(f"{p}_apart") for p in pairs])
 
 
 QUERIES = {
@@ -201,7 +263,8 @@ QUERIES = {
         centroid_distance_summary, silhouette_cosine, cluster_top_terms, block_mean_pooling, similarity_pairs, cluster_comparison, sentiment_scores,
         sentiment_rollup, sentiment_overall, classification_report, training_set_filter, stratified_split, train_classifier,
         train_dense_classifier, kmeans_clusters, pca_coordinates, word2vec_search, enriched_articles, html_extract, link_extract,
-        event_daily_counts, relation_triples, relation_rollup, entity_rollup,
+        event_daily_counts, relation_triples, relation_rollup, entity_rollup, cluster_drawing, classifier_comparison, embedding_gather,
+        cluster_invariants, principal_invariants,
     )
 }
 
@@ -233,11 +296,19 @@ z AS (SELECT *, round(CASE WHEN positive_score + negative_score = 0 THEN 0 ELSE
 scored AS (SELECT *, CASE WHEN sentiment_score >= 0.15 THEN 'positive' WHEN sentiment_score <= -0.15 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM z)"""
 
 
-ROLLUP = """count(*) AS n, round(avg(sentiment_score), 6) AS mean_score, CAST(sum(sentiment_terms) AS BIGINT) AS terms, count(*) FILTER (sentiment_label = 'positive') AS positive,
+ROLLUP = """count(*) AS n, round(sum(CAST(round(sentiment_score * 1000000) AS BIGINT)) / (count(*) * 1000000.0::DOUBLE), 6) AS mean_score, CAST(sum(sentiment_terms) AS BIGINT) AS terms, count(*) FILTER (sentiment_label = 'positive') AS positive,
 count(*) FILTER (sentiment_label = 'neutral') AS neutral, count(*) FILTER (sentiment_label = 'negative') AS negative FROM scored"""
-_rows = lambda rows, name, columns: f"{name} AS (SELECT * FROM (VALUES {', '.join(str(r) for r in rows)}) AS t({columns}))"
-PARSED = f"""WITH RECURSIVE {_rows(TOKENS, "t", "doc_id, sent, i, head, dep, pos, lemma, text")}, {_rows(ENTITIES, "e", "doc_id, start, stop, label, entity")},
-below AS (SELECT doc_id, i AS root, i FROM t UNION ALL SELECT b.doc_id, b.root, t.i FROM below b JOIN t ON t.doc_id = b.doc_id AND t.head = b.i AND t.i <> t.head),
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in extract.PREPOSITIONS.items())
+PARSED = ARTICLES.replace("WITH articles", "WITH RECURSIVE articles") + r""", w AS (SELECT doc_id, regexp_extract_all(lower(content), '\p{L}+') AS w FROM articles),
+p AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS text FROM w),
+q AS (SELECT *, i % 6 AS r, (i // 6) % 2 = 1 AS second FROM p),
+h AS (SELECT *, CASE WHEN r <= 1 OR r = 3 THEN i + 1 WHEN r = 2 AND second THEN i - 6 WHEN r = 2 THEN i WHEN r = 4 THEN i - 2 ELSE i - 1 END AS g FROM q),
+t AS (SELECT doc_id, CAST(i // 6 AS INTEGER) AS sent, CAST(i AS INTEGER) AS i, CAST(CASE WHEN g < n THEN g ELSE i END AS INTEGER) AS head,
+  CASE r WHEN 0 THEN 'det' WHEN 1 THEN CASE WHEN second THEN 'advmod' ELSE 'nsubj' END WHEN 2 THEN CASE WHEN second THEN 'conj' ELSE 'ROOT' END WHEN 3 THEN 'case'
+    WHEN 4 THEN CASE WHEN len(text) % 2 = 0 THEN 'obj' ELSE 'obl' END ELSE 'nmod' END AS dep,
+  ['DET', 'NOUN', 'VERB', 'ADP', 'NOUN', 'PROPN'][r + 1] AS pos, text AS lemma, text FROM h),
+e AS (SELECT doc_id, i AS start, i + 1 AS stop, CASE WHEN len(text) % 2 = 0 THEN 'PER' ELSE 'LOC' END AS label, text AS entity FROM t WHERE i % 6 = 1 AND len(text) >= 8),
+"""+f"""below AS (SELECT doc_id, i AS root, i FROM t UNION ALL SELECT b.doc_id, b.root, t.i FROM below b JOIN t ON t.doc_id = b.doc_id AND t.head = b.i AND t.i <> t.head),
 x AS (SELECT b.doc_id, b.root, t.i, t.text, t.dep, t.pos <> 'PUNCT' AS fine FROM below b JOIN t USING (doc_id, i)),
 f AS (SELECT doc_id, root, min(i) FILTER (fine AND dep NOT IN ('case', 'det')) AS first FROM x GROUP BY ALL),
 ph AS (SELECT x.doc_id, x.root, string_agg(text, ' ' ORDER BY i) FILTER (fine AND i >= first) AS clean FROM x JOIN f USING (doc_id, root) GROUP BY ALL),
@@ -247,7 +318,7 @@ v AS (SELECT * FROM t WHERE pos IN ('VERB', 'AUX')), sb AS (SELECT doc_id, head
 own AS (SELECT v.doc_id, v.sent, v.i AS v, v.lemma AS verb, s FROM v JOIN sb ON sb.doc_id = v.doc_id AND sb.v = v.i
   UNION ALL SELECT v.doc_id, v.sent, v.i, v.lemma, s FROM v JOIN v h ON h.doc_id = v.doc_id AND h.i = v.head JOIN sb ON sb.doc_id = v.doc_id AND sb.v = v.head
   WHERE v.dep = 'conj' AND NOT EXISTS (SELECT 1 FROM sb z WHERE z.doc_id = v.doc_id AND z.v = v.i)),
-pr AS (SELECT doc_id, head AS o, arg_min(CASE text WHEN 'na' THEN 'em' WHEN 'pelo' THEN 'por' ELSE lemma END, i) AS prep FROM t WHERE dep = 'case' GROUP BY ALL),
+pr AS (SELECT doc_id, head AS o, arg_min(CASE text {_CASES} ELSE lemma END, i) AS prep FROM t WHERE dep = 'case' GROUP BY ALL),
 tr AS (SELECT own.doc_id, own.sent, sa.argument AS subject, sa.label AS subject_label, CASE WHEN c.dep = 'obl' AND prep IS NOT NULL THEN verb || '_' || prep ELSE verb END AS relation,
   oa.argument AS object, oa.label AS object_label, verb, c.dep AS dependency FROM own JOIN t c ON c.doc_id = own.doc_id AND c.head = own.v AND c.dep IN ('obj', 'iobj', 'obl')
   LEFT JOIN pr ON pr.doc_id = c.doc_id AND pr.o = c.i JOIN a sa ON sa.doc_id = own.doc_id AND sa.i = own.s JOIN a oa ON oa.doc_id = c.doc_id AND oa.i = c.i
@@ -260,6 +331,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY n DESC, seen, i
 SELECT {group}, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS distinct_items, string_agg(item || ': ' || n, '; ' ORDER BY k) FILTER (k <= {k}) AS top FROM r GROUP BY {group}"""
 
 
+def _enriched_sql() -> str:
+    ends = sorted(represent.ENDINGS, key=len, reverse=True)
+    stem = " ".join(f"WHEN x LIKE '%{e}' AND len(x) - {len(e)} >= 3 THEN left(x, len(x) - {len(e)})" for e in ends)
+    return ARTICLES + rf""", a AS (SELECT doc_id, regexp_extract_all(title || ' ' || content, '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)*|[^\s\p{{L}}\p{{N}}]') AS tokens FROM articles),
+b AS (SELECT *, list_filter(list_transform(tokens, lambda x: lower(x)), lambda x: regexp_full_match(x, '\p{{L}}+')) AS norm FROM a),
+c AS (SELECT *, list_filter(norm, lambda x: x NOT IN ('the', 'and', 'of')) AS kept FROM b)
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS tokens, CAST(len(norm) AS INTEGER) AS tokens_normalizados, CAST(len(kept) AS INTEGER) AS tokens_sem_stopwords,
+CAST(len(kept) AS INTEGER) AS lemas, array_to_string(list_transform(kept, lambda x: CASE {stem} ELSE x END), ' ') AS stems FROM c"""
+
+
 ORACLE_SQL = {
     "cluster_category_crosstab": LABELLED + " SELECT category, " + ", ".join(f"count(*) FILTER (label = {k}) AS label_{k}" for k in range(10)) + " FROM e GROUP BY category",
     "cluster_majority": MAJORITY + " SELECT * FROM m",
@@ -297,7 +378,11 @@ SELECT doc_id, category FROM o WHERE category IN (SELECT category FROM o GROUP B
     "stratified_split": """SELECT doc_id, toxic, CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) <= round(count(*) OVER (PARTITION BY toxic) * 0.2)
 THEN 'test' ELSE 'train' END AS part FROM labels""",
     "event_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "relation_triples": PARSED + " SELECT CAST(doc_id AS BIGINT) AS doc_id, * EXCLUDE (doc_id) FROM tr",
+    "relation_triples": PARSED + " SELECT * FROM tr",
     "relation_rollup": PARSED + _rollup_sql("tr", "relation", "subject || ' - ' || object", "(doc_id, sent)", 10),
     "entity_rollup": PARSED + _rollup_sql("e", "label", "entity", "(doc_id, start)", 15),
+    "embedding_gather": "SELECT doc_id, quality, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS length FROM labels JOIN embeddings ON vec_id = doc_id",
+    "cluster_invariants": "SELECT count(*) AS rows, CAST(12 AS BIGINT) AS clusters, count(DISTINCT vec_id) AS ids FROM embeddings",
+    "principal_invariants": "SELECT count(*) AS rows, " + ", ".join(f"CAST(1 AS INTEGER) AS {c}" for c in ("x_centred", "y_centred", "z_centred", "xy_apart", "xz_apart", "yz_apart")) + " FROM embeddings",
+    "enriched_articles": _enriched_sql(),
 }

@@ -13,31 +13,52 @@ from lumenary.plans.corpus import ARTICLES, TERMS
 from lumenary.session import table
 from lumenary.sources.articles import from_documents
 
-QUERY, QUERY_2, STOPWORDS = "the loser and the clown of leaux", "worthless idea of thing", ["the", "and", "of", "la", "le", "de"]
+QUERY, QUERY_2, QUERY_3 = "the loser and the clown of leaux", "worthless idea of thing", "stupid trash in the eau"
+#: What a title or category must hold in the digest, and the length of vectors.
+NAMED, DIMENSIONS = ["src1", "th"], 64
 
 
 def vocabulary_stats(spark: SparkSession, sf: str) -> DataFrame:
     return search.vocabulary(search.counts(from_documents(spark, sf), text.terms("content")))
 
 
-def _postings(spark: SparkSession, sf: str, scheme: str) -> tuple[DataFrame, DataFrame, int]:
+def _space(spark: SparkSession, sf: str) -> search.Space:
+    """The corpus with its dense representations.
+
+    The fixtures have no word model, so the k-th term of the vocabulary has the k-th vector of the
+    embeddings table, over and over; documents have the vector of their own number, as far as the
+    table goes, and a query's encoder gives the first vector.
+    """
+    docs, items = from_documents(spark, sf), table(spark, sf, "embeddings")
+    v = vectors.doubles(F.col("embedding"))
+    space = search.Space(docs)
+    place = F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1  # of VOCABULARY rows at most
+    n = items.agg(F.count("*").alias("__n"))
+    numbered = space.terms.select("term", place.alias("k")).join(n).select("term", (F.col("k") % F.col("__n")).alias("vec_id"))
+    space.term_vectors, space.size = numbered.join(items.select("vec_id", v.alias("v")), "vec_id").select("term", "v"), DIMENSIONS
+    space.embeddings = items.select(F.col("vec_id").alias("doc_id"), v.alias("embedding"))
+    space.encode = lambda query: items.orderBy("vec_id").first()["embedding"]
+    return space
+
+
+def _postings(spark: SparkSession, sf: str, scheme: str) -> DataFrame:
     docs = from_documents(spark, sf)
     tf = search.counts(docs, text.terms("content"))
-    terms, n = search.vocabulary(tf), docs.count()
-    return (search.bow(tf, terms) if scheme == "bow" else search.normalised(search.tfidf(tf, terms, n))), terms, n
+    terms = search.vocabulary(tf)
+    return search.bow(tf, terms) if scheme == "bow" else search.normalised(search.tfidf(tf, terms, docs.count()))
 
 
 def bow_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return _postings(spark, sf, "bow")[0]
+    return _postings(spark, sf, "bow")
 
 
 def tfidf_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return _postings(spark, sf, "tfidf")[0].withColumn("weight", F.round("weight", 6))
+    return _postings(spark, sf, "tfidf").withColumn("weight", F.round("weight", 6))
 
 
-def _search(scheme: str, metric: str, positive: bool = True):
+def _search(method: str, metric: str, positive: bool = True):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return search.search(spark, from_documents(spark, sf), QUERY, scheme, metric, 10, positive)
+        return _space(spark, sf).search(QUERY, method, metric, 10, positive)
 
     return run
 
@@ -52,58 +73,31 @@ def _dense(metric: str):
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    postings, terms, n = _postings(spark, sf, "tfidf")
-    one = search.top(search.lexical_scores(postings, search.query_weights(spark, QUERY, terms, n, "tfidf"), "cosine"), 100, positive=True)
-    docs = table(spark, sf, "documents")
-    two = search.top(docs.select("doc_id", (1.0 / (1 + F.col("n_chars"))).alias("score")), 100, positive=True, digits=9)
-    return search.top(search.fuse([one, two]), 10, digits=9)
+    return _space(spark, sf).hybrid(QUERY)
 
 
 def digest_select(spark: SparkSession, sf: str) -> DataFrame:
-    docs = from_documents(spark, sf)
-    seen = docs.filter("doc_id % 11 = 0").select("url")
-    window = digest.in_window(docs, datetime.date(2024, 1, 25), "weekly", seen)
-    postings, terms, n = _postings(spark, sf, "tfidf")
-    lexical = search.lexical_scores(postings, search.query_weights(spark, QUERY_2, terms, n, "tfidf"), "cosine")
-    semantic = docs.select("doc_id", ((F.col("word_count") % 100) / 100.0).alias("score"))
-    return digest.select(window.select("doc_id", "title", "category", "published_at"), lexical.withColumn("score", F.round("score", 9)), semantic)
+    """A week's unseen documents of named events, by fused ranks of words and word vectors."""
+    space = _space(spark, sf)
+    seen = space.docs.filter("doc_id % 11 = 0").select("url")
+    window = digest.in_window(space.docs, datetime.date(2024, 1, 25), "weekly", seen).select("doc_id", "title", "category", "published_at")
+    scores = [space.scores(QUERY_2, method, only=window).withColumn("score", F.round("score", 9)) for method in ("tfidf", "word2vec")]
+    return digest.select(window, *scores, named=NAMED)
 
 
 def comparison_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Best five by each scheme and metric, side by side by position."""
-    docs = from_documents(spark, sf)
-    tf = search.counts(docs, text.terms("content"))
-    terms, n = search.vocabulary(tf), docs.count()
-    spaces = {"bow": search.bow(tf, terms), "tfidf": search.normalised(search.tfidf(tf, terms, n))}
-    out = None
-    for metric in vectors.METRICS:
-        row = None
-        for scheme, postings in spaces.items():
-            best = search.top(search.lexical_scores(postings, search.query_weights(spark, QUERY, terms, n, scheme), metric), 5)
-            best = best.select("position", F.col("doc_id").alias(scheme), F.col("score").alias(f"{scheme}_score"))
-            row = best if row is None else row.join(best, "position")
-        row = row.withColumn("metric", F.lit(metric))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Best five by each of four methods and three metrics, side by side by position."""
+    return _space(spark, sf).compared(QUERY)
 
 
 def topk_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Summaries of the best 3 and 5 of two queries, from one ranking of five."""
-    docs = from_documents(spark, sf)
-    postings, terms, n = _postings(spark, sf, "tfidf")
-    lists = None
-    for name, query in (("one", QUERY), ("two", QUERY_2)):
-        best = search.top(search.lexical_scores(postings, search.query_weights(spark, query, terms, n, "tfidf"), "cosine"), 5, positive=True)
-        best = best.withColumn("query", F.lit(name))
-        lists = best if lists is None else lists.unionByName(best)
-    rows = lists.join(docs.select("doc_id", "category"), "doc_id").withColumn("k", F.explode(F.array(F.lit(3), F.lit(5)))).filter("position <= k")
-    counts = rows.groupBy("query", "k", "category").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("query", "k").orderBy(F.desc("n"), "category"))
-    main = counts.withColumn("p", place).filter("p = 1").select("query", "k", F.col("category").alias("dominant"), "n")
-    hist = counts.groupBy("query", "k").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "category", F.col("n").cast("string")))), "; ").alias("categories"))
-    whole = rows.groupBy("query", "k").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("size"))
-    joined = whole.join(main, ["query", "k"]).join(hist, ["query", "k"])
-    return joined.select("query", "k", "mean_score", "dominant", F.round(F.col("n") / F.col("size"), 6).alias("share"), "categories")
+    """Summaries of the best 3 and 5 of three queries by two methods, from one ranking of five each."""
+    space, lists = _space(spark, sf), None
+    for name, query in zip(("one", "two", "three"), (QUERY, QUERY_2, QUERY_3)):
+        for method in ("tfidf", "word2vec"):
+            best = space.search(query, method, "cosine", 5, positive=True).withColumn("query", F.lit(f"{name} {method}"))
+            lists = best if lists is None else lists.unionByName(best)
+    return search.summaries(lists, space.docs)
 
 
 def recent_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,9 +122,9 @@ def search_index_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snippet_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Snippets of every URL that the first category has."""
     docs = from_documents(spark, sf)
-    chosen = docs.filter("doc_id % 97 = 0").select("url")
-    return digest.snippets(docs, chosen)
+    return digest.snippets(docs, docs.filter("category = 'src1'").select("url"))
 
 
 QUERIES = {
@@ -143,7 +137,7 @@ QUERIES = {
     "tfidf_search": _search("tfidf", "cosine"), "tfidf_search_euclid": _search("tfidf", "euclid"), "tfidf_search_manhattan": _search("tfidf", "manhattan"),
     "bow_search": _search("bow", "cosine"), "bow_search_euclid": _search("bow", "euclid"), "bow_search_manhattan": _search("bow", "manhattan"),
     "dense_search_cosine": _dense("cosine"), "dense_search_euclid": _dense("euclid"), "dense_search_manhattan": _dense("manhattan"),
-}
+} | {f"{m}_search_{metric}": _search(m, metric, positive=False) for m in ("word2vec", "bert") for metric in vectors.METRICS}
 
 VOCABULARY = TERMS + """, stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term),
 vocab AS (SELECT * FROM stats WHERE df >= 2 ORDER BY cf DESC, term LIMIT 15000),
@@ -151,19 +145,35 @@ size AS (SELECT count(*) AS n FROM articles)"""
 TFIDF = VOCABULARY + """, raw AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS r FROM tf JOIN vocab USING (term), size),
 lengths AS (SELECT doc_id, sqrt(sum(r * r)) AS l FROM raw GROUP BY doc_id),
 tfidf AS (SELECT doc_id, term, r / l AS w FROM raw JOIN lengths USING (doc_id)),
-bow AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS w FROM tf JOIN vocab USING (term))"""
+bow AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS w FROM tf JOIN vocab USING (term)),
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+wv AS (SELECT term, v FROM (SELECT term, (row_number() OVER (ORDER BY cf DESC, term) - 1) % (SELECT count(*) FROM emb) AS vec_id FROM vocab) JOIN emb USING (vec_id))"""
+_MEAN = "[" + ", ".join(f"sum(n * v[{k + 1}]) / sum(n)" for k in range(DIMENSIONS)) + "]"
+_ZERO = "[" + ", ".join(["CAST(0 AS DOUBLE)"] * DIMENSIONS) + "]"
 
 
 def _query_sql(query: str, name: str) -> str:
     return f"""{name}_t AS (SELECT term, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower('{query}'), '\\p{{L}}+')) AS term) GROUP BY term),
 {name}_r AS (SELECT term, c, c * (ln((1 + n) / (1 + df)) + 1) AS r FROM {name}_t JOIN vocab USING (term), size),
 {name}_tfidf AS (SELECT term, r / (SELECT sqrt(sum(r * r)) FROM {name}_r) AS q FROM {name}_r),
-{name}_bow AS (SELECT term, CAST(c AS DOUBLE) AS q FROM {name}_r)"""
+{name}_bow AS (SELECT term, CAST(c AS DOUBLE) AS q FROM {name}_r),
+{name}_v AS (SELECT {_MEAN.replace("n *", "c *").replace("sum(n)", "sum(c)")} AS q FROM {name}_t JOIN wv USING (term)),
+{name}_word2vec AS (SELECT doc_id, coalesce(m, {_ZERO}) AS v, q FROM articles LEFT JOIN (SELECT doc_id, {_MEAN.replace("n *", "tf *").replace("sum(n)", "sum(tf)")} AS m FROM tf JOIN wv USING (term) GROUP BY doc_id) USING (doc_id), {name}_v),
+{name}_bert AS (SELECT doc_id, v, (SELECT v FROM emb ORDER BY vec_id LIMIT 1) AS q FROM articles JOIN emb ON vec_id = doc_id)"""
+
+
+_DENSE = {
+    "cosine": "coalesce(list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)), 0), 0)",
+    "euclid": "1 / (1 + list_distance(v, q))",
+    "manhattan": "1 / (1 + list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - q[i]))))",
+}
 
 
 def _score_sql(scheme: str, metric: str, name: str = "q") -> str:
-    """Scores by brute force over the document's and the query's terms."""
+    """Scores by brute force over the document's and the query's terms, or their vectors."""
     q = f"{name}_{scheme}"
+    if scheme in ("word2vec", "bert"):
+        return f"SELECT doc_id, {_DENSE[metric]} AS score FROM {q}"
     each = {
         "cosine": f"sum(w * coalesce(q, 0)) / (sqrt(sum(w * w)) * (SELECT sqrt(sum(q * q)) FROM {q}))",
         "euclid": f"1 / (1 + sqrt(greatest(0, sum((w - coalesce(q, 0)) ** 2) + (SELECT sum(q * q) FROM {q}) - coalesce(sum(q * q), 0))))",
@@ -177,17 +187,12 @@ def _top_sql(scores: str, k: int, positive: bool = True, digits: int = 6) -> str
 (SELECT doc_id, round(score, {digits}) AS score FROM ({scores}) {"WHERE score > 0" if positive else ""}) ORDER BY score DESC, doc_id LIMIT {k}"""
 
 
-def _search_sql(scheme: str, metric: str) -> str:
-    return ARTICLES + f", {TFIDF}, {_query_sql(QUERY, 'q')} {_top_sql(_score_sql(scheme, metric), 10)}"
+def _search_sql(scheme: str, metric: str, positive: bool = True) -> str:
+    return ARTICLES + f", {TFIDF}, {_query_sql(QUERY, 'q')} {_top_sql(_score_sql(scheme, metric), 10, positive)}"
 
 
 def _dense_sql(metric: str) -> str:
-    each = {
-        "cosine": "coalesce(list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)), 0), 0)",
-        "euclid": "1 / (1 + list_distance(v, q))",
-        "manhattan": "1 / (1 + list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - q[i]))))",
-    }
-    scores = f"""SELECT vec_id AS doc_id, {each[metric]} AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    scores = f"""SELECT vec_id AS doc_id, {_DENSE[metric]} AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"""
     return _top_sql(scores, 10, positive=False)
 
@@ -195,11 +200,20 @@ def _dense_sql(metric: str) -> str:
 def _matrix_sql() -> str:
     parts = []
     for metric in vectors.METRICS:
-        a, b = (f"({_top_sql(_score_sql(s, metric), 5, positive=False)})" for s in ("bow", "tfidf"))
-        parts.append(f"SELECT a.position, a.doc_id AS bow, a.score AS bow_score, b.doc_id AS tfidf, b.score AS tfidf_score, '{metric}' AS metric FROM {a} a JOIN {b} b USING (position)")
+        tops = {m: _top_sql(_score_sql(m, metric), 5, positive=False) for m in search.METHODS}
+        named = ", ".join(f"{m}.doc_id AS {m}, {m}.score AS {m}_score" for m in tops)
+        joined = " FULL JOIN ".join(f"({sql}) {m}" + (" USING (position)" if k else "") for k, (m, sql) in enumerate(tops.items()))
+        parts.append(f"SELECT position, {named}, '{metric}' AS metric FROM {joined}")
     return ARTICLES + f", {TFIDF}, {_query_sql(QUERY, 'q')} " + " UNION ALL ".join(parts)
 
 
+def _lists_sql() -> str:
+    parts = []
+    for name, q in (("one", "q"), ("two", "p"), ("three", "o")):
+        parts += [f"SELECT '{name} {m}' AS query, * FROM ({_top_sql(_score_sql(m, 'cosine', q), 5)})" for m in ("tfidf", "word2vec")]
+    return " UNION ALL ".join(parts)
+
+
 ORACLE_SQL = {
     "vocabulary_stats": ARTICLES + f", {VOCABULARY} SELECT * FROM vocab",
     "bow_postings": ARTICLES + f", {TFIDF} SELECT doc_id, term, w AS weight FROM bow",
@@ -214,28 +228,31 @@ ORACLE_SQL = {
     "dense_search_euclid": _dense_sql("euclid"),
     "dense_search_manhattan": _dense_sql("manhattan"),
     "hybrid_rrf": ARTICLES + f""", {TFIDF}, {_query_sql(QUERY, 'q')},
-one AS ({_top_sql(_score_sql("tfidf", "cosine"), 100)}),
-two AS ({_top_sql("SELECT doc_id, 1.0 / (1 + n_chars) AS score FROM documents", 100, digits=9)}),
+one AS ({_top_sql(_score_sql("tfidf", "cosine"), 100, digits=9)}),
+two AS ({_top_sql(_score_sql("word2vec", "cosine"), 100, digits=9)}),
 f AS (SELECT doc_id, sum(1.0 / (60 + position)) AS score FROM (SELECT position, doc_id FROM one UNION ALL SELECT position, doc_id FROM two) GROUP BY doc_id)
 {_top_sql("SELECT * FROM f", 10, positive=False, digits=9)}""",
     "digest_select": ARTICLES + f""", {TFIDF}, {_query_sql(QUERY_2, 'q')},
 l AS (SELECT doc_id, round(score, 9) AS l FROM ({_score_sql("tfidf", "cosine")})),
-c AS (SELECT doc_id, published_at, coalesce(l, 0) AS l, (word_count % 100) / 100.0 AS s FROM articles LEFT JOIN l USING (doc_id)
-  WHERE published_at BETWEEN '2024-01-19' AND '2024-01-25' AND doc_id % 11 <> 0 AND (coalesce(l, 0) >= 0.04 OR (word_count % 100) / 100.0 >= 0.42)),
+s AS (SELECT doc_id, round(score, 9) AS s FROM ({_score_sql("word2vec", "cosine")})),
+c AS (SELECT doc_id, published_at, coalesce(l, 0) AS l, coalesce(s, 0) AS s FROM articles LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+  WHERE published_at BETWEEN '2024-01-19' AND '2024-01-25' AND doc_id % 11 <> 0 AND (coalesce(l, 0) >= 0.04 OR coalesce(s, 0) >= 0.42)
+  AND (contains(lower(title || ' ' || category), '{NAMED[0]}') OR contains(lower(title || ' ' || category), '{NAMED[1]}'))),
 a AS (SELECT doc_id, row_number() OVER (ORDER BY l DESC, doc_id) AS p FROM c WHERE l > 0),
 b AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS p FROM c WHERE s > 0),
 f AS (SELECT doc_id, round(sum(1.0 / (60 + p)), 9) AS score FROM (SELECT * FROM a WHERE p <= 100 UNION ALL SELECT * FROM b WHERE p <= 100) GROUP BY doc_id)
 SELECT CAST(row_number() OVER (ORDER BY score DESC, published_at DESC, doc_id) AS INTEGER) AS position, doc_id, score FROM f JOIN c USING (doc_id)
 ORDER BY score DESC, published_at DESC, doc_id LIMIT 8""",
     "comparison_matrix": _matrix_sql(),
-    "topk_evaluation": ARTICLES + f""", {TFIDF}, {_query_sql(QUERY, 'q')}, {_query_sql(QUERY_2, 'p')},
-b AS (SELECT 'one' AS query, * FROM ({_top_sql(_score_sql("tfidf", "cosine"), 5)}) UNION ALL SELECT 'two', * FROM ({_top_sql(_score_sql("tfidf", "cosine", "p"), 5)})),
-r AS (SELECT query, k, score, category FROM b JOIN articles USING (doc_id), (SELECT unnest([3, 5]) AS k) WHERE position <= k),
+    "topk_evaluation": ARTICLES + f""", {TFIDF}, {_query_sql(QUERY, 'q')}, {_query_sql(QUERY_2, 'p')}, {_query_sql(QUERY_3, 'o')},
+b AS ({_lists_sql()}),
+r AS (SELECT query, k, score, category, title, position FROM b JOIN articles USING (doc_id), (SELECT unnest([3, 5]) AS k) WHERE position <= k),
 c AS (SELECT query, k, category, count(*) AS n FROM r GROUP BY ALL),
 m AS (SELECT *, row_number() OVER (PARTITION BY query, k ORDER BY n DESC, category) AS p FROM c),
 h AS (SELECT query, k, string_agg(category || ': ' || n, '; ' ORDER BY category || ': ' || n) AS categories FROM c GROUP BY ALL),
-w AS (SELECT query, k, round(avg(score), 6) AS mean_score, count(*) AS size FROM r GROUP BY ALL)
-SELECT w.query, w.k, mean_score, m.category AS dominant, round(n / size, 6) AS share, categories FROM w JOIN m ON w.query = m.query AND w.k = m.k AND m.p = 1 JOIN h ON w.query = h.query AND w.k = h.k""",
+w AS (SELECT query, k, round(avg(score), 6) AS mean_score, count(*) AS size, string_agg(title, ' | ' ORDER BY position) AS titles FROM r GROUP BY ALL)
+SELECT w.query, w.k, mean_score, m.category AS dominant, round(n / size, 6) AS share, categories, titles
+FROM w JOIN m ON w.query = m.query AND w.k = m.k AND m.p = 1 JOIN h ON w.query = h.query AND w.k = h.k""",
     "recent_list": ARTICLES + "SELECT doc_id, published_at, category FROM articles WHERE category = 'src5' ORDER BY published_at DESC, doc_id DESC LIMIT 20",
     "keyword_alerts_new": ARTICLES + """, m AS (SELECT term, doc_id, published_at FROM articles, (SELECT unnest(['the', 'SRC1', 'eau', 'nothing-like-it']) AS term)
   WHERE contains(lower(title || ' ' || category), lower(term)) AND NOT (term = 'the' AND doc_id % 5 = 0)),
@@ -244,5 +261,5 @@ SELECT term, count(*) AS new, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k
     "search_index_export": ARTICLES.replace("FROM documents)", "FROM documents WHERE source NOT IN ('src3', 'src7'))") + f""", {TFIDF},
 i AS (SELECT term, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM vocab, size)
 SELECT term, any_value(idf) AS idf, count(*) AS documents, CAST(sum(CAST(round(w * 1000000) AS BIGINT)) AS BIGINT) AS millionths, min(doc_id) AS first_doc FROM tfidf JOIN i USING (term) GROUP BY term""",
-    "snippet_lookup": ARTICLES + r"""SELECT url, coalesce(nullif(substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 1800), ''), title) AS snippet FROM articles WHERE doc_id % 97 = 0""",
-}
+    "snippet_lookup": ARTICLES + r"""SELECT url, coalesce(nullif(substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 1800), ''), title) AS snippet FROM articles WHERE category = 'src1'""",
+} | {f"{m}_search_{metric}": _search_sql(m, metric, positive=False) for m in ("word2vec", "bert") for metric in vectors.METRICS}

@@ -32,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its files are split into fewer tasks than there are.
+
+    For tables whose rows cost much more to work on than to move. A table of more splits than
+    cores, so any large one, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < splits < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, unless their path has it already.
 

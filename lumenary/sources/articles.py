@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from lumenary.functions import text, urls
-from lumenary.session import table
+from lumenary.session import spread, table
+from lumenary.sources.html import Page
 
 ARTICLES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("title", "published_at", "category", "content", "url", "collected_at", "content_hash")]
     + [T.StructField("word_count", T.IntegerType())]
 )
+#: Labels that a site may have.
+MOST_CATEGORIES = 10_000
 REQUIRED = ("title", "published_at", "category", "content", "url")
 
 
@@ -41,39 +47,44 @@ def completed(raw: DataFrame) -> DataFrame:
 
 
 POST = "struct<title:struct<rendered:string>,content:struct<rendered:string>,date:string,link:string,categories:array<int>>"
+_PARTS = "title string, published_at string, content string, link string, categories array<int>"
 
 
 def from_posts(posts: DataFrame, categories: DataFrame, column: str = "post") -> DataFrame:
     """REST posts as articles; ``categories`` (``id, name``) is a table of labels.
 
-    Tags are dropped, paragraphs end lines, entities of markup are decoded, labels are joined by
-    a comma in the order of the post ("Uncategorized" where it has none).
+    Text comes from the markup's paragraphs, one a line, or from all of it where it has none;
+    scripts, styles, navigation, forms and frames are left out, and every entity is decoded. Labels
+    are joined by a comma in the order of the post ("Uncategorized" where it has none).
     """
     post = F.from_json(F.col(column), POST) if dict(posts.dtypes)[column] == "string" else F.col(column)
-    rows = posts.select(F.monotonically_increasing_id().alias("post_id"), post.alias("p"))
-    named = (
-        rows.select("post_id", F.posexplode("p.categories").alias("k", "id")).join(categories, "id")
-        .groupBy("post_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("category"))
-    )
-
-    def unescaped(c):
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#8217;", "’"), ("&#8211;", "–"), ("&#039;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            c = F.replace(c, F.lit(name), F.lit(char))
-        return c
-
-    plain = lambda c: text.clean(unescaped(F.regexp_replace(c, "<[^>]*>", "")))
-    lines = F.filter(F.transform(F.split(F.col("p.content.rendered"), "(?i)</p>"), plain), lambda x: x != "")
-    raw = rows.join(named, "post_id", "left").select(
-        plain(F.col("p.title.rendered")).alias("title"), F.col("p.date").alias("published_at"),
-        F.coalesce("category", F.lit("Uncategorized")).alias("category"), F.array_join(lines, "\n").alias("content"),
-        urls.canonical(F.col("p.link")).alias("url"),
+    rows = posts.select(post.alias("p")).select("p.title.rendered", "p.date", "p.content.rendered", "p.link", "p.categories")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            titles = [" ".join("".join(Page(x or "").words).split()) for x in batch.column(0).to_pylist()]
+            bodies = [Page(x or "").article()["content"] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(titles, pa.string()), batch.column(1), pa.array(bodies, pa.string()), *batch.columns[3:]],
+                names=["title", "published_at", "content", "link", "categories"],
+            )
+
+    read = rows.toDF("a", "b", "c", "d", "e").mapInArrow(run, _PARTS)
+    # labels by one small map: a site's categories are few, and are counted before they are held
+    if categories.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    known = categories.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("int"), "name"))).alias("__names"))
+    names = F.filter(F.transform(F.coalesce("categories", F.array().cast("array<int>")), lambda k: F.col("__names")[k]), lambda x: x.isNotNull())
+    raw = read.join(F.broadcast(known)).select(
+        "title", "published_at", F.coalesce(F.nullif(F.array_join(names, ", "), F.lit("")), F.lit("Uncategorized")).alias("category"),
+        "content", urls.canonical(F.col("link")).alias("url"),
     )
     return completed(raw)
 
 
 def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents fixture as articles: ``doc_id``, a derived day and URL, and the source as category."""
-    raw = table(spark, sf_dir, "documents").select(
+    raw = spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.substring("text", 1, 80).alias("title"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd").alias("published_at"),

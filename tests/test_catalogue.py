@@ -7,7 +7,7 @@ import pytest
 from lumenary.plans import catalogue
 from lumenary.session import TABLES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("FIXTURES", "/root/testdata/sf0.001")
 
 
 def rows(columns, found):

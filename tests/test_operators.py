@@ -2,11 +2,11 @@ import datetime
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import text
 from lumenary.operators import classify, clean, cluster, digest, extract, represent, search, sentiment
-from lumenary.plans import evaluation
 from lumenary.sources import articles, html
 from lumenary.streaming.upsert import state, stream_upsert
 
@@ -145,8 +145,22 @@ def test_training_set_drops_small_categories(spark):
     assert sorted(r["id"] for r in got) == [0, 1, 2]
 
 
+#: A parsed passage: two verbs joined, one with a contracted preposition, a pronoun, an entity of two tokens.
+TOKENS = [
+    (1, 0, 0, 1, "det", "DET", "o", "O"), (1, 0, 1, 2, "nsubj", "NOUN", "prefeito", "prefeito"), (1, 0, 2, 2, "ROOT", "VERB", "visitar", "visitou"),
+    (1, 0, 3, 4, "det", "DET", "a", "a"), (1, 0, 4, 2, "obj", "NOUN", "escola", "escola"), (1, 0, 5, 6, "cc", "CCONJ", "e", "e"),
+    (1, 0, 6, 2, "conj", "VERB", "falar", "falou"), (1, 0, 7, 8, "case", "ADP", "em", "na"), (1, 0, 8, 6, "obl", "PROPN", "Vila", "Vila"),
+    (1, 0, 9, 8, "flat:name", "PROPN", "Nova", "Nova"), (1, 0, 10, 2, "punct", "PUNCT", ".", "."),
+    (1, 1, 11, 12, "nsubj", "PRON", "quem", "Quem"), (1, 1, 12, 12, "ROOT", "VERB", "ver", "viu"), (1, 1, 13, 12, "obj", "NOUN", "chuva", "chuva"),
+    (2, 0, 0, 2, "nsubj", "PROPN", "Ana", "Ana"), (2, 0, 1, 2, "nsubj", "PROPN", "Rui", "Rui"), (2, 0, 2, 2, "ROOT", "VERB", "comprar", "compram"),
+    (2, 0, 3, 2, "obj", "NOUN", "casa", "casas"), (2, 0, 4, 5, "case", "ADP", "por", "pelo"), (2, 0, 5, 2, "obl", "NOUN", "rio", "rio"),
+]
+ENTITIES = [(1, 8, 10, "LOC", "Vila Nova"), (2, 0, 1, "PER", "Ana"), (2, 1, 2, "PER", "Rui"), (1, 4, 5, "ORG", "escola"), (3, 0, 1, "PER", "Ana")]
+
+
 def test_triples(spark):
-    got = {(r["subject"], r["relation"], r["object"]) for r in extract.triples(*evaluation._parsed(spark)).collect()}
+    tables = spark.createDataFrame(TOKENS, extract.TOKENS), spark.createDataFrame(ENTITIES, extract.ENTITIES)
+    got = {(r["subject"], r["relation"], r["object"]) for r in extract.triples(*tables).collect()}
     assert ("prefeito", "visitar", "escola") in got and ("prefeito", "falar_em", "Vila Nova") in got
     assert {("Ana", "comprar", "casas"), ("Rui", "comprar", "casas")} <= got
     assert not any(s == "Quem" for s, _, _ in got)
@@ -209,3 +223,66 @@ def test_alerts(spark):
     rules = spark.createDataFrame([("CHUVA",)], "term string")
     seen = spark.createDataFrame([("CHUVA", "u7")], "term string, url string")
     assert tuple(digest.alerts(docs, rules, seen, 2).first()) == ("CHUVA", 3, "5,3")
+
+
+def test_searches_refuse_what_they_cannot_do(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "a c b")], "doc_id long, content string")
+    space = search.Space(docs)
+    for query, options, error in ((" ", {}, ValueError), ("a", {"k": 0}, ValueError), ("a", {"method": "x"}, ValueError), ("a", {"metric": "x"}, ValueError),
+                                  ("a", {"method": "word2vec"}, FileNotFoundError), ("a", {"method": "bert"}, FileNotFoundError)):
+        with pytest.raises(error):
+            space.search(query, **options)
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    dense = search.Space(docs, embeddings=items, encode=lambda query: [0.0, 2.0])
+    assert [(r["doc_id"], r["score"]) for r in dense.search("b", "bert").orderBy("position").collect()] == [(2, 1.0), (1, 0.0)]
+    only = spark.createDataFrame([(1,)], "doc_id long")
+    assert [r["doc_id"] for r in space.scores("a", only=only).collect()] == [1]
+
+
+def test_stratified_is_exact_in_every_category(spark):
+    rows = [(k, "ab"[k % 7 == 0]) for k in range(3000)] + [(5000 + k, None) for k in range(10)]
+    got = classify.stratified(spark.createDataFrame(rows, "id long, c string"), "c", "id", 0.2).groupBy("c", "part").count().collect()
+    assert {(r["c"], r["part"]): r["count"] for r in got} == {("a", "test"): 514, ("a", "train"): 2057, ("b", "test"): 86, ("b", "train"): 343, (None, "test"): 2, (None, "train"): 8}
+
+
+def test_classifiers_of_several_representations(spark):
+    rows = [(k, "xy"[k % 2], " ".join([f"{'uv'[k % 2]}{j}" for j in range(5)]), [float(k % 2), 1.0, float(k % 3)]) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, c string, t string, v array<double>")
+    spaces = {"words": (df.select("doc_id", "c", F.col("t").alias("value")), "lexical"), "vectors": (df.select("doc_id", "c", F.col("v").alias("value")), "dense"), "none": (None, "dense")}
+    got = {r["representation"]: r for r in classify.compare_representations(spaces, "c").collect()}
+    assert got["words"]["accuracy"] == got["vectors"]["weighted_f1"] == 1.0 and got["words"]["test_rows"] == 16
+    assert got["none"]["accuracy"] is None and got["none"]["note"]
+
+
+def test_drawings_are_checked(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.1, (8, 4)) for c in ((4, 0, 0, 1), (0, 4, 0, 1), (0, 0, 4, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in r], "abc"[i // 8]) for i, r in enumerate(x)], "doc_id long, v array<double>, c string")
+    drawn = cluster.drawing(df, "v", "c", 3, seeds=3)
+    assert drawn.points.count() == 24 and drawn.legend.filter("purity = 1").count() == 3
+    compared = cluster.compare_representations({"one": (df, "v", 4)}, "c", (3,), 3)
+    cluster.check_drawing(drawn, compared, "one")
+    with pytest.raises(ValueError):
+        cluster.check_drawing(drawn, compared.withColumn("purity", F.lit(0.5)), "one")
+    for bad in (df.withColumn("v", F.slice("v", 1, 2)), df.limit(2), df.withColumn("v", F.when(F.col("doc_id") == 1, F.array(F.lit(float("nan")))).otherwise(F.col("v")))):
+        with pytest.raises(ValueError):
+            cluster.check_matrix(bad, "v", 3)
+
+
+def test_models_are_stored(spark, tmp_path):
+    from lumenary.operators import report
+
+    rows = spark.createDataFrame([(k, "xy"[k % 2], f"{'uv'[k % 2]}word some {k % 5}thing") for k in range(40)], "doc_id long, c string, t string")
+    model = classify.lexical_model("t", "c", 40).fit(rows)
+    report.save_model(model, str(tmp_path / "m"))
+    again = report.load_model(str(tmp_path / "m")).transform(rows)
+    assert [r["prediction"] for r in again.orderBy("doc_id").collect()] == [r["prediction"] for r in model.transform(rows).orderBy("doc_id").collect()]
+
+
+def test_masked_means_and_blocks(spark):
+    df = spark.sql("SELECT array(array(1d, 2d), array(3d, 4d), array(9d, 9d)) AS t, array(1, 1, 0) AS m")
+    assert df.select(represent.masked_mean(F.col("t"), F.col("m"), 2)).first()[0] == [2.0, 3.0]
+    assert df.select(represent.masked_mean(F.col("t"), F.array(*[F.lit(0)] * 3), 2)).first()[0] == [0.0, 0.0]
+    docs = spark.createDataFrame([(1, ["a"] * 5), (2, [])], "doc_id long, tokens array<string>")
+    make = lambda: lambda texts: [[float(len(t.split())), 1.0] for t in texts]
+    assert {r["doc_id"]: r["embedding"] for r in represent.encoded_blocks(docs, make, "tokens", 2, block=4).collect()} == {1: [2.5, 1.0], 2: [0.0, 1.0]}
