@@ -15,8 +15,16 @@ METHODS = ("bow", "tfidf", "word2vec", "bert")
 
 
 def counts(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, term, tf``."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """``doc_id, term, tf`` of every row.
+
+    A row's sorted tokens stand in runs of one term, so they are counted where they are and
+    nothing is exchanged.
+    """
+    held = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokens).alias("__t"))
+    first = F.transform("__t", lambda term, at: F.when((at == 0) | (F.get("__t", at - 1) != term), at))
+    held = held.withColumn("__f", F.filter(first, lambda at: at.isNotNull()))
+    end = lambda k: F.coalesce(F.get("__f", k + 1), F.size("__t"))
+    return held.select("doc_id", F.inline(F.transform("__f", lambda at, k: F.struct(F.get("__t", at).alias("term"), (end(k) - at).cast("long").alias("tf")))))
 
 
 def vocabulary(tf: DataFrame, min_df: int = MIN_DF, size: int = VOCABULARY) -> DataFrame:
