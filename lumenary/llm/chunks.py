@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +57,12 @@ def chunked(
 ) -> DataFrame:
     """The chunk table of ``docs``; a null text is empty, a null id the least 64-bit number.
 
-    ``rest`` holds, with ``whole``, the documents' other columns and whether the text is null.
+    ``rest`` holds, with ``whole``, whether the text is null and the documents' other columns, all
+    by their place, so their names do not matter. An empty table has no chunks. The table stays
+    until the ``temporary_chunks`` around the call ends, or for good where there is none.
     """
-    names = [c for c in docs.columns if c != text_col] if whole else []
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c != text_col] if whole else []
+    others = [F.col(c).alias(f"column{k}") for k, c in enumerate(quoted)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, made = [], [], 0, 0
@@ -75,8 +80,9 @@ def chunked(
             )
 
         least = np.iinfo(np.int64).min
-        for part, some in text_batches(batches, "__text", size):
-            own = pa.Table.from_batches([part.select(part.schema.names[2:])]).append_column("__known", part.column(1).is_valid()) if whole else None
+        for part, some in text_batches(batches, 1, size):
+            kept = [part.column(1).is_valid(), *part.columns[2:]]
+            own = pa.table(kept, names=list(map(str, range(len(kept))))) if whole else None
             for k, (doc, text) in enumerate(zip(part.column(0).to_pylist(), some)):
                 data = text.encode("utf-8", "surrogatepass")
                 if texts and held + len(data) > size:
@@ -92,24 +98,36 @@ def chunked(
             yield out()
 
     spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *names).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *others).mapInArrow(run, SCHEMA)
     n = partitions(spark)
     (
         rows.repartition(n, "chunk").write.format("parquet").option("compression", "none")
         .bucketBy(n, "chunk").saveAsTable(name)
     )
-    _made.append(name)
+    if (made := _made.get()) is not None:
+        made.append(name)
     return spark.table(name)
 
 
-#: Chunk tables of this process that are still there.
-_made: list[str] = []
+#: Chunk tables made inside the innermost ``temporary_chunks``.
+_made: ContextVar[list[str] | None] = ContextVar("chunks", default=None)
+
+
+@contextmanager
+def temporary_chunks(spark: SparkSession) -> Iterator[None]:
+    """Chunk tables that are made inside are dropped at the end; results must be written by then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for name in made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_chunks(spark: SparkSession) -> None:
-    """Drop the chunk tables made so far; to be called when results read from them are written."""
-    while _made:
-        spark.sql(f"DROP TABLE IF EXISTS {_made.pop()}")
+    """Kept for callers of before: ``temporary_chunks`` drops."""
 
 
 class Chunk:
@@ -132,6 +150,6 @@ class Chunk:
 def whole_rows(table: pa.Table, schema: pa.Schema, text_col: str, keep: np.ndarray, texts: list[str]) -> pa.Table:
     """Rows ``keep`` (numbers) of a whole chunk as they were, with ``texts`` as their texts."""
     rest = unpack_rows(table.column("rest")[0].as_py()).take(pa.array(keep, pa.int64()))
-    known = rest.column("__known").to_pylist()
-    own = pa.array([text if there else None for text, there in zip(texts, known)], schema.field(text_col).type)
-    return pa.table([own if f.name == text_col else rest.column(f.name).cast(f.type) for f in schema], schema=schema)
+    own = pa.array([text if there else None for text, there in zip(texts, rest.column(0).to_pylist())], schema.field(text_col).type)
+    others = iter(rest.columns[1:])
+    return pa.table([own if f.name == text_col else next(others).cast(f.type) for f in schema], schema=schema)

@@ -33,11 +33,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (tests) a local temporary folder is taken.
+    Where none is set a local session (tests) takes a temporary folder; on a cluster, whose
+    machines would not see it, that is an error.
     """
     context = spark.sparkContext
     held = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not held:
+        if not context.master.startswith("local") or "cluster" in context.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = tempfile.mkdtemp(prefix="checkpoints-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(held)
@@ -50,6 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -117,15 +126,15 @@ def tidy_pair(function: Callable) -> Callable:
 
 
 def text_batches(
-    batches: Iterable[pa.RecordBatch], text: str, bytes_at_once: int = 8 << 20, keep: bool = False
+    batches: Iterable[pa.RecordBatch], text: str | int, bytes_at_once: int = 8 << 20, keep: bool = False
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), each of about ``bytes_at_once``.
 
-    ``keep``: the caller uses what workers keep between tasks.
+    ``text``: the column's name or, where others may have that name, its place. ``keep``: the caller uses what workers keep between tasks.
     """
     release(keep)
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text)
         step = max(1, int(batch.num_rows * bytes_at_once / max(1, column.nbytes)))
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)

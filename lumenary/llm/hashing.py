@@ -80,6 +80,12 @@ def strips(ends: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of a rising array, and where each one's run begins, with the end."""
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+    return values[new], np.append(new, len(values))
+
+
 def words(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of runs of bytes that ``inside`` marks, and the number of each one's text.
 
@@ -93,3 +99,27 @@ def words(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.nd
     starts = np.flatnonzero(marked & ~before)
     stops = np.flatnonzero(marked & ~after) + 1
     return starts, stops, np.searchsorted(ends, starts, side="right")
+
+
+#: Words of one to eight bytes: which bits of a 64-bit number they fill.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Of short runs of bytes: words of up to 24 bytes from all their bytes at once, others by xxh3.
+
+    Unlike a rolling hash, whose modulus is a power of two, neither has long strings that are
+    known to collide.
+    """
+    import xxhash
+
+    padded = np.concatenate((data, np.zeros(32, np.uint8)))
+    bits = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = stops - starts
+    out = size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+    for k in range(3):  # starts + 16 may be beyond the data for short words; their mask is empty
+        filled = _FILLED[np.clip(size - 8 * k, 0, 8)]
+        out = mix((out ^ (bits[starts + 8 * k] & filled)) * _U(_MULTIPLIER))
+    for k in np.flatnonzero(size > 24).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : stops[k]].tobytes(), 0x51ED2701)
+    return out

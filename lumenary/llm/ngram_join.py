@@ -14,7 +14,8 @@ union. What comes out is connected components, so no pair inside a known one is
    are alike only half as much give looser groups.
 3. Groups: a large component, or components of one looser group together, in blocks of bounded
    size. The token-group matrix has a row for each first n-gram and a column for each group, its
-   union of them. Groups that share such a row are candidates. For each query document of one
+   union of them. Groups that share such a row are candidates; inside a group of several
+   components, so are blocks that share one. For each query document of one
    block the overlap with the other block's union of all n-grams bounds every possible overlap;
    only where that reaches what the query needs is the block opened, and its documents compared
    exactly. Blocks of one component are never compared.
@@ -33,13 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm import hashing
-from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers, whole_rows
+from lumenary.llm.chunks import Chunk, chunked, pack_numbers, temporary_chunks, unpack_numbers, whole_rows
 from lumenary.llm.common import checkpointed, partitions, release, tidy, tidy_pair
 from lumenary.llm.components import components
 from lumenary.llm.hashing import mix
 
 #: Hash functions of the first comparison, and the likeness in percent that makes a looser group.
 STARS, LOOSE = 2, 50
+#: Bytes of text whose n-grams are counted in one bucket, about.
+BUCKET_BYTES = 12 << 20
+#: Parts that nodes of one least hash are dealt to.
+SALTS = 16
 #: What chunks have for a null id.
 NO_ID = -(1 << 63)
 #: Documents of a block, and of a component that is a group of its own.
@@ -64,7 +69,7 @@ def shingles(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np
     """
     data = _LOWER[data]
     starts, stops, text = hashing.words(data, ends, _INSIDE)
-    own = hashing.Rolling(data).spans(starts, stops)
+    own = hashing.word_hashes(data, starts, stops)
     places = _places(n)
     count = max(0, len(own) - n + 1)
     grams = np.zeros(count, np.uint64)
@@ -138,12 +143,12 @@ class Asked:
         self.group = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         self.name, self.count = name[heads], np.diff(np.concatenate((heads, [len(name)])))
-        self.cuts = np.searchsorted(bucket[heads], np.arange(buckets + 1))
+        self.buckets, self.cuts = hashing.runs(bucket[heads])
 
     def classes(self, answers: dict[int, bytes]) -> np.ndarray:
         told = np.zeros(len(self.name), np.uint8)
-        for bucket, data in answers.items():
-            told[self.cuts[bucket] : self.cuts[bucket + 1]] = np.frombuffer(zstandard.decompress(data), np.uint8)
+        for bucket, a, b in zip(self.buckets.tolist(), self.cuts, self.cuts[1:]):
+            told[a:b] = np.frombuffer(zstandard.decompress(answers[bucket]), np.uint8)
         out = np.zeros(len(self.order), np.uint8)
         out[self.order] = told[self.group]
         return out
@@ -178,18 +183,18 @@ def _numbers(data: bytes) -> np.ndarray:
 def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows of every document (``kind`` 0) and of every set that may have a partner (1)."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = partitions(chunks.sparkSession)
+    buckets = max(partitions(chunks.sparkSession), total // BUCKET_BYTES)
     bits = min(56, max(24, (total // 5).bit_length() + 10))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, *packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 asked = Asked(Sets(Chunk(*packed), n).grams, buckets, bits)
-                own = [(b, x, y) for b, (x, y) in enumerate(zip(asked.cuts, asked.cuts[1:])) if y > x]
+                own = list(zip(asked.buckets.tolist(), asked.cuts, asked.cuts[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(own), pa.int64()),
-                        pa.array([b for b, _, _ in own], pa.int32()),
+                        pa.array([b for b, _, _ in own], pa.int64()),
                         pa.array([pack_numbers(asked.name[x:y]) for _, x, y in own], pa.binary()),
                         pa.array([zstandard.compress(asked.count[x:y].astype("<u4").tobytes(), 1) for _, x, y in own], pa.binary()),
                     ],
@@ -197,8 +202,8 @@ def _sets(chunks: DataFrame, n: int, percent: int) -> DataFrame:
                 )
         release()
 
-    asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket int, names binary, counts binary")
-    classes = asked.groupBy("bucket").applyInArrow(tidy(_frequency), "chunk long, bucket int, classes binary")
+    asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket long, names binary, counts binary")
+    classes = asked.groupBy("bucket").applyInArrow(tidy(_frequency), "chunk long, bucket long, classes binary")
     kinds = {
         "kind": pa.int32(), "chunk": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "digest": pa.string(), "node": pa.int64(), "grams": pa.binary(), "first": pa.binary(), "mins": pa.list_(pa.int64()),
     }
@@ -327,24 +332,32 @@ def _across(nodes: DataFrame, known: DataFrame, loose: DataFrame, percent: int)
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [_numbers(x) for x in batch.column(1).to_pylist()]
-            row = np.repeat(np.arange(len(first)), [len(x) for x in first])
+            first = [_numbers(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]))
             flat = np.concatenate([np.zeros(0, np.uint64), *first]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(flat)], names=["group", "token"])
+            columns = [column.take(row) for column in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flat)], names=[*batch.schema.names[:-1], "token"])
 
     matrix = member.select("group", "first").mapInArrow(tokens, "group string, token long").distinct()
     # a row of the matrix at a time: the groups that hold an n-gram, where there are several
     held = matrix.groupBy("token").agg(F.array_sort(F.collect_list("group")).alias("groups")).filter(F.size("groups") > 1)
     left = held.select("groups", F.explode("groups").alias("ga"))
     pairs = left.select("ga", F.explode(F.filter("groups", lambda g: g > F.col("ga"))).alias("gb")).distinct()
-    mixed = sizes.filter("lo < hi").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
     counts = [sizes.select(F.col("group").alias(f"g{x}"), F.col("blocks").alias(f"n{x}")) for x in "ab"]
-    whole = pairs.union(mixed).join(counts[0], "ga").join(counts[1], "gb")
-    opened = (
-        whole.withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-        .withColumn("bb", F.explode(F.sequence(F.when(F.col("ga") == F.col("gb"), F.col("ba")).otherwise(F.lit(0)), F.col("nb") - 1)))
-        .select("ga", "ba", "gb", "bb", F.concat_ws(":", "ga", "ba", "gb", "bb").alias("pair"))
+    across = (
+        pairs.join(counts[0], "ga").join(counts[1], "gb")
+        .withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+        .withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .select("ga", "ba", "gb", "bb")
     )
+    # inside a group of several components: the same matrix with a column for each of its blocks
+    mixed = member.join(sizes.filter("lo < hi").select("group"), "group", "left_semi").select("group", "block", "first")
+    inner = mixed.mapInArrow(tokens, "group string, block int, token long").distinct()
+    shared = inner.groupBy("group", "token").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    left = shared.select("group", "blocks", F.explode("blocks").alias("ba"))
+    inside = left.select("group", "ba", F.explode(F.filter("blocks", lambda b: b >= F.col("ba"))).alias("bb")).distinct()
+    inside = inside.select(F.col("group").alias("ga"), "ba", F.col("group").alias("gb"), "bb")
+    opened = across.union(inside).select("*", F.concat_ws(":", "ga", "ba", "gb", "bb").alias("pair"))
     opened = checkpointed(opened)
 
     def side(x: str) -> DataFrame:
@@ -372,7 +385,10 @@ def _joined(chunks: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     nodes = checkpointed(nodes)
     keyed = nodes.select("node", F.posexplode("mins").alias("k", "key"))
     stars = keyed.groupBy("k", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(stars, ["k", "key"]).select("a", F.col("node").alias("b")).filter("a < b").distinct()
+    # a least hash that many nodes have is dealt to several tasks
+    stars = stars.select("k", "key", "a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    pairs = keyed.join(stars, ["k", "key", "salt"]).select("a", F.col("node").alias("b")).filter("a < b").distinct()
     alike = checkpointed(_likeness(pairs, nodes))
     sure = alike.filter(linked(F.col("both"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
     known = components(sure)
@@ -401,9 +417,13 @@ def jaccard_components(
     Ids that are null or repeated join nothing by themselves. Repeated rows and equal sets are of
     one component. An empty table gives no rows. Other columns are not read.
     """
-    rows, sets = _joined(chunked(docs, id_col, text_col), n, percent)
+    with temporary_chunks(docs.sparkSession):  # what follows is read from checkpoints
+        rows, sets = _joined(chunked(docs, id_col, text_col), n, percent)
     names = checkpointed(sets.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    told = checkpointed(sets.join(names, "component").select("digest", "component_id"))
+    # a large component's sets are dealt to several tasks
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sets.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    told = checkpointed(salted.join(names, ["component", "salt"]).select("digest", "component_id"))
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return rows.join(told, "digest", "left").select(
         own.alias("doc_id"),

@@ -90,6 +90,27 @@ def test_ids_that_are_null_or_repeated_join_nothing(spark, corpus):
     assert got == sorted(want, key=str)
 
 
+def test_long_words_that_collide_modulo_a_power_of_two(spark, corpus):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever its base."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word + "a"), (4, f"x {word} y"), (5, f"x {other} y"), (6, "a" * 24), (7, "a" * 25), (8, "a" * 23 + "\0")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(corpus(rows)).collect())
+    assert got == [(k, k) for k in range(1, 9)]
+
+
+def test_template_of_many_documents(spark, corpus):
+    """Documents that share most of a template are one looser group of several blocks, and link with few."""
+    random.seed(4)
+    template = [f"t{k}" for k in range(60)]
+    rows = [(k, " ".join(template + [f"own{k}x{j}" for j in range(25)])) for k in range(700)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(0, 700, 70)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(corpus(rows), 1, 85).collect())
+    assert got == sorted([(k, 85, k) for k in range(700)] + [(1000 + k, 86, k) for k in range(0, 700, 70)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aB \t\nc", max_size=20), max_size=6), st.integers(1, 5))
 def test_set_sizes(texts, n):
