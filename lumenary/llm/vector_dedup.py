@@ -225,22 +225,26 @@ def fit_quantiser(
 
 
 def near_duplicates(
-    vectors: DataFrame, *, least: float = 0.9, probes: int = 24, id_col: str = "vec_id", vector_col: str = "embedding", **fitting
+    vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", **fitting
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
-    Two rows link when their cosine is at least ``least``. Lists are chosen by a bound, so
-    ``probes``, once their fixed number, changes nothing; it is taken from callers that give it.
-    ``n_links`` counts other rows, copies each for itself. Rows whose vector is null, zero, or
-    has a null or non-finite component link with nothing. All usable vectors must be of one
-    length. An empty table gives no rows. Other columns are not read.
+    Two rows link when their cosine is at least ``least``. ``n_links`` counts other rows, copies
+    each for itself. Rows whose vector is null, zero, has a null or non-finite component, or another
+    length than most usable ones (of lengths as common, the least) link with nothing. A component
+    is named by its least id; ids should be unique, and rows that repeat one are told apart by
+    their vectors only. An empty table gives no rows. Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     fine = rows.filter(usable(F.col("vector")))
     entries = checkpointed(fine.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    lengths = entries.groupBy(F.size("vector").alias("length")).agg(F.sum("copies").alias("n"))
+    length = (lengths.orderBy(F.desc("n"), "length").first() or [0])[0]
+    entries = entries.filter(F.size("vector") == length)
+    alone = lambda some: some.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     model = fit_quantiser(entries, **fitting)
     if model is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return alone(rows)
     context = rows.sparkSession.sparkContext
     held = context.broadcast(model)  # lists and codes: a fixed number of vectors
 
@@ -349,9 +353,7 @@ def near_duplicates(
         .select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
     named = checkpointed(named)
-    told = rows.withColumn("key", F.when(usable(F.col("vector")), F.col("vector"))).join(named.withColumnRenamed("vector", "key"), "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return told.select(
-        "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
-        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    # a vector that many rows have makes a skewed side here, which adaptive execution splits
+    may = usable(F.col("vector")) & (F.size("vector") == length)
+    told = rows.filter(may).join(named, "vector").select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
+    return told.unionByName(alone(rows.filter(~may)))
