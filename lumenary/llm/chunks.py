@@ -126,10 +126,6 @@ def temporary_chunks(spark: SparkSession) -> Iterator[None]:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def drop_chunks(spark: SparkSession) -> None:
-    """Kept for callers of before: ``temporary_chunks`` drops."""
-
-
 class Chunk:
     """One row of the table, unpacked."""
 

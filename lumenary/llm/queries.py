@@ -18,11 +18,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenary.llm.chunks import temporary_chunks
     from lumenary.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir), length=50).select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    with temporary_chunks(spark):
+        return common.checkpointed(
+            remove_repeats(documents(spark, sf_dir), length=50).select(
+                "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+            )
+        )
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +83,11 @@ def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str):
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumenary.llm.toxicity import score
+    from lumenary.llm.toxicity import LEAST, score
 
     docs = documents(spark, sf_dir)
     scored = score(docs, toxicity_chain(spark, docs, sf_dir))
-    return scored.select("doc_id", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"), "p_toxic", "p_low_quality")
+    return scored.select("doc_id", (F.col("p_toxic") >= LEAST).cast("int").alias("toxic"), "p_toxic", "p_low_quality")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

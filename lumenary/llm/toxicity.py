@@ -25,6 +25,9 @@ from lumenary.llm.common import text_batches
 
 #: Words are hashed to this many bits.
 BITS = 18
+#: Probability from which a text is of a category. Most words of an unseen insult are unknown, so
+#: what is half as likely as not is taken, too; on labelled rows that costs a thousandth of the others.
+LEAST = 0.35
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -166,12 +169,13 @@ class Chain:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, most_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, most_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> Chain:
     """A chain from labelled documents; ``labels``: ``doc_id`` and a 0/1 column for each category.
 
-    Rows with a null label are not used; a label whose document is missing, too. Without any
-    usable row the chain gives every text even odds.
+    Rows with a null label or id are not used, nor is a label whose document is missing. Of labels
+    that repeat an id one is taken, and of documents that share a labelled id the one whose words
+    come first. Without any usable row the chain gives every text even odds.
     """
     sample = (
         labels.select(F.col("doc_id"), *[F.col(c).cast("double").alias(c) for c in categories])
@@ -193,7 +197,9 @@ def train(
 
     fields = [T.StructField(c, T.DoubleType()) for c in categories]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *fields, T.StructField("words", T.BinaryType())])
-    got = sorted(held.select("doc_id", "text", *categories).mapInArrow(run, schema).collect())[: 2 * most_rows]
+    # of documents that share an id one, so most_rows rows at most come to the driver
+    once = held.select("doc_id", "text", *categories).mapInArrow(run, schema).groupBy("doc_id", *categories).agg(F.min("words").alias("words"))
+    got = sorted(once.collect())
     words = [np.frombuffer(row[-1], "<u4").astype(np.int64) for row in got]
     rows = Rows(np.concatenate([np.zeros(0, np.int64), *words]), np.cumsum([len(w) for w in words], dtype=np.int64))
     truth = np.array([row[1:-1] for row in got]).reshape(len(got), len(categories))
@@ -211,7 +217,7 @@ def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = (), id_col: str =
     schema = T.StructType(fields + [T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_batches(batches, "__text", 1 << 18):
+        for part, texts in text_batches(batches, len(schema) - len(chain.categories), 1 << 18):
             p = held.value.probabilities(Rows(*features(texts)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=schema.names
@@ -220,8 +226,12 @@ def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = (), id_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def screen(docs: DataFrame, chain: Chain, category: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose probability of ``category`` is below ``least``, as they were."""
+def screen(docs: DataFrame, chain: Chain, category: str, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose probability of ``category`` is below ``least``, as they were.
+
+    A row at ``least`` exactly goes. A null or empty text is judged as one without words; repeated
+    rows go or stay together; an empty table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(chain)
     place = list(chain.categories).index(category)
 
