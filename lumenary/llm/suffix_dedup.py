@@ -14,6 +14,13 @@ byte, however strings overlap. Suffixes of the whole corpus are never sorted one
   and by what stands before it, read backwards (that of the dictionary), with common prefixes of
   neighbours. A string that begins j bytes before its trigger is one class of either order at its
   length, so two arrays of numbers name all equal strings, and the least document of each.
+* A trigger near the end of a common passage has another context in every document. Where one has
+  more contexts than a task should sort, its strings themselves are hashed and dealt, each once for
+  each chunk, so no trigger's work grows beyond a bound.
+
+Hashes have 64 bits, and bytes of one trigger's contexts are compared as they are sorted; only
+which triggers and whole contexts of a chunk are one, and which strings of a hot trigger, is
+decided by hash.
 
 What moves between executors is numbers and contexts, dealt by the trigger's hash and made unique
 in each chunk first, so a passage that a third of all documents hold is sent once for each chunk.
@@ -33,12 +40,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.llm.chunks import Chunk, chunked, pack_numbers, unpack_numbers, whole_rows
 from lumenary.llm.common import checkpointed, partitions, release, tidy, tidy_pair
-from lumenary.llm.hashing import Rolling
+from lumenary.llm.hashing import Rolling, runs
 
 #: String starts that are worked on at once: few enough for arrays of them to stay in a core's cache.
 SLICE = 1 << 16
-#: Triggers of one bucket, at most, about.
-BUCKET = 1_500_000
+#: Triggers of one bucket, at most, about, and contexts of one trigger from which its strings are dealt.
+BUCKET, HOT = 1_500_000, 100_000
 
 
 class Parse:
@@ -100,33 +107,84 @@ class Request:
         self.group = np.cumsum(self.group)
         last = np.concatenate((new[1:], [len(bucket)])) - 1 if len(new) else new
         self.bucket, self.name, self.several = bucket[new], name[new], doc[new] != doc[last]
-        self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
-
-    def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Which triggers of the parse several documents have."""
-        told = np.zeros(len(self.bucket), bool)
-        for bucket, bits in answers.items():
-            a, b = self.cuts[bucket], self.cuts[bucket + 1]
-            told[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-        out = np.zeros(len(self.order), bool)
+        self.buckets, self.cuts = runs(self.bucket)
+
+    def contexts(self, parse: Parse) -> np.ndarray:
+        """How many distinct contexts each trigger has."""
+        whole = parse.whole[self.order]
+        order = np.lexsort((whole, self.group))
+        group, whole = self.group[order], whole[order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (whole[1:] != whole[:-1])))[: len(group)]
+        return np.bincount(group[new], minlength=len(self.bucket)).astype("<u4")
+
+    def classes(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Of each trigger of the parse: 0 where one document alone has it, 2 where it is hot, else 1."""
+        told = np.zeros(len(self.bucket), np.uint8)
+        for bucket, a, b in zip(self.buckets.tolist(), self.cuts, self.cuts[1:]):
+            told[a:b] = np.frombuffer(zstandard.decompress(answers[bucket]), np.uint8)
+        out = np.zeros(len(self.order), np.uint8)
         out[self.order] = told[self.group]
         return out
 
 
-def _several(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk, which of its triggers another document has, too."""
+def _several(table: pa.Table, hot: int) -> pa.Table:
+    """Of one bucket: for each chunk, the classes of its triggers."""
     names = [unpack_numbers(x) for x in table.column("names").to_pylist()]
     flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)) for x, n in zip(table.column("flags").to_pylist(), names)]
+    counts = [np.frombuffer(zstandard.decompress(x), "<u4") for x in table.column("counts").to_pylist()]
     name, flag = np.concatenate(names), np.concatenate(flags).astype(bool)
     order = np.argsort(name, kind="stable")
     ranked = name[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
     group = np.cumsum(new) - 1
     many = (np.bincount(group) > 1) | (np.bincount(group, flag[order]) > 0)
-    told = np.zeros(len(name), bool)
-    told[order] = many[group]
+    told = np.zeros(len(name), np.uint8)
+    told[order] = (many + (many & (np.bincount(group, np.concatenate(counts)[order]) > hot)).astype(np.uint8))[group]
     cuts = np.cumsum([len(n) for n in names])[:-1]
-    bits = [np.packbits(x).tobytes() for x in np.split(told, cuts)]
+    bits = [zstandard.compress(x.tobytes(), 1) for x in np.split(told, cuts)]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+class Strings:
+    """A chunk's strings that hold hot triggers, distinct ones by bucket and hash."""
+
+    def __init__(self, chunk: Chunk, parse: Parse, hot: np.ndarray, length: int, buckets: int):
+        rows = np.flatnonzero(hot)
+        size = parse.last[rows] - parse.first[rows] + 1
+        ends = np.cumsum(size)
+        self.start = np.repeat(parse.first[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        doc = chunk.doc_ids[np.repeat(parse.doc[rows], size)]
+        hashed = np.zeros(len(self.start), np.uint64)
+        for a in np.unique(self.start // SLICE).tolist():
+            on = np.flatnonzero(self.start // SLICE == a)
+            at = self.start[on] - a * SLICE
+            hashed[on] = Rolling(chunk.data[a * SLICE : (a + 1) * SLICE + length]).spans(at, at + length)
+        bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((doc, hashed, bucket))
+        self.start, doc, hashed, bucket = self.start[order], doc[order], hashed[order], bucket[order]
+        new = np.concatenate(([True], (hashed[1:] != hashed[:-1]) | (bucket[1:] != bucket[:-1])))[: len(hashed)]
+        heads, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.name, self.least = hashed[heads], doc[heads]
+        self.later = doc > self.least[self.group]  # an earlier document of the chunk has it
+        self.buckets, self.cuts = runs(bucket[heads])
+
+    def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Starts of the strings that an earlier document has."""
+        told = np.zeros(len(self.name), bool)
+        for bucket, a, b in zip(self.buckets.tolist(), self.cuts, self.cuts[1:]):
+            told[a:b] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=b - a)
+        return self.start[self.later | told[self.group]]
+
+
+def _least(table: pa.Table) -> pa.Table:
+    """Of one bucket of strings: for each chunk, which of them an earlier document than its own has."""
+    names = [unpack_numbers(x) for x in table.column("contexts").to_pylist()]
+    name, doc = np.concatenate(names), np.concatenate([unpack_numbers(x) for x in table.column("docs").to_pylist()]).astype(np.int64)
+    order = np.lexsort((doc, name))
+    new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+    told = np.zeros(len(name), bool)
+    told[order] = doc[order][new][np.cumsum(new) - 1] < doc[order]
+    bits = [np.packbits(x).tobytes() for x in np.split(told, np.cumsum([len(n) for n in names])[:-1])]
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
@@ -144,7 +202,7 @@ class Contexts:
         self.group = np.cumsum(new) - 1
         self.heads = np.flatnonzero(new)
         self.doc, self.least = doc, doc[self.heads]
-        self.cuts = np.searchsorted(bucket[self.heads], np.arange(buckets + 1))
+        self.buckets, self.cuts = runs(bucket[self.heads])
         at = self.rows[self.heads]
         self.left = parse.at[at] - parse.first[at]
         self.right = parse.last[at] + length - parse.at[at] - trigger
@@ -210,14 +268,16 @@ def _earlier(table: pa.Table, length: int, trigger: int) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
-def _removed(chunk: Chunk, parse: Parse, held: Contexts, answers: dict[int, bytes], length: int, trigger: int) -> np.ndarray:
-    """Which bytes of the chunk are covered by a string of an earlier document."""
+def _removed(chunk: Chunk, parse: Parse, held: Contexts, hot: np.ndarray, answers: dict[int, bytes], length: int, trigger: int) -> np.ndarray:
+    """Which bytes of the chunk are covered by a string of an earlier document; ``hot``: starts known to be so."""
     reach = length - trigger
     told = np.zeros((len(held.heads), reach + 1), bool)
-    for bucket, bits in answers.items():
-        a, b = held.cuts[bucket], held.cuts[bucket + 1]
-        told[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=(b - a) * (reach + 1)).reshape(-1, reach + 1)
+    for bucket, a, b in zip(held.buckets.tolist(), held.cuts, held.cuts[1:]):
+        bits = np.frombuffer(answers[bucket], np.uint8)
+        told[a:b] = np.unpackbits(bits, count=(b - a) * (reach + 1)).reshape(-1, reach + 1)
     cover = np.zeros(len(chunk.data) + 1, np.int32)
+    np.add.at(cover, hot, 1)
+    np.add.at(cover, hot + length, -1)
     later = held.doc > held.least[held.group]  # an earlier document of the chunk has all of these strings
     rows = held.rows[later]
     np.add.at(cover, parse.first[rows], 1)
@@ -231,7 +291,7 @@ def _removed(chunk: Chunk, parse: Parse, held: Contexts, answers: dict[int, byte
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, trigger: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 50, trigger: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept`` of every row.
 
@@ -259,16 +319,18 @@ def remove_repeats(
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary()}
         return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), out)})
 
-    return _pass(chunked(docs, id_col, text_col), length, trigger, rows, shape)
+    return _pass(chunked(docs, id_col, text_col), length, trigger, rows, shape, hot)
 
 
 def without_repeats(
-    docs: DataFrame, length: int, trigger: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int, trigger: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT
 ) -> DataFrame:
     """``docs`` with those strings taken out of the texts, all columns kept.
 
     A character that a removed string cuts goes, too. A document of which nothing visible is left
-    goes; one that lost nothing stays as it was, null texts included.
+    goes; one that lost nothing stays as it was, null and empty texts included. Rows of one id do
+    not take from each other, and a row without an id comes before all others; an empty table
+    gives no rows.
     """
     schema = docs.schema
     arrow = to_arrow_schema(schema)
@@ -289,10 +351,10 @@ def without_repeats(
             left.append(text)
         return whole_rows(texts, arrow, text_col, np.array(keep, np.int64), left)
 
-    return _pass(chunked(docs, id_col, text_col, whole=True), length, trigger, rows, schema)
+    return _pass(chunked(docs, id_col, text_col, whole=True), length, trigger, rows, schema, hot)
 
 
-def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, shape) -> DataFrame:
+def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, shape, hot: int = HOT) -> DataFrame:
     """``rows(chunk row, chunk, removed bytes)`` of every chunk."""
     trigger = trigger or min(32, max(1, length * 2 // 3))
     if not 0 < trigger < length:
@@ -305,51 +367,60 @@ def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, s
         for batch in batches:
             for name, *packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 chunk = Chunk(*packed)
-                request = Request(Parse(chunk, length, trigger), chunk.doc_ids, buckets)
-                own = [(b, x, y) for b, (x, y) in enumerate(zip(request.cuts, request.cuts[1:])) if y > x]
+                parse = Parse(chunk, length, trigger)
+                request = Request(parse, chunk.doc_ids, buckets)
+                counts = request.contexts(parse)
+                own = list(zip(request.buckets.tolist(), request.cuts, request.cuts[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(own), pa.int64()),
-                        pa.array([b for b, _, _ in own], pa.int32()),
+                        pa.array([b for b, _, _ in own], pa.int64()),
                         pa.array([pack_numbers(request.name[x:y]) for _, x, y in own], pa.binary()),
                         pa.array([np.packbits(request.several[x:y]).tobytes() for _, x, y in own], pa.binary()),
+                        pa.array([zstandard.compress(counts[x:y].tobytes(), 1) for _, x, y in own], pa.binary()),
                     ],
-                    names=["chunk", "bucket", "names", "flags"],
+                    names=["chunk", "bucket", "names", "flags", "counts"],
                 )
         release()
 
-    asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket int, names binary, flags binary")
-    several = checkpointed(asked.groupBy("bucket").applyInArrow(tidy(_several), "chunk long, bucket int, bits binary"))
+    asked = chunks.select("chunk", "doc_ids", "ends", "texts").mapInArrow(ask, "chunk long, bucket long, names binary, flags binary, counts binary")
+    several = checkpointed(asked.groupBy("bucket").applyInArrow(tidy(lambda t: _several(t, hot)), "chunk long, bucket long, bits binary"))
 
-    def parsed(texts: pa.Table, told: pa.Table) -> tuple[Chunk, Parse, Contexts]:
+    def parsed(texts: pa.Table, told: pa.Table) -> tuple[Chunk, Parse, Contexts, Strings]:
         chunk = Chunk.of(texts)
         parse = Parse(chunk, length, trigger)
         answers = dict(zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist()))
-        repeated = Request(parse, chunk.doc_ids, buckets).repeated(answers)
-        return chunk, parse, Contexts(chunk, parse, repeated, length, trigger, buckets)
+        classes = Request(parse, chunk.doc_ids, buckets).classes(answers)
+        return chunk, parse, Contexts(chunk, parse, classes == 1, length, trigger, buckets), Strings(chunk, parse, classes == 2, length, buckets)
 
     def look(texts: pa.Table, told: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in ("chunk", "bucket", "contexts", "lefts", "rights", "docs")}
         if texts.num_rows:
-            chunk, _, held = parsed(texts, told)
+            chunk, _, held, strings = parsed(texts, told)
             packer = zstandard.ZstdCompressor(level=1)
-            for b, (x, y) in enumerate(zip(held.cuts, held.cuts[1:])):
-                if y > x:
-                    rows["chunk"].append(texts.column("chunk")[0].as_py())
-                    rows["bucket"].append(b)
-                    rows["contexts"].append(packer.compress(held.bytes_of(chunk, x, y, reach, trigger).tobytes()))
-                    rows["lefts"].append(packer.compress(held.left[x:y].astype("<u4").tobytes()))
-                    rows["rights"].append(packer.compress(held.right[x:y].astype("<u4").tobytes()))
-                    rows["docs"].append(pack_numbers(held.least[x:y]))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            for b, x, y in zip(held.buckets.tolist(), held.cuts, held.cuts[1:]):
+                rows["chunk"].append(texts.column("chunk")[0].as_py())
+                rows["bucket"].append(b)
+                rows["contexts"].append(packer.compress(held.bytes_of(chunk, x, y, reach, trigger).tobytes()))
+                rows["lefts"].append(packer.compress(held.left[x:y].astype("<u4").tobytes()))
+                rows["rights"].append(packer.compress(held.right[x:y].astype("<u4").tobytes()))
+                rows["docs"].append(pack_numbers(held.least[x:y]))
+            for b, x, y in zip(strings.buckets.tolist(), strings.cuts, strings.cuts[1:]):  # buckets beyond those of contexts
+                for name, value in zip(rows, (texts.column("chunk")[0].as_py(), buckets + b, pack_numbers(strings.name[x:y]), None, None, pack_numbers(strings.least[x:y]))):
+                    rows[name].append(value)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds)})
 
     contexts = (
         chunks.groupBy("chunk").cogroup(several.groupBy("chunk"))
-        .applyInArrow(tidy_pair(look), "chunk long, bucket int, contexts binary, lefts binary, rights binary, docs binary")
+        .applyInArrow(tidy_pair(look), "chunk long, bucket long, contexts binary, lefts binary, rights binary, docs binary")
     )
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _earlier(table, length, trigger) if table.column("bucket")[0].as_py() < buckets else _least(table)
+
     earlier = checkpointed(
-        contexts.groupBy("bucket").applyInArrow(tidy(lambda t: _earlier(t, length, trigger)), "chunk long, bucket int, bits binary")
+        contexts.groupBy("bucket").applyInArrow(tidy(compare), "chunk long, bucket long, bits binary")
     )
     both = several.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
 
@@ -357,9 +428,10 @@ def _pass(chunks: DataFrame, length: int, trigger: int | None, rows: Callable, s
         if not texts.num_rows:
             return rows(texts, None, np.zeros(0, bool))
         kind = told.column("kind").to_numpy()
-        chunk, parse, held = parsed(texts, told.filter(pa.array(kind == 0)))
+        chunk, parse, held, strings = parsed(texts, told.filter(pa.array(kind == 0)))
         own = told.filter(pa.array(kind == 1))
         answers = dict(zip(own.column("bucket").to_pylist(), own.column("bits").to_pylist()))
-        return rows(texts, chunk, _removed(chunk, parse, held, answers, length, trigger))
+        again = strings.repeated({bucket - buckets: bits for bucket, bits in answers.items()})
+        return rows(texts, chunk, _removed(chunk, parse, held, again, answers, length, trigger))
 
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidy_pair(finish), shape)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenary.llm import suffix_dedup
-from lumenary.llm.chunks import Chunk, chunked, drop_chunks
+from lumenary.llm.chunks import Chunk, chunked, temporary_chunks
 
 
 def brute(rows, length):
@@ -31,12 +31,12 @@ def texts(seed=5, n=250):
     return ["".join(random.choice(base)[random.randint(0, 30) :] for _ in range(random.randint(0, 4))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("length,trigger", [(50, None), (12, 5), (8, 1)])
-def test_equals_brute_force(spark, corpus, length, trigger):
+@pytest.mark.parametrize("length,trigger,hot", [(50, None, 1 << 30), (12, 5, 3), (8, 1, 1 << 30), (50, None, 0)])
+def test_equals_brute_force(spark, corpus, length, trigger, hot):
     rows = list(enumerate(texts()))
     rows += [(7, "a" * 120), (7, rows[7][1])]  # repeated ids
     df = corpus([(i, t or None) for i, t in rows]).repartition(5)
-    got = suffix_dedup.remove_repeats(df, length, trigger).collect()
+    got = suffix_dedup.remove_repeats(df, length, trigger, hot=hot).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute(
         [(i, t.encode()) for i, t in rows], length
     )
@@ -74,8 +74,23 @@ def test_without_repeats_keeps_columns_and_whole_characters(spark, corpus):
 
 def test_chunks_hold_every_document(spark, corpus):
     rows = [(i, "t" * (i % 7) * 100) for i in range(200)]
-    table = chunked(corpus(rows), size=3000, whole=True)
-    chunks = [Chunk(r["doc_ids"], r["ends"], r["texts"]) for r in table.collect()]
+    names = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("chunks_")}
+    before = names()
+    with temporary_chunks(spark):
+        table = chunked(corpus(rows), size=3000, whole=True)
+        chunks = [Chunk(r["doc_ids"], r["ends"], r["texts"]) for r in table.collect()]
+        with temporary_chunks(spark):
+            chunked(corpus(rows)).count()
+        assert table.count() == len(chunks)  # another's end drops its own alone
     assert sorted((int(d), c.text(k).decode()) for c in chunks for k, d in enumerate(c.doc_ids)) == rows
-    drop_chunks(spark)
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+    assert names() == before
+
+
+def test_clashing_names(spark, corpus):
+    from lumenary.llm.ngram_join import one_of_each
+
+    text = " ".join(f"w{k}" for k in range(40))
+    df = corpus([(1, text), (2, text), (3, None)]).selectExpr("*", "doc_id AS __known", "doc_id + 1 AS __text", "doc_id AS __id", "'x' AS `0`")
+    with temporary_chunks(spark):
+        assert sorted(r["__text"] for r in one_of_each(df).collect()) == [2, 4]
+        assert sorted((r["__known"], r["text"]) for r in suffix_dedup.without_repeats(df, 50).collect() if r["text"]) == [(1, text)]
