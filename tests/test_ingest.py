@@ -163,3 +163,31 @@ def test_delivery_state_and_forms(spark):
     for change in ({"area": "y"}, {"frequency": "hourly"}, {"hour": "25:00"}, {"email": "a@b"}, {"weekday": 7}):
         with pytest.raises(ValueError):
             digest.check_form(form | change, ["x"])
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from lumenary import __main__, session
+
+    monkeypatch.setattr(__main__, "build_session", lambda: spark)
+    rows = [(k, " ".join(["good", "rain", f"word{k % 3}"] * 10), "src1", "en", 100) for k in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "lexicon.json").write_text(json.dumps({"words": {"good": 1.0}}))
+    data = ["--data", str(tmp_path)]
+    __main__.main([*data, "profile"])
+    __main__.main([*data, "compare", "good rain"])
+    __main__.main([*data, "evaluate", "good", "word1"])
+    __main__.main([*data, "sentiment", "--lexicon", str(tmp_path / "lexicon.json")])
+    said = capsys.readouterr().out
+    assert "duplicate_hashes" in said and "manhattan" in said and "src1: 5" in said and "positive" in said
+    assert session.TABLES
+
+
+def test_update_command(spark, site, tmp_path, capsys, monkeypatch):
+    from lumenary import __main__
+
+    monkeypatch.setattr(__main__, "build_session", lambda: spark)
+    folder = str(tmp_path / "articles")
+    given = ["--data", str(tmp_path), "update", "since", "--since", "2024-01-20", "--endpoint", site, "--articles", folder]
+    __main__.main(given)
+    __main__.main(given)
+    assert "complete" in capsys.readouterr().out and articles.read_articles(spark, folder).count() == 5

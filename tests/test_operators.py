@@ -1,5 +1,6 @@
 import datetime
 import math
+import os
 
 import numpy as np
 import pytest
@@ -210,6 +211,21 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
     assert sorted((r["url"], r["v"]) for r in state(spark, target).collect()) == [("a", 1), ("b", 2), ("c", 1)]
 
 
+def test_stream_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    schema = "url string, v int, at long"
+    source, target = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = [(f"u{k}", 0, k) for k in range(200)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    stream_upsert(spark, source, schema, target, str(tmp_path / "c"), "url", "at", buckets=8)
+    spark.createDataFrame([("u5", 1, 999)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream_upsert(spark, source, schema, target, str(tmp_path / "c"), "url", "at", buckets=8)
+    got = {r["url"]: r["v"] for r in state(spark, target).collect()}
+    assert len(got) == 200 and got["u5"] == 1 and sum(got.values()) == 1
+    assert sorted(os.listdir(f"{target}/state-000000002"))[-1].startswith("__bucket=") and len([x for x in os.listdir(f"{target}/state-000000002") if x.startswith("__bucket")]) == 1
+    with pytest.raises(FileNotFoundError):
+        state(spark, str(tmp_path / "none"))
+
+
 def test_enrichment(spark):
     docs = spark.createDataFrame([(1, "The Dogs", "running x2 guarda-chuva")], "doc_id long, title string, content string")
     lemmas = spark.createDataFrame([("dogs", "dog")], "term string, lemma string")
