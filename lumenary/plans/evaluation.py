@@ -187,6 +187,10 @@ def _parsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return tokens, named.select("doc_id", F.col("i").alias("start"), (F.col("i") + 1).alias("stop"), label.alias("label"), F.col("text").alias("entity"))
 
 
+def sentence_map(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.sentences(_parsed(spark, sf)[0])
+
+
 def relation_triples(spark: SparkSession, sf: str) -> DataFrame:
     return extract.triples(*_parsed(spark, sf))
 
@@ -263,7 +267,7 @@ QUERIES = {
         centroid_distance_summary, silhouette_cosine, cluster_top_terms, block_mean_pooling, similarity_pairs, cluster_comparison, sentiment_scores,
         sentiment_rollup, sentiment_overall, classification_report, training_set_filter, stratified_split, train_classifier,
         train_dense_classifier, kmeans_clusters, pca_coordinates, word2vec_search, enriched_articles, html_extract, link_extract,
-        event_daily_counts, relation_triples, relation_rollup, entity_rollup, cluster_drawing, classifier_comparison, embedding_gather,
+        event_daily_counts, sentence_map, relation_triples, relation_rollup, entity_rollup, cluster_drawing, classifier_comparison, embedding_gather,
         cluster_invariants, principal_invariants,
     )
 }
@@ -378,6 +382,7 @@ SELECT doc_id, category FROM o WHERE category IN (SELECT category FROM o GROUP B
     "stratified_split": """SELECT doc_id, toxic, CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) <= round(count(*) OVER (PARTITION BY toxic) * 0.2)
 THEN 'test' ELSE 'train' END AS part FROM labels""",
     "event_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "sentence_map": PARSED + " SELECT doc_id, sent, min(i) AS start, max(i) + 1 AS stop, string_agg(text, ' ' ORDER BY i) AS sentence FROM t GROUP BY doc_id, sent",
     "relation_triples": PARSED + " SELECT * FROM tr",
     "relation_rollup": PARSED + _rollup_sql("tr", "relation", "subject || ' - ' || object", "(doc_id, sent)", 10),
     "entity_rollup": PARSED + _rollup_sql("e", "label", "entity", "(doc_id, start)", 15),

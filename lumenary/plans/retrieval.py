@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenary.functions import text, vectors
-from lumenary.operators import digest, search
+from lumenary.operators import digest, index, report, search
 from lumenary.plans.corpus import ARTICLES, TERMS
-from lumenary.session import table
+from lumenary.session import scratch, table
 from lumenary.sources.articles import from_documents
 
 QUERY, QUERY_2, QUERY_3 = "the loser and the clown of leaux", "worthless idea of thing", "stupid trash in the eau"
@@ -100,6 +101,20 @@ def topk_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return search.summaries(lists, space.docs)
 
 
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexical index written to the shared folder, opened with its guards and searched."""
+    docs, folder = from_documents(spark, sf), f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    index.build_lexical(spark, docs, folder)
+    return index.search_index(spark, docs, folder, QUERY, k=10).select("position", "doc_id", "score", "method", "metric", "category")
+
+
+def catalog_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog without a category, and with other addresses in one language, against the articles."""
+    docs = from_documents(spark, sf)
+    url = F.when(F.col("lang") == "en", F.concat("url", F.lit("old/"))).otherwise(F.col("url"))
+    return report.differing(docs.filter("category <> 'src3'").withColumn("url", url), docs)
+
+
 def recent_list(spark: SparkSession, sf: str) -> DataFrame:
     return digest.recent(from_documents(spark, sf), "src5", page=0).select("doc_id", "published_at", "category")
 
@@ -130,7 +145,7 @@ def snippet_lookup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vocabulary_stats, bow_postings, tfidf_postings, hybrid_rrf, digest_select, comparison_matrix, topk_evaluation,
+        index_search, catalog_check, vocabulary_stats, bow_postings, tfidf_postings, hybrid_rrf, digest_select, comparison_matrix, topk_evaluation,
         recent_list, keyword_alerts_new, search_index_export, snippet_lookup,
     )
 } | {
@@ -215,6 +230,10 @@ def _lists_sql() -> str:
 
 
 ORACLE_SQL = {
+    "index_search": ARTICLES + f""", {TFIDF}, {_query_sql(QUERY, 'q')} SELECT position, doc_id, score, 'tfidf' AS method, 'cosine' AS metric, category
+FROM ({_top_sql(_score_sql("tfidf", "cosine"), 10)}) JOIN articles USING (doc_id)""",
+    "catalog_check": """SELECT CAST(0 AS BIGINT) AS only_catalog, count(*) FILTER (source = 'src3') AS only_source, count(*) FILTER (source <> 'src3' AND lang = 'en') AS other_url,
+CAST(0 AS BIGINT) AS other_content_hash FROM documents""",
     "vocabulary_stats": ARTICLES + f", {VOCABULARY} SELECT * FROM vocab",
     "bow_postings": ARTICLES + f", {TFIDF} SELECT doc_id, term, w AS weight FROM bow",
     "tfidf_postings": ARTICLES + f", {TFIDF} SELECT doc_id, term, round(w, 6) AS weight FROM tfidf",
