@@ -6,13 +6,14 @@ import ctypes
 import functools
 import gc
 import os
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenary.session import scratch
+
 #: Where the public vocabularies are; every tokenizing operator takes a path of its own.
 VOCABULARIES = "/opt/tokenizers"
 
@@ -30,23 +31,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where none is set a local session (tests) takes a temporary folder; on a cluster, whose
-    machines would not see it, that is an error.
-    """
-    context = spark.sparkContext
-    held = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not held:
-        if not context.master.startswith("local") or "cluster" in context.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        held = tempfile.mkdtemp(prefix="checkpoints-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(held)
-    return held.rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that a lost executor loses nothing."""
     scratch(df.sparkSession)
