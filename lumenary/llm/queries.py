@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from lumenary.llm import common
 from lumenary.llm.common import vocabulary
 from lumenary.llm.pieces import BYTE_PATTERN
-from lumenary.session import ship
+from lumenary.session import ship, spread
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, a small one dealt to all cores."""
     ship(spark)
-    return common.documents(spark, sf_dir)
+    return spread(common.documents(spark, sf_dir))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenary.llm.packing import pack
 
-    pieces = pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), spaced=True, end_id=2)
+    ship(spark)  # each split ends with one partly filled window, so splits are not made smaller
+    pieces = pack(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), spaced=True, end_id=2)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
