@@ -11,6 +11,7 @@ bounds what the driver gathers; it then scores every row of the corpus.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenary.llm import hashing
-from lumenary.llm.common import text_batches
+from lumenary.llm.common import release, text_batches
 
 #: Words are hashed to this many bits.
 BITS = 18
@@ -169,7 +170,7 @@ class Chain:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, most_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, most_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> Chain:
     """A chain from labelled documents; ``labels``: ``doc_id`` and a 0/1 column for each category.
 
@@ -203,7 +204,11 @@ def train(
     words = [np.frombuffer(row[-1], "<u4").astype(np.int64) for row in got]
     rows = Rows(np.concatenate([np.zeros(0, np.int64), *words]), np.cumsum([len(w) for w in words], dtype=np.int64))
     truth = np.array([row[1:-1] for row in got]).reshape(len(got), len(categories))
-    return Chain.fit(categories, rows, truth, **options)
+    chain = Chain.fit(categories, rows, truth, **options)
+    del got, words, rows, truth
+    gc.collect()
+    release(keep=True)  # the driver has other work to do
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
