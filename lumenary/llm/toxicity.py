@@ -111,7 +111,7 @@ class Linear:
         column, row = place[rows.columns[on]], rows.row[on]
         n, k, m = len(rows), len(names), more.shape[1]
         w = np.zeros(k + m + 1)
-        share = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
+        share = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
         w[-1] = np.log(share / (1 - share))
         first, second = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, steps + 1 if n else 1):
@@ -176,7 +176,7 @@ def train(
 
     Rows with a null label or id are not used, nor is a label whose document is missing. Of labels
     that repeat an id one is taken, and of documents that share a labelled id the one whose words
-    come first. Without any usable row the chain gives every text even odds.
+    come first. Without any usable row the chain calls every text clean.
     """
     sample = (
         labels.select(F.col("doc_id"), *[F.col(c).cast("double").alias(c) for c in categories])

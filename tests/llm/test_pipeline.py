@@ -74,7 +74,7 @@ def test_stages_on_odd_tables(spark, tmp_path):
     shape = "doc_id long, text string, lang string"
     clash = ["chunk", "row", "__known", "__text", "__id", "kind", "digest", "node", "component", "salt", "p_toxic", "ids", "rest"]
     df = spark.createDataFrame(rows, shape).selectExpr("*", "length(text) AS n_chars", *[f"'c' AS `{c}`" for c in clash])
-    labels = spark.createDataFrame([(1, 1, 0), (8, 0, 1), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 1, 0), (8, 0, 1), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
     for name, docs in (("odd", df), ("none", df.filter("false"))):
         folder = str(tmp_path / name)
         labels.write.parquet(f"{folder}/labels.parquet")
