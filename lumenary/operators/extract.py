@@ -1,8 +1,9 @@
 """Entity mentions and subject-relation-object triples over a table of parsed tokens.
 
 Tokens come from any parser as rows ``doc_id, sent, i, head, dep, pos, lemma, text`` (``i`` and
-``head`` are places in the document), entities as ``doc_id, start, stop, label, entity``. The
-rules are joins on (document, head), so a corpus is one plan.
+``head`` are places in the document), entities as ``doc_id, start, stop, label, entity``, or both
+as lists in a row for each document. The rules stay inside a document (``parse_rows``), so a corpus
+is one plan.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumenary.operators import parse_rows
+from lumenary.session import ship
+
 # Dependency labels, pronouns that are no argument, contracted prepositions.
 SUBJECTS, COMPLEMENTS, LEADING = ("nsubj", "nsubj:pass"), ("obj", "iobj", "obl"), ("case", "det")
 PRONOUNS = ("que", "qual", "quais", "quem", "onde", "quando", "como")
@@ -62,52 +66,51 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def arguments(tokens: DataFrame, entities: DataFrame) -> DataFrame:
-    """``doc_id, i, argument, label``: of each token the entity that holds it, else its phrase.
+def gathered(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """Token and entity tables as a row for each document that has tokens: ``doc_id, tokens, entities``."""
+    listed = lambda df, names: df.groupBy("doc_id").agg(F.collect_list(F.struct(*[F.col(n).cast(kind).alias(n) for n, kind in names.items()])).alias("l"))
+    of = listed(entities, _ENTITY).withColumnRenamed("l", "entities")
+    return listed(tokens, _TOKEN).withColumnRenamed("l", "tokens").join(of, "doc_id", "left")
 
-    The phrase is the token's subtree in order without punctuation and leading case marks and
-    determiners; where nothing is left, the whole span of the subtree.
-    """
-    held = subtrees(tokens).join(tokens.select("doc_id", "i", "dep", "pos", "text"), ["doc_id", "i"])
-    fine = ~F.col("pos").isin("PUNCT", "SPACE")
-    first = F.min(F.when(fine & ~F.col("dep").isin(*LEADING), F.col("i")))
-    listed = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("i", "text")))), lambda x: x["text"]), " ")
-    start = held.groupBy("doc_id", "root").agg(first.alias("first"))
-    phrase = held.join(start, ["doc_id", "root"]).groupBy("doc_id", "root").agg(
-        listed(fine & (F.col("i") >= F.col("first"))).alias("clean"), listed(F.lit(True)).alias("span")
-    )
-    # the first entity that covers the token; an entity is a row for each of its places
-    places = entities.select("doc_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"), "start", "label", "entity")
-    covering = tokens.select("doc_id", "i").join(places, ["doc_id", "i"])
-    entity = covering.groupBy("doc_id", "i").agg(F.min_by(F.struct("entity", "label"), "start").alias("e"))
-    return phrase.select("doc_id", F.col("root").alias("i"), "clean", "span").join(entity, ["doc_id", "i"], "left").select(
-        "doc_id", "i", F.coalesce("e.entity", F.nullif("clean", F.lit("")), "span").alias("argument"), F.coalesce("e.label", F.lit("")).alias("label")
-    )
+
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _mapped(rows: DataFrame, run: Batches, shape: str, parse: Batches | None) -> DataFrame:
+    ship(rows.sparkSession)
+    both = run if parse is None else lambda batches: run(parse(batches))
+    return rows.select("doc_id", *[c for c in rows.columns if c != "doc_id"]).mapInArrow(both, f"doc_id {dict(rows.dtypes)['doc_id']}, {shape}")
 
 
 def triples(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """``doc_id, sent, subject, subject_label, relation, object, object_label, verb, dependency``.
 
+    Documents are gathered in one exchange; where a parser gives whole documents, ``triples_of``
+    needs none.
+    """
+    return triples_of(gathered(tokens, entities))
+
+
+def triples_of(rows: DataFrame, parse: Batches | None = None) -> DataFrame:
+    """Triples of documents (``doc_id, tokens, entities``), each from its own row.
+
+    ``parse`` makes such rows in the same task from other columns, ``doc_id`` first, so that
+    tokens need not pass through the engine.
+
     A verb's subjects are its own; a coordinated verb without any takes those of the verb it is
-    joined to. An oblique complement adds its preposition to the relation.
+    joined to. An oblique complement adds its preposition to the relation. An argument is the
+    entity that holds the token, else its phrase: the token's subtree in order without punctuation
+    and leading case marks and determiners; where nothing is left, the whole span of the subtree.
     """
-    t = tokens.select("doc_id", "sent", "i", "head", "dep", "pos", "lemma", "text")
-    verbs = t.filter(F.col("pos").isin("VERB", "AUX")).select("doc_id", "sent", F.col("i").alias("v"), F.col("head").alias("vh"), F.col("dep").alias("vdep"), F.lower("lemma").alias("verb"))
-    subject = t.filter(F.col("dep").isin(*SUBJECTS)).select("doc_id", F.col("head").alias("v"), F.col("i").alias("s"))
-    own = verbs.join(subject, ["doc_id", "v"])
-    heads = t.filter(F.col("pos").isin("VERB", "AUX")).select("doc_id", F.col("i").alias("vh"))
-    bare = verbs.filter("vdep = 'conj'").join(subject, ["doc_id", "v"], "left_anti").join(heads, ["doc_id", "vh"], "left_semi")
-    taken = bare.join(subject.withColumnRenamed("v", "vh"), ["doc_id", "vh"])
-    with_subject = own.select("doc_id", "sent", "v", "verb", "s").unionByName(taken.select("doc_id", "sent", "v", "verb", "s"))
-    complement = t.filter(F.col("dep").isin(*COMPLEMENTS)).select("doc_id", F.col("head").alias("v"), F.col("i").alias("o"), F.col("dep").alias("dependency"))
-    case = t.filter("dep = 'case'").groupBy("doc_id", F.col("head").alias("o")).agg(F.min_by(preposition(F.col("text"), F.col("lemma")), "i").alias("prep"))
-    joined = with_subject.join(complement, ["doc_id", "v"]).join(case, ["doc_id", "o"], "left")
+    shape = (
+        "sent int, subject string, subject_label string, object string, object_label string, "
+        "lemma string, dependency string, case_text string, case_lemma string"
+    )
+    found = _mapped(rows, parse_rows.triples(SUBJECTS, COMPLEMENTS, LEADING), shape, parse)
+    found = found.withColumn("verb", F.lower("lemma")).withColumn("prep", preposition(F.col("case_text"), F.col("case_lemma")))
     relation = F.when((F.col("dependency") == "obl") & F.col("prep").isNotNull(), F.concat_ws("_", "verb", "prep")).otherwise(F.col("verb"))
-    named = arguments(tokens, entities)
-    side = lambda i, name: named.select("doc_id", F.col("i").alias(i), F.col("argument").alias(name), F.col("label").alias(f"{name}_label"))
-    out = joined.withColumn("relation", relation).join(side("s", "subject"), ["doc_id", "s"]).join(side("o", "object"), ["doc_id", "o"])
     valid = lambda c: (F.col(c) != "") & ~F.lower(c).isin(*PRONOUNS)
-    return out.filter(valid("subject") & valid("object")).select(
+    return found.withColumn("relation", relation).filter(valid("subject") & valid("object")).select(
         "doc_id", "sent", "subject", "subject_label", "relation", "object", "object_label", "verb", "dependency"
     )
 
@@ -115,17 +118,24 @@ def triples(tokens: DataFrame, entities: DataFrame) -> DataFrame:
 #: Schema of parsed tokens and of entities.
 TOKENS = "doc_id long, sent int, i int, head int, dep string, pos string, lemma string, text string"
 ENTITIES = "doc_id long, start int, stop int, label string, entity string"
+_TOKEN, _ENTITY = (dict(x.split() for x in shape.split(", ")[1:]) for shape in (TOKENS, ENTITIES))
 
 Parser = Callable[[list[str]], list[tuple[list[tuple], list[tuple]]]]
 
 
 def parsed(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text", batch: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Token and entity tables of documents, by a parser from outside.
+    """Token and entity tables of documents, from ``parsed_rows``."""
+    both = parsed_rows(docs, make, text_col, batch)
+    return both.select("doc_id", F.inline("tokens")), both.select("doc_id", F.inline("entities"))
+
+
+def parsed_rows(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text", batch: int = 16) -> DataFrame:
+    """``doc_id, tokens, entities`` of documents, by a parser from outside.
 
     ``make`` is called once in each task and gives a function from a few texts to, for each,
     tokens ``(sent, i, head, dep, pos, lemma, text)`` and entities ``(start, stop, label, entity)``.
-    A null text is empty. Both tables come from one parse, which is written to the checkpoint
-    folder where there is one.
+    A null text is empty. Whatever is made of it comes from one parse, which is written to the
+    checkpoint folder where there is one.
     """
 
     shape = T.StructType.fromDDL(_PARSED)
@@ -141,8 +151,7 @@ def parsed(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text",
                 lists = [[[dict(zip(names[k], item)) for item in both[k]] for both in found] for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, arrow.field(k + 1).type) for k, x in enumerate(lists))], schema=arrow)
 
-    both = _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, _PARSED))
-    return both.select("doc_id", F.inline("tokens")), both.select("doc_id", F.inline("entities"))
+    return _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, _PARSED))
 
 
 _PARSED = (
@@ -157,17 +166,31 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "sent").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"), held.alias("sentence"))
 
 
+def sentences_of(rows: DataFrame, parse: Batches | None = None) -> DataFrame:
+    """Places and text of each sentence of documents (``doc_id, tokens, entities``), each from its own row."""
+    return _mapped(rows, parse_rows.sentences, "sent int, start int, stop int, sentence string", parse)
+
+
 def mentions(tokens: DataFrame, entities: DataFrame, shortest: int = 2) -> DataFrame:
     """``doc_id, sent, label, entity, start``: entities with the sentence that they begin in, short ones left out."""
-    clean = F.trim(F.regexp_replace("entity", r"\s+", " "))
     at = tokens.select("doc_id", F.col("i").alias("start"), "sent")
-    return entities.join(at, ["doc_id", "start"]).select("doc_id", "sent", "label", clean.alias("entity"), "start").filter(F.length("entity") >= shortest)
+    return _clean(entities.join(at, ["doc_id", "start"]), shortest)
+
+
+def mentions_of(rows: DataFrame, parse: Batches | None = None, shortest: int = 2) -> DataFrame:
+    """Mentions of documents (``doc_id, tokens, entities``), each from its own row."""
+    return _clean(_mapped(rows, parse_rows.mentions, "sent int, label string, entity string, start int", parse), shortest)
+
+
+def _clean(found: DataFrame, shortest: int) -> DataFrame:
+    clean = F.trim(F.regexp_replace("entity", r"\s+", " "))
+    return found.select("doc_id", "sent", "label", clean.alias("entity"), "start").filter(F.length("entity") >= shortest)
 
 
 def extracted(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text", batch: int = 16) -> tuple[DataFrame, DataFrame]:
     """Mentions and triples of documents, from one parse."""
-    tokens, entities = parsed(docs, make, text_col, batch)
-    return mentions(tokens, entities), triples(tokens, entities)
+    rows = parsed_rows(docs, make, text_col, batch)
+    return mentions_of(rows), triples_of(rows)
 
 
 def rollup(rows: DataFrame, group: str, item: Column, k: int, order: list[str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary.functions import text, vectors
-from lumenary.operators import classify, cluster, extract, represent, search, sentiment
+from lumenary.operators import classify, cluster, extract, parse_rows, represent, search, sentiment
 from lumenary.plans.corpus import ARTICLES
 from lumenary.plans import retrieval
 from lumenary.plans.retrieval import TFIDF
@@ -159,49 +164,55 @@ def event_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return daily_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
 
 
-def _parsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Every document's words as parsed tokens, by rules that stand in for a parser.
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return from_documents(spark, sf).select("doc_id", text.terms("content").alias("w"))
+
+
+def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' words (``doc_id, w``) as parsed tokens, by rules that stand in for a parser.
 
     Sentences are six words: determiner, subject, verb, preposition, complement and what belongs to
     it. In every second sentence the verb is joined to the one before and has no subject of its
     own. Subjects of eight letters or more are entities.
     """
-    words = from_documents(spark, sf).select("doc_id", text.terms("content").alias("w"))
-    each = words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "text"))
-    r, i, second = F.col("i") % 6, F.col("i"), F.floor(F.col("i") / 6) % 2 == 1
-    length = F.length("text")
-    head = (
-        F.when((r <= 1) | (r == 3), i + 1).when((r == 2) & second, i - 6).when(r == 2, i).when(r == 4, i - 2).otherwise(i - 1)
-    )
-    dep = (
-        F.when(r == 0, "det").when((r == 1) & second, "advmod").when(r == 1, "nsubj").when((r == 2) & second, "conj").when(r == 2, "ROOT")
-        .when(r == 3, "case").when((r == 4) & (length % 2 == 0), "obj").when(r == 4, "obl").otherwise("nmod")
-    )
-    pos = F.element_at(F.array(*map(F.lit, ("DET", "NOUN", "VERB", "ADP", "NOUN", "PROPN"))), (r + 1).cast("int"))
-    tokens = each.select(
-        "doc_id", F.floor(i / 6).cast("int").alias("sent"), "i", F.when(head < F.col("n"), head).otherwise(i).cast("int").alias("head"),
-        dep.alias("dep"), pos.alias("pos"), F.col("text").alias("lemma"), "text",
-    )
-    named = tokens.filter((F.col("i") % 6 == 1) & (F.length("text") >= 8))
-    label = F.when(F.length("text") % 2 == 0, "PER").otherwise("LOC")
-    return tokens, named.select("doc_id", F.col("i").alias("start"), (F.col("i") + 1).alias("stop"), label.alias("label"), F.col("text").alias("entity"))
+    deps, tags = pa.array("det nsubj ROOT case obj nmod advmod conj obl".split()), pa.array("DET NOUN VERB ADP NOUN PROPN".split())
+    for rows in parse_rows.parts(batches):
+        words = rows.column(1).flatten()
+        n = rows.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        end = np.cumsum(n)
+        i, length = np.arange(len(words)) - np.repeat(end - n, n), pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        r, second = i % 6, i // 6 % 2 == 1
+        head = i + np.array([1, 1, 0, 1, -2, -1])[r] - 6 * (second & (r == 2))
+        head = np.where(head < np.repeat(n, n), head, i)
+        dep = np.select([(r == 1) & second, (r == 2) & second, (r == 4) & (length % 2 == 1)], [6, 7, 8], r)
+        small = lambda x: pa.array(x, pa.int32())
+        tokens = pa.StructArray.from_arrays(
+            [small(i // 6), small(i), small(head), deps.take(small(dep)), tags.take(small(r)), words, words], ["sent", "i", "head", "dep", "pos", "lemma", "text"]
+        )
+        named = (r == 1) & (length >= 8)
+        at = np.flatnonzero(named)
+        label = pa.array(["PER", "LOC"]).take(small(length[at] % 2))
+        entities = pa.StructArray.from_arrays([small(i[at]), small(i[at] + 1), label, words.take(small(at))], ["start", "stop", "label", "entity"])
+        lists = lambda ends, values: pa.ListArray.from_arrays(small(np.append(0, ends)), values)
+        held = np.append(0, np.cumsum(named))[end]
+        yield pa.RecordBatch.from_arrays([rows.column(0), lists(end, tokens), lists(held, entities)], names=["doc_id", "tokens", "entities"])
 
 
 def sentence_map(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.sentences(_parsed(spark, sf)[0])
+    return extract.sentences_of(_words(spark, sf), _parsed)
 
 
 def relation_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.triples(*_parsed(spark, sf))
+    return extract.triples_of(_words(spark, sf), _parsed)
 
 
 def relation_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = extract.triples(*_parsed(spark, sf))
+    rows = extract.triples_of(_words(spark, sf), _parsed)
     return extract.rollup(rows, "relation", F.concat_ws(" - ", "subject", "object"), 10, ["doc_id", "sent"])
 
 
 def entity_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.rollup(extract.mentions(*_parsed(spark, sf)), "label", F.col("entity"), 15, ["doc_id", "start"])
+    return extract.rollup(extract.mentions_of(_words(spark, sf), _parsed), "label", F.col("entity"), 15, ["doc_id", "start"])
 
 
 def _spaces(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
