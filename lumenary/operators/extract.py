@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenary.operators import parse_rows
-from lumenary.session import ship
+from lumenary.session import ship, written
 
 # Dependency labels, pronouns that are no argument, contracted prepositions.
 SUBJECTS, COMPLEMENTS, LEADING = ("nsubj", "nsubj:pass"), ("obj", "iobj", "obl"), ("case", "det")
@@ -46,26 +46,15 @@ def subtrees(tokens: DataFrame) -> DataFrame:
     while not step.isEmpty():
         # what is less than that below the end of such a pair is less than twice as far below its start
         far = step.withColumnRenamed("i", "mid").join(reached.withColumnRenamed("root", "mid"), ["doc_id", "mid"]).select("doc_id", "root", "i")
-        far = _written(far)
+        far = written(far)
         if not far.filter("root = i").isEmpty():
             raise ValueError("tokens' heads form a circle")
         reached = reached.unionByName(far)
         next_step = step.withColumnRenamed("i", "mid").join(step.withColumnRenamed("root", "mid"), ["doc_id", "mid"]).select("doc_id", "root", "i")
-        step = _written(next_step)
+        step = written(next_step)
     return reached
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut where the session has a checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def gathered(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """Token and entity tables as a row for each document that has tokens: ``doc_id, tokens, entities``."""
     listed = lambda df, names: df.groupBy("doc_id").agg(F.collect_list(F.struct(*[F.col(n).cast(kind).alias(n) for n, kind in names.items()])).alias("l"))
@@ -151,7 +140,7 @@ def parsed_rows(docs: DataFrame, make: Callable[[], Parser], text_col: str = "te
                 lists = [[[dict(zip(names[k], item)) for item in both[k]] for both in found] for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, arrow.field(k + 1).type) for k, x in enumerate(lists))], schema=arrow)
 
-    return _written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, _PARSED))
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, _PARSED))
 
 
 _PARSED = (

@@ -35,8 +35,8 @@ def _space(spark: SparkSession, sf: str) -> search.Space:
     space = search.Space(docs)
     place = F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1  # of VOCABULARY rows at most
     n = items.agg(F.count("*").alias("__n"))
-    numbered = space.terms.select("term", place.alias("k")).join(n).select("term", (F.col("k") % F.col("__n")).alias("vec_id"))
-    space.term_vectors, space.size = numbered.join(items.select("vec_id", v.alias("v")), "vec_id").select("term", "v"), DIMENSIONS
+    numbered = lambda: space.terms.select("term", place.alias("k")).join(n).select("term", (F.col("k") % F.col("__n")).alias("vec_id"))
+    space.term_vectors, space.size = lambda: numbered().join(items.select("vec_id", v.alias("v")), "vec_id").select("term", "v"), DIMENSIONS
     space.embeddings = items.select(F.col("vec_id").alias("doc_id"), v.alias("embedding"))
     space.encode = lambda query: items.orderBy("vec_id").first()["embedding"]
     return space
@@ -94,10 +94,10 @@ def comparison_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def topk_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries of the best 3 and 5 of three queries by two methods, from one ranking of five each."""
     space, lists = _space(spark, sf), None
-    for name, query in zip(("one", "two", "three"), (QUERY, QUERY_2, QUERY_3)):
-        for method in ("tfidf", "word2vec"):
-            best = space.search(query, method, "cosine", 5, positive=True).withColumn("query", F.lit(f"{name} {method}"))
-            lists = best if lists is None else lists.unionByName(best)
+    named = {(query, method, "cosine"): f"{name} {method}" for name, query in zip(("one", "two", "three"), (QUERY, QUERY_2, QUERY_3)) for method in ("tfidf", "word2vec")}
+    for name, best in zip(named.values(), space.rankings(list(named), 5, positive=True)):
+        best = best.withColumn("query", F.lit(name))
+        lists = best if lists is None else lists.unionByName(best)
     return search.summaries(lists, space.docs)
 
 

@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from lumenary.operators import extract
+from lumenary.functions import vectors
+from lumenary.operators import extract, search
 from lumenary.plans import catalogue
 from tests.test_operators import ENTITIES, TOKENS
 
@@ -31,3 +32,23 @@ def test_documents_and_flat_tables_give_the_same(spark):
     circle = [(1, 0, i, (i + 1) % 3, "x", "NOUN", "a", "t") for i in range(3)]
     with pytest.raises(Exception, match="circle"):
         extract.triples(spark.createDataFrame(circle, extract.TOKENS), entities).collect()
+
+
+@FIXTURES
+@pytest.mark.parametrize("name", ["word2vec_search_cosine", "word2vec_search_euclid", "word2vec_search_manhattan", "topk_evaluation"])
+def test_word_vectors_exchange_no_tokens(spark, name):
+    found = plan(catalogue.QUERIES[name](spark, DATA))
+    assert "Generate" not in found and "explode" not in found
+
+
+def test_scores_of_one_reading_equal_those_of_postings(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "a a"), (3, "zzz"), (4, None), (5, "b c c d d")], "doc_id long, content string")
+    space = search.Space(docs)
+    space.terms = search.vocabulary(space.tf, min_df=1)
+    asked = [("b d unknown d", method, metric) for method in ("bow", "tfidf") for metric in vectors.METRICS]
+    got = {r["doc_id"]: r for r in space.scored(asked).collect()}
+    for k, (query, method, metric) in enumerate(asked):
+        postings = search.bow(space.tf, space.terms) if method == "bow" else search.normalised(search.tfidf(space.tf, space.terms, 5))
+        known = search.query_weights(spark, query, space.terms, 5, method)
+        want = {r["doc_id"]: r["score"] for r in search.lexical_scores(postings, known, metric).collect()}
+        assert {d: r[f"s{k}"] for d, r in got.items() if r[f"s{k}"] is not None} == pytest.approx(want)
