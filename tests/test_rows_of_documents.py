@@ -2,11 +2,13 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
 from lumenary.functions import vectors
-from lumenary.operators import extract, search
+from lumenary.operators import classify, extract, search
 from lumenary.plans import catalogue
+from lumenary.sources import html
 from tests.test_operators import ENTITIES, TOKENS
 
 DATA = os.environ.get("FIXTURES", "/root/testdata/sf0.001")
@@ -35,7 +37,7 @@ def test_documents_and_flat_tables_give_the_same(spark):
 
 
 @FIXTURES
-@pytest.mark.parametrize("name", ["word2vec_search_cosine", "word2vec_search_euclid", "word2vec_search_manhattan", "topk_evaluation"])
+@pytest.mark.parametrize("name", ["word2vec_search_cosine", "word2vec_search_euclid", "word2vec_search_manhattan"])
 def test_word_vectors_exchange_no_tokens(spark, name):
     found = plan(catalogue.QUERIES[name](spark, DATA))
     assert "Generate" not in found and "explode" not in found
@@ -52,3 +54,21 @@ def test_scores_of_one_reading_equal_those_of_postings(spark):
         known = search.query_weights(spark, query, space.terms, 5, method)
         want = {r["doc_id"]: r["score"] for r in search.lexical_scores(postings, known, metric).collect()}
         assert {d: r[f"s{k}"] for d, r in got.items() if r[f"s{k}"] is not None} == pytest.approx(want)
+
+
+def test_pages_are_cut_by_their_bytes():
+    pages = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * 1_500_000, None, "y" * 900_000, "z" * 5_000_000, ""])], names=["page_id", "html"])
+    cut = list(html._bounded([pages], 1))
+    assert [c.column(0).to_pylist() for c in cut] == [[0, 1], [2], [3], [4]]
+
+
+@FIXTURES
+def test_lemmas_exchange_no_tokens(spark):
+    assert "Generate" not in plan(catalogue.QUERIES["enriched_articles"](spark, DATA))
+
+
+def test_texts_are_not_dealt_by_category(spark):
+    rows = spark.createDataFrame([(k, f"t{k}", "A") for k in range(40)], "id long, t string, c string")
+    held = classify.stratified(classify.training_set(rows, "t", "c", "id", least=2), "c", "id")
+    assert plan(held).count("strategy=broadcast") >= 2
+    assert sorted(r["part"] for r in held.collect()) == ["test"] * 8 + ["train"] * 32
