@@ -56,10 +56,9 @@ def build_lexical(spark: SparkSession, articles: DataFrame, folder: str) -> bool
     tf = search.counts(articles, text.terms("content"))
     search.vocabulary(tf).write.mode("overwrite").parquet(f"{folder}/terms")
     terms = spark.read.parquet(f"{folder}/terms")
-    weights = search.normalised(search.tfidf(tf, terms, state[1]))
-    counted = search.bow(tf, terms).withColumnRenamed("weight", "count")
-    # by term, so that a query's terms are found in few row groups
-    rows = weights.join(counted, ["doc_id", "term"]).repartitionByRange("term").sortWithinPartitions("term")
+    weights = search.postings(articles, text.terms("content"), terms, state[1])
+    # by term, so that a query's terms are found in few row groups; one in many documents goes to several ranges
+    rows = weights.select("doc_id", "term", "weight", F.col("tf").cast("double").alias("count")).repartitionByRange("term", "doc_id").sortWithinPartitions("term")
     rows.write.mode("overwrite").parquet(f"{folder}/postings")
     _register(spark, folder, "lexical", state, settings)
     return True

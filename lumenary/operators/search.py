@@ -55,6 +55,20 @@ def normalised(weights: DataFrame) -> DataFrame:
     return weights.select("doc_id", "term", (F.col("raw") / norms).alias("weight"))
 
 
+def postings(docs: DataFrame, tokens: Column, terms: DataFrame, n_docs: int) -> DataFrame:
+    """``doc_id, term, tf, idf, raw, weight``: TF-IDF at length 1, from each document's own row.
+
+    ``terms`` (``term, df``) has VOCABULARY rows at most and goes to every task, so neither the
+    terms' idf nor a document's length takes an exchange.
+    """
+    rows = terms.select("term", "df").collect()
+    idf = np.log((1 + n_docs) / (1 + np.array([r["df"] for r in rows], float))) + 1
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(([r["term"] for r in rows], idf))
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", tokens.alias("tokens")).mapInArrow(row_scores.postings(held), f"doc_id {kind}, term string, tf long, idf double, raw double, weight double")
+
+
 def query_weights(spark: SparkSession, query: str, terms: DataFrame, n_docs: int, scheme: str) -> DataFrame:
     """``term, q``: the query in the same space; unknown terms are dropped."""
     if not query.strip():

@@ -46,7 +46,9 @@ def _postings(spark: SparkSession, sf: str, scheme: str) -> DataFrame:
     docs = from_documents(spark, sf)
     tf = search.counts(docs, text.terms("content"))
     terms = search.vocabulary(tf)
-    return search.bow(tf, terms) if scheme == "bow" else search.normalised(search.tfidf(tf, terms, docs.count()))
+    if scheme == "bow":
+        return search.bow(tf, terms)
+    return search.postings(docs, text.terms("content"), terms, docs.count()).select("doc_id", "term", "weight")
 
 
 def bow_postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,10 +132,11 @@ def search_index_export(spark: SparkSession, sf: str) -> DataFrame:
     """Published postings: private categories left out, idf and weights rounded, one row for each term."""
     docs = from_documents(spark, sf).filter(~F.coalesce("category", F.lit("")).isin("src3", "src7"))
     tf = search.counts(docs, text.terms("content"))
-    weights = search.tfidf(tf, search.vocabulary(tf), docs.count())
-    idf = weights.groupBy("term").agg(F.round(F.max("idf"), 6).alias("idf"))
-    posted = search.normalised(weights).groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("millionths"), F.min("doc_id").alias("first_doc"))
-    return idf.join(posted, "term")
+    weights = search.postings(docs, text.terms("content"), search.vocabulary(tf), docs.count())
+    return weights.groupBy("term").agg(
+        F.round(F.max("idf"), 6).alias("idf"), F.count("*").alias("documents"),
+        F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("millionths"), F.min("doc_id").alias("first_doc"),
+    )
 
 
 def snippet_lookup(spark: SparkSession, sf: str) -> DataFrame:

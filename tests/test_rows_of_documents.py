@@ -5,7 +5,7 @@ import os
 import pyarrow as pa
 import pytest
 
-from lumenary.functions import vectors
+from lumenary.functions import text, vectors
 from lumenary.operators import classify, extract, search
 from lumenary.plans import catalogue
 from lumenary.sources import html
@@ -72,3 +72,19 @@ def test_texts_are_not_dealt_by_category(spark):
     held = classify.stratified(classify.training_set(rows, "t", "c", "id", least=2), "c", "id")
     assert plan(held).count("strategy=broadcast") >= 2
     assert sorted(r["part"] for r in held.collect()) == ["test"] * 8 + ["train"] * 32
+
+
+@FIXTURES
+@pytest.mark.parametrize("name", ["search_index_export", "cluster_top_terms"])
+def test_lengths_exchange_no_postings(spark, name):
+    found = plan(catalogue.QUERIES[name](spark, DATA))
+    assert "Window [sqrt" not in found and "_w0" not in found.split("MapInArrow")[-1] and found.count("Generate") == 0
+
+
+def test_postings_equal_those_by_exchange(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "a a"), (3, "zzz"), (4, None), (5, "b c c d d")], "doc_id long, content string")
+    space = search.Space(docs)
+    terms = search.vocabulary(space.tf, min_df=2)
+    want = {(r["doc_id"], r["term"]): r["weight"] for r in search.normalised(search.tfidf(space.tf, terms, 5)).collect()}
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in search.postings(docs, text.terms("content"), terms, 5).collect()}
+    assert got == pytest.approx(want) and len(got) == 6
