@@ -86,13 +86,18 @@ def silhouette(df: DataFrame, cluster: str, vector: str, size: int) -> DataFrame
     return both.agg(F.round(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))), 6).alias("silhouette"))
 
 
+#: Vectors that one task of a k-means round reads.
+TASK_ROWS = 10_000
+
+
 def best_kmeans(df: DataFrame, vector: str, k: int, seeds: int = 10, seed: int = 42):
     """k-means of the least cost over several seeds: the model and its assignments.
 
     The seeds are fitted side by side on one cached input, as each alone is many short jobs.
     """
     held = df.withColumn("__features", array_to_vector(vectors.doubles(F.col(vector))))
-    rows = held.select("__features").persist()
+    # each round is a job, so what it costs is its tasks: as many as the vectors need, not as the tables before had
+    rows = held.select("__features").repartition(max(1, -(-df.count() // TASK_ROWS))).persist()
     try:
         rows.count()
         with ThreadPoolExecutor(min(seeds, 8)) as pool:

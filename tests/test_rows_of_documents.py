@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lumenary.functions import text, vectors
-from lumenary.operators import classify, extract, search
+from lumenary.operators import classify, cluster, extract, search
 from lumenary.plans import catalogue
 from lumenary.sources import html
 from tests.test_operators import ENTITIES, TOKENS
@@ -88,3 +88,11 @@ def test_postings_equal_those_by_exchange(spark):
     want = {(r["doc_id"], r["term"]): r["weight"] for r in search.normalised(search.tfidf(space.tf, terms, 5)).collect()}
     got = {(r["doc_id"], r["term"]): r["weight"] for r in search.postings(docs, text.terms("content"), terms, 5).collect()}
     assert got == pytest.approx(want) and len(got) == 6
+
+
+def test_kmeans_rounds_have_the_tasks_that_their_vectors_need(spark, monkeypatch):
+    seen, count = [], cluster.KMeans.fit
+    monkeypatch.setattr(cluster.KMeans, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or count(self, rows))
+    df = spark.createDataFrame([(k, [float(k % 3), 1.0, 0.0]) for k in range(60)], "vec_id long, v array<double>").repartition(37)
+    cluster.best_kmeans(df, "v", 3, seeds=2)
+    assert seen == [1, 1]
