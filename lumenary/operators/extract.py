@@ -183,10 +183,25 @@ def extracted(docs: DataFrame, make: Callable[[], Parser], text_col: str = "text
 
 
 def rollup(rows: DataFrame, group: str, item: Column, k: int, order: list[str]) -> DataFrame:
-    """Mentions, distinct items and the k most frequent of each group, first seen first on ties."""
-    named = rows.select(group, item.alias("item"), F.struct(*order).alias("at"))
-    counted = named.groupBy(group, "item").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    totals = counted.groupBy(group).agg(F.sum("n").alias("mentions"), F.count("*").alias("distinct_items"))
-    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "at", "item"))).filter(F.col("k") <= k)
+    """Mentions, distinct items and the k most frequent of each group, first seen first on ties.
+
+    ``order``: an integer id and an int place in it. Items are counted in one exchange; each task
+    then keeps the k best of every group beside its sums, so that the second exchange has no more
+    of a frequent group than that. The first place is one number, as a struct would have every
+    task sort its rows before it counts them.
+    """
+    whole, part = order
+    at = F.coalesce(F.col(whole).cast("decimal(19,0)"), F.lit(-(1 << 63)).cast("decimal(19,0)")) * F.lit(1 << 32).cast("decimal(10,0)")
+    at = at + F.coalesce(F.col(part).cast("int"), F.lit(-(1 << 31)).cast("int")).cast("decimal(10,0)")
+    named = rows.select(F.col(group).alias("g"), item.alias("item"), at.cast("decimal(38,0)").alias("at"))
+    counted = named.groupBy("g", "item").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    ship(rows.sparkSession)
+    kind = dict(rows.dtypes)[group]
+    best = counted.mapInArrow(parse_rows.best(k), f"g {kind}, item string, n long, at decimal(38,0), mentions long, distinct_items long")
+    # one exchange by group serves the sums and the ranks
+    same = Window.partitionBy("g")
+    best = best.withColumns({"mentions": F.sum("mentions").over(same), "distinct_items": F.sum("distinct_items").over(same)})
+    ranked = best.withColumn("k", F.row_number().over(same.orderBy(F.desc("n"), "at", "item"))).filter(F.col("k") <= k)
     held = F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(": ", "item", F.col("n").cast("string")).alias("s")))), lambda x: x["s"])
-    return totals.join(ranked.groupBy(group).agg(F.array_join(held, "; ").alias("top")), group)
+    found = ranked.groupBy("g").agg(F.first("mentions").alias("mentions"), F.first("distinct_items").alias("distinct_items"), F.array_join(held, "; ").alias("top"))
+    return found.select(F.col("g").alias(group), "mentions", "distinct_items", "top")

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Tokens that are worked on at once; a longer document is worked on alone.
 MOST_TOKENS = 200_000
+#: Counted items that are ranked at once.
+MOST_ITEMS = 200_000
 
 
 def parts(batches: Iterable[pa.RecordBatch], most: int = MOST_TOKENS) -> Iterator[pa.RecordBatch]:
@@ -220,3 +222,35 @@ def mentions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [t.ids(doc[held]), t.take("sent", at[held]), fields["label"].take(of), fields["entity"].take(of), fields["start"].take(of)],
             names=["doc_id", "sent", "label", "entity", "start"],
         )
+
+
+def best(k: int) -> Callable:
+    """The k best items of each group of counted ones (``g, item, n, at``), once for every MOST_ITEMS rows.
+
+    The first of a group's rows has the sum of ``n`` and the number of all its items, the others 0.
+    """
+
+    def ranked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().sort_by([("g", "ascending"), ("n", "descending"), ("at", "ascending"), ("item", "ascending")])
+        names = rows["g"].combine_chunks()
+        code = pc.fill_null(names.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        size = np.diff(np.append(first, len(code)))
+        rank = np.arange(len(code)) - np.repeat(first, size)
+        mentions, items = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        mentions[first], items[first] = np.add.reduceat(rows["n"].to_numpy(), first), size
+        rows = rows.append_column("mentions", pa.array(mentions)).append_column("distinct_items", pa.array(items))
+        return rows.filter(pa.array(rank < k)).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for rows in batches:
+            if rows.num_rows:
+                held, n = [*held, rows], n + rows.num_rows
+            if n >= MOST_ITEMS:
+                yield ranked(held)
+                held, n = [], 0
+        if held:
+            yield ranked(held)
+
+    return run

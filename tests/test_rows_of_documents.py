@@ -96,3 +96,21 @@ def test_kmeans_rounds_have_the_tasks_that_their_vectors_need(spark, monkeypatch
     df = spark.createDataFrame([(k, [float(k % 3), 1.0, 0.0]) for k in range(60)], "vec_id long, v array<double>").repartition(37)
     cluster.best_kmeans(df, "v", 3, seeds=2)
     assert seen == [1, 1]
+
+
+def test_rollup_counts_once_and_ranks_what_is_left(spark, monkeypatch):
+    words = [(d, s, f"r{(d * 7 + s) % 3}", f"i{(d * s) % 29:02}") for d in range(60) for s in range(9)]
+    rows = spark.createDataFrame(words, "doc_id long, sent int, relation string, item string").repartition(5)
+    found = extract.rollup(rows, "relation", extract.F.col("item"), 4, ["doc_id", "sent"])
+    explained = found._jdf.queryExecution().executedPlan().toString()
+    final = explained.split("Final Plan")[0] if "Final Plan" in explained else explained
+    assert final.count("hashpartitioning") == 2 and "Join" not in final  # items once, and groups once
+    want = {}
+    for d, s, r, i in words:
+        n, at = want.setdefault(r, {}).get(i, (0, (d, s)))
+        want[r][i] = (n + 1, min(at, (d, s)))
+    for row in found.collect():
+        items = want[row["relation"]]
+        top = sorted(items, key=lambda i: (-items[i][0], items[i][1], i))[:4]
+        assert (row["mentions"], row["distinct_items"]) == (sum(n for n, _ in items.values()), len(items))
+        assert row["top"] == "; ".join(f"{i}: {items[i][0]}" for i in top)
