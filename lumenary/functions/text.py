@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +72,45 @@ def hash_form(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
 
 
+def folder() -> Callable[[str], bytes]:
+    """``fold`` as a function on one string, except for lower case: accents off, other characters dropped.
+
+    Of what ``fold`` knows, the decomposition's ASCII letters are the folded form; characters
+    outside those ranges are dropped before. It is made of values only, so that it can go to
+    Python workers that cannot import this package.
+    """
+    unknown, normalize = re.compile("[\u2200-\ufaff\ufb07-\uff00\uff5f-\U0010ffff]"), unicodedata.normalize
+
+    def ascii_of(value: str) -> bytes:
+        if value.isascii():
+            return value.encode()
+        return normalize("NFKD", unknown.sub("", value)).encode("ascii", "ignore")
+
+    return ascii_of
+
+
+#: Values of an Arrow batch that are Python objects at once.
+SLICE = 256
+
+
 def content_hash(title: Column | str, content: Column | str) -> Column:
-    """SHA-256 of the folded title and content."""
-    return F.sha2(hash_form(F.concat_ws(" ", F.coalesce(_col(title), F.lit("")), F.coalesce(_col(content), F.lit("")))), 256)
+    """SHA-256 of the folded title and content (``hash_form`` of both).
+
+    Texts are folded in Arrow batches: a whole text there takes a few passes in C, whereas the
+    column functions look every character up.
+    """
+    plain, sha = folder(), hashlib.sha256
+    kept = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+    @F.arrow_udf("string")
+    def digest(titles: pa.Array, contents: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(titles), SLICE):
+            for a, b in zip(titles.slice(at, SLICE).to_pylist(), contents.slice(at, SLICE).to_pylist()):
+                found.append(sha(b" ".join(plain(f"{a or ''} {b or ''}").translate(kept).split())).hexdigest())
+        return pa.array(found, pa.string())
+
+    return digest(_col(title).cast("string"), _col(content).cast("string"))
 
 
 def terms(c: Column | str, stopwords: list[str] | None = None) -> Column:

@@ -71,3 +71,13 @@ def test_relevance(spark):
     for metric in vectors.METRICS:
         assert abs(one(spark, lambda x, y: vectors.relevance(x, y, metric), a, a) - 1) < 1e-12
     assert one(spark, lambda x, y: vectors.relevance(x, y, "cosine"), a, z) == 0
+
+
+def test_texts_are_hashed_in_batches_as_they_are_folded(spark):
+    odd = [None, "", "ÀÉ ﬁn Ǆ ½ ﬃ", "① ㈠ 𝐀 ㎏ ﬗ ｟ x", "a\x00b\x1c\x85\xa0c", "İSTANBUL ß ﬀ ℀ ｆｕｌｌ", "é" * 3000 + "①", "é 中文 😀 K Å"]
+    odd += ["".join(map(chr, range(k, min(k + 500, 0x110000)))) for k in [*range(1, 0xD700, 500), *range(0xE000, 0x11000, 500), 0x1D400, 0x1F100]]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, t string")
+    got = rows.select(text.content_hash("t", F.lit("Ção")).alias("a"), F.sha2(text.hash_form(F.concat(F.coalesce("t", F.lit("")), F.lit(" Ção"))), 256).alias("b"))
+    assert [r["a"] for r in got.collect()] == [r["b"] for r in got.collect()]
+    explained = got.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in explained
