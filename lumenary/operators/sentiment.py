@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,49 +29,67 @@ class Lexicon:
     diminishers: tuple[str, ...] = ()
 
 
-def tokens(title: Column, content: Column, stored: Column | None = None) -> Column:
-    """Folded tokens of letters: stored ones, else the letter runs of title and content."""
+def letters(title: Column, content: Column, stored: Column | None = None) -> Column:
+    """Stored tokens, else the letter runs of title and content, joined by spaces."""
     runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, content)), F.lit(text.LETTERS), F.lit(0))
     held = runs if stored is None else F.when(F.size(stored) > 0, stored).otherwise(runs)
-    # folding is done once for the whole list, not for each token
-    folded = F.regexp_replace(text.fold(F.array_join(held, " ")), "[^a-z ]+", "")
-    return F.filter(F.split(folded, " "), lambda t: t != "")
+    return F.array_join(held, " ")
 
 
-def _map(weights: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+def found_in(joined: Column, lexicon: Lexicon) -> Column:
+    """Of ``letters``: sums ``p`` and ``n`` of the words' weights above and below zero, adjusted by
+    what stands before, the number ``h`` of words, and ``f``, how often each phrase occurs.
 
-
-def hits(held: Column, lexicon: Lexicon) -> Column:
-    """Array of ``term, weight`` of the lexicon's words in a token list, adjusted by what stands before."""
-    known = _map(lexicon.words)
-
-    def one(token: Column, at: Column) -> Column:
-        near, nearer = (F.slice(held, F.greatest(at + 1 - n, F.lit(1)), F.least(at, F.lit(n))) for n in (3, 2))
-        weight = known[token]
-        for words, window, factor in ((lexicon.negations, near, -0.8), (lexicon.intensifiers, nearer, 1.4), (lexicon.diminishers, nearer, 0.7)):
-            if words:
-                weight = weight * F.when(F.arrays_overlap(window, F.array(*map(F.lit, words))), factor).otherwise(1.0)
-        return F.struct(token.alias("term"), weight.alias("weight"))
-
-    # first the places of the lexicon's words, then what stands before each
-    places = F.filter(F.transform(held, lambda token, at: F.when(token.isin(*lexicon.words), at)), lambda at: at.isNotNull())
-    return F.transform(places, lambda at: one(F.get(held, at), at))
+    Tokens are folded, then left without what is no letter. Texts are worked on in Arrow batches,
+    as column functions on lists go through every token for each rule.
+    """
+    plain, words, slice_rows = text.folder(), {w.encode(): x for w, x in lexicon.words.items()}, text.SLICE
+    near = [(frozenset(w.encode() for w in held), back, factor) for held, back, factor in ((lexicon.negations, 3, -0.8), (lexicon.intensifiers, 2, 1.4), (lexicon.diminishers, 2, 0.7)) if held]
+    phrases = [f" {p} ".encode() for p in lexicon.phrases]
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    dropped = bytes(c for c in range(256) if not (c == 32 or 65 <= c <= 90 or 97 <= c <= 122))
+
+    @F.arrow_udf("struct<p: double, n: double, h: int, f: array<int>>")
+    def found(texts: pa.Array) -> pa.Array:
+        above, below, number, times = [], [], [], []
+        for start in range(0, len(texts), slice_rows):
+            for value in texts.slice(start, slice_rows).to_pylist():
+                held = plain(value or "").translate(lower, dropped).split()
+                p = n = 0.0
+                h = 0
+                for at, token in enumerate(held):
+                    if token in words:
+                        weight = words[token]
+                        for listed, back, factor in near:
+                            if not listed.isdisjoint(held[max(at - back, 0) : at]):
+                                weight = weight * factor
+                        if weight > 0:
+                            p += weight
+                        else:
+                            n += weight
+                        h += 1
+                above.append(p)
+                below.append(n)
+                number.append(h)
+                joined = b" " + b" ".join(held) + b" "
+                times.append([joined.count(phrase) for phrase in phrases])
+        columns = [pa.array(above, pa.float64()), pa.array(below, pa.float64()), pa.array(number, pa.int32()), pa.array(times, pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(columns, ["p", "n", "h", "f"])
+
+    return found(joined)
 
 
 def scores(articles: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``keep``, positive and negative sums, score, label and numbers of terms."""
-    listed = articles.select("doc_id", *keep, tokens(F.col("title"), F.col("content")).alias("t"))
-    listed = listed.select("doc_id", *keep, hits(F.col("t"), lexicon).alias("h"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("joined"))
-    phrases = [(text.phrase_count(F.col("joined"), p), w) for p, w in lexicon.phrases.items()]
-    part = lambda keep_it: F.aggregate(F.filter("h", lambda h: keep_it(h["weight"])), F.lit(0.0), lambda a, h: a + h["weight"])
+    listed = articles.select("doc_id", *keep, found_in(letters(F.col("title"), F.col("content")), lexicon).alias("r"))
+    phrases = [(F.col("r.f")[k], w) for k, w in enumerate(lexicon.phrases.values())]
     extra = lambda sign: sum((n * w for n, w in phrases if w * sign > 0), F.lit(0.0))
     found = sum((n for n, _ in phrases), F.lit(0))
     sums = listed.select(
         "doc_id", *keep,
-        F.round(part(lambda w: w > 0) + extra(1), 6).alias("positive_score"),
-        F.round(-(part(lambda w: w <= 0) + extra(-1)), 6).alias("negative_score"),
-        (F.size("h") + found).alias("sentiment_terms"),
+        F.round(F.col("r.p") + extra(1), 6).alias("positive_score"),
+        F.round(-(F.col("r.n") + extra(-1)), 6).alias("negative_score"),
+        (F.col("r.h") + found).alias("sentiment_terms"),
     )
     p, n = F.col("positive_score"), F.col("negative_score")
     scored = sums.withColumn("sentiment_score", F.round(F.coalesce(F.try_divide(p - n, p + n), F.lit(0.0)), 6))

@@ -302,3 +302,14 @@ def test_masked_means_and_blocks(spark):
     docs = spark.createDataFrame([(1, ["a"] * 5), (2, [])], "doc_id long, tokens array<string>")
     make = lambda: lambda texts: [[float(len(t.split())), 1.0] for t in texts]
     assert {r["doc_id"]: r["embedding"] for r in represent.encoded_blocks(docs, make, "tokens", 2, block=4).collect()} == {1: [2.5, 1.0], 2: [0.0, 1.0]}
+
+
+def test_sentiment_takes_no_list_functions_over_tokens(spark):
+    lexicon = sentiment.Lexicon({"good": 1.0, "bad": -1.0, "acao": 0.25}, {"so so": 0.5, "a b": -0.5}, ("not",), ("very",), ("bit",))
+    rows = [(1, None, None), (2, "AÇÃO", "not\nvery bit GOOD, ① g2od so so so so"), (3, "bad", "Öß a b good"), (4, "x", "bit not very bad")]
+    scored = sentiment.scores(spark.createDataFrame(rows, "doc_id long, title string, content string"), lexicon)
+    explained = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in explained and "arrays_overlap" not in explained
+    got = {r["doc_id"]: (r["positive_score"], r["negative_score"], r["sentiment_terms"]) for r in scored.collect()}
+    # not, very and bit before good: -0.8 * 1.4 * 0.7, each within its reach; 4 so are two phrases that share a delimiter
+    assert got == {1: (0.0, 0.0, 0), 2: (0.75, 0.784, 3), 3: (1.0, 1.5, 3), 4: (0.784, 0.0, 1)}
