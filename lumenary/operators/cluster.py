@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.functions import vectors
+from lumenary.session import written
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -134,32 +136,33 @@ def similar_pairs(df: DataFrame, vector: str, id_col: str, least: float, block_r
     """``a, b, cosine`` of all pairs (a < b) from ``least`` up.
 
     Every pair is looked at, block against block as matrix products, so the work is that of the
-    square by definition; what moves is each block once for every other, and only pairs from
-    ``least`` up come out. For near duplicates in large tables use an index instead.
+    square by definition. A block is one row, moved once; tasks then read the partitions that they
+    compare from where those were written, so what is exchanged grows with the rows only. For near
+    duplicates in large tables use an index instead.
     """
     blocks = max(1, -(-df.count() // block_rows))  # of bounded size, so a task's matrix is, too
+    # at most four blocks for each partition on average, and a task for each two partitions
+    parts = max(-(-blocks // 4), min(blocks, 2 * round(df.sparkSession.sparkContext.defaultParallelism ** 0.5)))
     rows = df.select(F.col(id_col).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v")).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    up = rows.withColumn("o", F.explode(F.sequence("k", F.lit(blocks - 1)))).select(F.concat_ws(":", "k", "o").alias("pair"), "id", "v")
-    down = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k")))).select(F.concat_ws(":", "o", "k").alias("pair"), F.col("id").alias("id2"), F.col("v").alias("v2"))
+    held = written(rows.repartition(parts, "k").groupBy("k").agg(F.collect_list(F.struct("id", "v")).alias("l")).select("k", F.col("l.id").alias("id"), F.col("l.v").alias("v")))
+    other = held.select(F.col("k").alias("o"), F.col("id").alias("id2"), F.col("v").alias("v2"))
 
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    def unit(lists: pa.Array, n: int) -> np.ndarray:
+        x = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            i = j = np.zeros(0, np.int64)
-            value = np.zeros(0)
-        else:
-            like = unit(left.column("v")) @ unit(right.column("v2")).T
-            at, to = left.column("id").to_numpy(), right.column("id2").to_numpy()
-            same = left.column("pair")[0].as_py().split(":")
-            hit = (like >= least) & ((at[:, None] < to[None, :]) if same[0] == same[1] else (at[:, None] != to[None, :]))
-            r, c = np.nonzero(hit)
-            i, j, value = np.minimum(at[r], to[c]), np.maximum(at[r], to[c]), like[r, c]
-        return pa.table({"a": pa.array(i, pa.int64()), "b": pa.array(j, pa.int64()), "cosine": pa.array(value, pa.float64())})
-
-    return up.groupBy("pair").cogroup(down.groupBy("pair")).applyInArrow(compare, "a long, b long, cosine double")
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                at, to = (one.column(n).flatten().to_numpy() for n in ("id", "id2"))
+                like = unit(one.column("v"), len(at)) @ unit(one.column("v2"), len(to)).T
+                hit = (like >= least) & ((at[:, None] < to[None, :]) if one.column("k")[0] == one.column("o")[0] else (at[:, None] != to[None, :]))
+                r, c = np.nonzero(hit)
+                i, j, value = np.minimum(at[r], to[c]), np.maximum(at[r], to[c]), like[r, c]
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(value, pa.float64())], names=["a", "b", "cosine"])
+
+    return held.hint("shuffle_replicate_nl").join(other, F.col("k") <= F.col("o")).mapInArrow(compare, "a long, b long, cosine double")
 
 
 def compare_k(df: DataFrame, vector: str, category: str, size: int, ks: tuple[int, ...] = (9, 12, 13), seeds: int = 3) -> DataFrame:

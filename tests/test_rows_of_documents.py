@@ -114,3 +114,16 @@ def test_rollup_counts_once_and_ranks_what_is_left(spark, monkeypatch):
         top = sorted(items, key=lambda i: (-items[i][0], items[i][1], i))[:4]
         assert (row["mentions"], row["distinct_items"]) == (sum(n for n, _ in items.values()), len(items))
         assert row["top"] == "; ".join(f"{i}: {items[i][0]}" for i in top)
+
+
+def test_pairs_move_each_block_once(spark):
+    x = [[float((k * 37 + d * 11) % 23 - 11) for d in range(4)] for k in range(90)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = cluster.similar_pairs(df, "embedding", "vec_id", 0.6, block_rows=8)
+    held = plan(found)
+    assert "Generate" not in held and "CoGroup" not in held and "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    u = [[a / sum(b * b for b in v) ** 0.5 for a in v] for v in x]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if sum(p * q for p, q in zip(u[i], u[j])) >= 0.6}
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert cluster.similar_pairs(df.limit(0), "embedding", "vec_id", 0.6).count() == 0
