@@ -20,7 +20,7 @@ NAMED, DIMENSIONS = ["src1", "th"], 64
 
 
 def vocabulary_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return search.vocabulary(search.counts(from_documents(spark, sf), text.terms("content")))
+    return search.vocabulary_of(from_documents(spark, sf), text.terms("content"))
 
 
 def _space(spark: SparkSession, sf: str) -> search.Space:
@@ -36,7 +36,8 @@ def _space(spark: SparkSession, sf: str) -> search.Space:
     place = F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1  # of VOCABULARY rows at most
     n = items.agg(F.count("*").alias("__n"))
     numbered = lambda: space.terms.select("term", place.alias("k")).join(n).select("term", (F.col("k") % F.col("__n")).alias("vec_id"))
-    space.term_vectors, space.size = lambda: numbered().join(items.select("vec_id", v.alias("v")), "vec_id").select("term", "v"), DIMENSIONS
+    # the numbered terms go to every task, so that the stored vectors stay where they are
+    space.term_vectors, space.size = lambda: F.broadcast(numbered()).join(items.select("vec_id", v.alias("v")), "vec_id").select("term", "v"), DIMENSIONS
     space.embeddings = items.select(F.col("vec_id").alias("doc_id"), v.alias("embedding"))
     space.encode = lambda query: items.orderBy("vec_id").first()["embedding"]
     return space
@@ -44,10 +45,9 @@ def _space(spark: SparkSession, sf: str) -> search.Space:
 
 def _postings(spark: SparkSession, sf: str, scheme: str) -> DataFrame:
     docs = from_documents(spark, sf)
-    tf = search.counts(docs, text.terms("content"))
-    terms = search.vocabulary(tf)
+    terms = search.vocabulary_of(docs, text.terms("content"))
     if scheme == "bow":
-        return search.bow(tf, terms)
+        return search.bow(search.counts(docs, text.terms("content")), terms)
     return search.postings(docs, text.terms("content"), terms, docs.count()).select("doc_id", "term", "weight")
 
 
@@ -131,8 +131,7 @@ def keyword_alerts_new(spark: SparkSession, sf: str) -> DataFrame:
 def search_index_export(spark: SparkSession, sf: str) -> DataFrame:
     """Published postings: private categories left out, idf and weights rounded, one row for each term."""
     docs = from_documents(spark, sf).filter(~F.coalesce("category", F.lit("")).isin("src3", "src7"))
-    tf = search.counts(docs, text.terms("content"))
-    weights = search.postings(docs, text.terms("content"), search.vocabulary(tf), docs.count())
+    weights = search.postings(docs, text.terms("content"), search.vocabulary_of(docs, text.terms("content")), docs.count())
     return weights.groupBy("term").agg(
         F.round(F.max("idf"), 6).alias("idf"), F.count("*").alias("documents"),
         F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("millionths"), F.min("doc_id").alias("first_doc"),

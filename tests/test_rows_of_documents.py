@@ -127,3 +127,21 @@ def test_pairs_move_each_block_once(spark):
     got = [(r["a"], r["b"]) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert cluster.similar_pairs(df.limit(0), "embedding", "vec_id", 0.6).count() == 0
+
+
+def test_vocabulary_counts_terms_by_runs_of_rows(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "a a"), (3, "zzz"), (4, None), (5, "b c c d d"), (6, "")], "doc_id long, content string").repartition(3)
+    tokens = text.terms("content")
+    found = search.vocabulary_of(docs, tokens, min_df=1)
+    assert "Generate" not in plan(found) and "MapInArrow" in plan(found)
+    assert found.collect() == search.vocabulary(search.counts(docs, tokens), min_df=1).collect()
+    assert found.dtypes == search.vocabulary(search.counts(docs, tokens), min_df=1).dtypes
+    assert search.vocabulary_of(docs.limit(0), tokens).collect() == []
+
+
+@FIXTURES
+def test_word_model_leaves_stored_vectors_where_they_are(spark):
+    from lumenary.plans import retrieval
+
+    found = retrieval._space(spark, DATA).model._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in found
