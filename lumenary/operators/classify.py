@@ -9,9 +9,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenary.session import written
 
 #: Hexadecimal digits of the hash that ``stratified`` counts rows by.
 PLACES = 3
+#: Rows that one task of a fit's round reads.
+TASK_ROWS = 10_000
 
 
 def training_set(rows: DataFrame, text: str, category: str, order: str, least: int = 30) -> DataFrame:
@@ -127,7 +130,11 @@ def compare_representations(spaces: dict[str, tuple[DataFrame | None, str]], cat
     for name, (rows, kind) in spaces.items():
         note, found = "no vectors are stored", None
         if rows is not None:
-            parts = stratified(rows, category, id_col).persist()
+            # a split reads its rows three times: what they are made of is worked out once
+            held = written(rows)
+            parts = stratified(held, category, id_col)
+            # each round of a fit is a job, so what it costs is its tasks: as many as the rows need
+            parts = parts.coalesce(max(1, -(-held.count() // TASK_ROWS), parts.sparkSession.sparkContext.defaultParallelism)).persist()
             try:
                 classes = parts.select(category).distinct().limit(2).count()
                 note = None if classes == 2 else "fewer than two categories"

@@ -145,3 +145,13 @@ def test_word_model_leaves_stored_vectors_where_they_are(spark):
 
     found = retrieval._space(spark, DATA).model._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in found
+
+
+def test_comparison_works_out_its_rows_once_and_fits_in_few_tasks(spark, monkeypatch):
+    calls, tasks = [], []
+    monkeypatch.setattr(classify, "written", lambda df: calls.append(df) or df)
+    fit = classify.fit_and_report
+    monkeypatch.setattr(classify, "fit_and_report", lambda rows, *a: tasks.append(rows.rdd.getNumPartitions()) or fit(rows, *a))
+    df = spark.createDataFrame([(k, "ab"[k % 2], [float(k % 2), 1.0, k / 60]) for k in range(60)], "doc_id long, lang string, value array<double>").repartition(37)
+    row = classify.compare_representations({"x": (df, "dense")}, "lang").first()
+    assert len(calls) == 1 and tasks[0] <= 4 and row["accuracy"] == 1.0 and row["test_rows"] == 12
